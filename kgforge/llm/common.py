@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kgforge.session import ship
+
 #: ASCII white space that the line contracts name: space and \x09-\x0D.
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -39,7 +45,8 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of few rows, as one text can be very long."""
+    """Arrow batches of few rows, as one text can be very long, for workers that can import this package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
@@ -54,3 +61,47 @@ def crc_mod4(doc_id: Column) -> Column:
 
 def held_out(doc_id: Column) -> Column:
     return crc_mod4(doc_id) == 2
+
+
+#: Bytes of words in lower-cased UTF-8: digits, letters, underscore and all beyond ASCII.
+IN_WORD = np.zeros(256, bool)
+IN_WORD[[*range(48, 58), *range(65, 91), 95, *range(97, 123), *range(128, 256)]] = True
+MIX = np.uint64(0x9E3779B97F4A7C15)
+BASE = 0xD6E8FEB86659FD93
+
+
+@lru_cache(1)
+def powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE ** i and its inverse modulo 2 ** 64, for i below 2 ** bits."""
+    return tuple(np.multiply.accumulate(np.r_[np.uint64(1), np.full((1 << bits) - 1, x, np.uint64)]) for x in (BASE, pow(BASE, -1, 1 << 64)))
+
+
+def word_hashes(column: pa.Array, at_once: int = 50_000) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts, lower-cased, and where each text's words begin (one more entry than texts).
+
+    A word's hash is that of the polynomial of its bytes: the difference of two running sums, brought back to the word's start.
+    """
+    low = pc.utf8_lower(pc.fill_null(column.cast(pa.large_string()), ""))
+    _, ends, data = low.buffers()
+    ends = np.frombuffer(ends, np.int64)[low.offset : low.offset + len(low) + 1] if len(low) else np.zeros(1, np.int64)
+    text = np.frombuffer(data, np.uint8)[: ends[-1]] if data is not None and ends[-1] else np.zeros(0, np.uint8)
+    # a byte more at either end, and no word goes over a text's end
+    word = np.zeros(len(text) + 2, bool)
+    word[1:-1] = IN_WORD[text]
+    first, last = word[1:-1] & ~word[:-2], word[1:-1] & ~word[2:]
+    inner = ends[(ends > 0) & (ends < len(text))]
+    first[inner] = word[inner + 1]
+    last[inner - 1] = word[inner]
+    first, last = np.flatnonzero(first), np.flatnonzero(last) + 1
+    out = np.empty(len(first), np.uint64)
+    for a in range(0, len(first), at_once):
+        f, e = first[a : a + at_once], last[a : a + at_once]
+        own = text[f[0] : e[-1]]
+        up, down = powers(max(20, int(len(own)).bit_length()))
+        run = np.zeros(len(own) + 1, np.uint64)
+        np.cumsum((own + np.uint64(1)) * up[: len(own)], out=run[1:])
+        h = (run[e - f[0]] - run[f - f[0]]) * down[f - f[0]]
+        h ^= h >> np.uint64(32)
+        h *= MIX
+        out[a : a + at_once] = h ^ h >> np.uint64(29)
+    return out, np.searchsorted(first, ends)

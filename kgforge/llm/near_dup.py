@@ -6,10 +6,12 @@ corpus. Each of `bands * rows` samples picks a shingle by improved consistent we
 often as their weighted Jaccard similarity says; documents that agree in all samples of a band are candidates.
 
 Texts of equal words are one class from the start, and only its smallest doc_id goes on. Within a band's bucket every member is compared
-with a pivot, the smallest id, instead of with all others. Members that are not linked to a pivot's component then get pivots among
-themselves, `MORE_PIVOTS` at a time, until none is left. So a bucket of one large group costs a comparison a member, and buckets of
-strangers who agree by chance are compared throughout if small. Links are verified on the whole texts; their connected components are
-the classes, named by their smallest doc_id.
+with a pivot, the smallest id, instead of with all others. Members that are not linked to it are compared with `RANDOM_PIVOTS` others of
+the bucket, which differ from bucket to bucket. Those still unlinked go on in finer buckets of documents that agree in two bands, where
+they get pivots among themselves, `MORE_PIVOTS` at first and four times more in each round, until none is left without. So a bucket of
+one large group costs a comparison or so a member, and only texts that agree in several bands are compared throughout. Links are verified
+on the whole texts, by weighted Jaccard or, where that fails by the weights alone, by that of the plain shingle sets; their connected
+components are the classes, named by their smallest doc_id.
 
 Defined cases: a null or empty text, or one without words, is in a class of its own; a null doc_id gets a null class; rows that share a
 doc_id are one document, whose links are those of any of its texts; an empty table gives an empty result. Other columns are not looked at.
@@ -17,60 +19,71 @@ doc_id are one document, whose links are those of any of its texts; an empty tab
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, small_batches
+from .common import MIX as MULTIPLIER
+from .common import materialise, small_batches, word_hashes
 
-WORD = re.compile(r"\w+")
 SHINGLE = 5
 DF_BITS = 18
-BANDS, ROWS = 16, 5
+BANDS, ROWS = 20, 5
 SIMILARITY = 0.8
 POOL_BITS = 16
+RANDOM_PIVOTS = 3
 MORE_PIVOTS = 8
-MEMORY = 400_000
 SALTS = 8
-MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+#: Plain similarity can go with a ratio of weights that is a little lower.
+SLACK = 0.9
 
 
-class WordHashes(dict):
-    def __missing__(self, word: str) -> int:
-        from xxhash import xxh3_64_intdigest
+def near(similarity: float) -> Column:
+    """Texts whose weights differ by more can't be alike."""
+    return F.least("weight", "pivot_weight") >= SLACK * similarity * F.greatest("weight", "pivot_weight")
 
-        if len(self) > MEMORY:
-            self.clear()
-        self[word] = h = xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return h
 
+def pivot_columns() -> list[Column]:
+    return [F.col("p.rep").alias("pivot"), F.col("p.weight").alias("pivot_weight")]
 
-def shingles(text: str | None, hashes: WordHashes, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes, their counts, and the hashes of the words."""
-    words = WORD.findall((text or "").lower())
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    if not len(h):
-        return h, np.zeros(0, np.int64), h
-    n = max(1, len(h) - size + 1)
-    out = np.zeros(n, np.uint64)
-    for k in range(min(size, len(h))):
-        out = (out ^ (h[k : k + n] + np.uint64(k + 1))) * MULTIPLIER
-        out ^= out >> np.uint64(29)
-    values, counts = np.unique(out, return_counts=True)
-    return values, counts, h
+
+def shingle_stream(column: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the shingles that begin at each word of all texts, the words' own hashes, and where each text's words begin."""
+    h, bounds = word_hashes(column)
+    out = np.zeros(len(h), np.uint64)
+    for k in range(size):
+        part = out[: len(h) - k] if k else out
+        part ^= h[k:] + np.uint64(k + 1)
+        part *= MULTIPLIER
+        part ^= part >> np.uint64(29)
+    return out, h, bounds
+
+
+def shingles(stream: tuple[np.ndarray, np.ndarray, np.ndarray], i: int, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct shingle hashes of the i-th text and their counts."""
+    out, h, bounds = stream
+    a, b = bounds[i], bounds[i + 1]
+    if 0 < b - a < size:  # one shingle of fewer words: what follows the text has no part in it
+        short = np.zeros(1, np.uint64)
+        for k, x in enumerate(h[a:b]):
+            short = (short ^ (np.asarray([x]) + np.uint64(k + 1))) * MULTIPLIER
+            short ^= short >> np.uint64(29)
+        return short, np.ones(1, np.int64)
+    return np.unique(out[a : max(a, b - size + 1)], return_counts=True)
 
 
 def document_frequency(docs: DataFrame, bits: int = DF_BITS, size: int = SHINGLE) -> tuple[int, np.ndarray]:
     """The number of documents with words, and the number of documents by slot of their distinct shingles."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, total, n = WordHashes(), np.zeros(1 << bits, np.int64), 0
+        total, n = np.zeros(1 << bits, np.int64), 0
         for batch in batches:
-            found = [shingles(t, hashes, size)[0] >> np.uint64(64 - bits) for t in batch.column("text").to_pylist()]
+            stream = shingle_stream(batch.column("text"), size)
+            found = [shingles(stream, i, size)[0] >> np.uint64(64 - bits) for i in range(batch.num_rows)]
             n += sum(len(x) > 0 for x in found)
             if found:
                 total += np.bincount(np.concatenate(found).astype(np.int64), minlength=1 << bits)
@@ -123,27 +136,30 @@ def band_keys(samples: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, idf, bands: int, rows: int, size: int = SHINGLE) -> DataFrame:
-    """doc_id, e1, e2 (hash of the word sequence) and band keys of every document with words."""
+    """doc_id, e1, e2 (hash of the word sequence), weight and band keys of every document with words."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_intdigest
 
-        hashes, sampler, weigh = WordHashes(), Sampler(bands * rows), idf.value
+        sampler, weigh = Sampler(bands * rows), idf.value
         shift = np.uint64(64 - len(weigh).bit_length() + 1)
         for batch in batches:
-            ids, e, keys = [], [], []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                h, n, words = shingles(text, hashes, size)
+            ids, e, keys, total = [], [], [], []
+            stream = shingle_stream(batch.column("text"), size)
+            for i, doc in enumerate(batch.column("doc_id").to_pylist()):
+                h, n = shingles(stream, i, size)
                 if len(h):
                     ids.append(doc)
-                    e.append(xxh3_128_intdigest(words.tobytes()))
-                    keys.append(band_keys(sampler.samples(h, n * weigh[h >> shift]), bands, rows))
+                    e.append(xxh3_128_intdigest(stream[1][stream[2][i] : stream[2][i + 1]].tobytes()))
+                    weight = n * weigh[h >> shift]
+                    total.append(float(weight.sum(dtype=float)))
+                    keys.append(band_keys(sampler.samples(h, weight), bands, rows))
             signed = lambda x: x - (1 << 64) if x >> 63 else x
             flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * bands), flat)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([signed(x >> 64) for x in e], pa.int64()), pa.array([signed(x & (1 << 64) - 1) for x in e], pa.int64()), lists], names=["doc_id", "e1", "e2", "keys"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([signed(x >> 64) for x in e], pa.int64()), pa.array([signed(x & (1 << 64) - 1) for x in e], pa.int64()), pa.array(total, pa.float64()), lists], names=["doc_id", "e1", "e2", "weight", "keys"])
 
-    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(sign, "doc_id long, e1 long, e2 long, keys array<long>")
+    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(sign, "doc_id long, e1 long, e2 long, weight double, keys array<long>")
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -154,26 +170,37 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return both / either if either else 0.0
 
 
+def alike(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], similarity: float) -> bool:
+    """Whether the weighted Jaccard similarity, or else that of the plain shingle sets, reaches the threshold."""
+    if min(len(a[0]), len(b[0])) < similarity * max(len(a[0]), len(b[0])):  # no plain similarity, and sizes of weights tell the rest
+        small, large = sorted((float(a[1].sum()), float(b[1].sum())))
+        if small < similarity * large * 0.999:
+            return False
+    if weighted_jaccard(a, b) >= similarity:
+        return True
+    return weighted_jaccard((a[0], np.ones(len(a[0]))), (b[0], np.ones(len(b[0])))) >= similarity
+
+
 def verified(pairs: DataFrame, texts: DataFrame, idf, similarity: float, size: int = SHINGLE) -> DataFrame:
     """Those of the pairs (a, b) whose texts reach the similarity, with it."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, weigh = WordHashes(), idf.value
+        weigh = idf.value
         shift = np.uint64(64 - len(weigh).bit_length() + 1)
 
-        def vector(text: str) -> tuple[np.ndarray, np.ndarray]:
-            h, n, _ = shingles(text, hashes, size)
+        def vector(stream: tuple[np.ndarray, np.ndarray, np.ndarray], i: int) -> tuple[np.ndarray, np.ndarray]:
+            h, n = shingles(stream, i, size)
             return h, n * weigh[h >> shift]
 
         last, pivot = None, None
         for batch in batches:
             out = []
-            for a, b, ta, tb in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "ta", "tb")), strict=True):
-                if last != (b, tb):
-                    last, pivot = (b, tb), vector(tb)
-                own = vector(ta)
-                least, most = sorted((float(own[1].sum()), float(pivot[1].sum())))
-                if least >= similarity * most * 0.999 and weighted_jaccard(own, pivot) >= similarity:
+            one, two = shingle_stream(batch.column("ta"), size), shingle_stream(batch.column("tb"), size)
+            for i, (a, b) in enumerate(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)):
+                text = (b, two[1][two[2][i] : two[2][i + 1]].tobytes())
+                if last != text:
+                    last, pivot = text, vector(two, i)
+                if alike(vector(one, i), pivot, similarity):
                     out.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
@@ -196,6 +223,37 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("node", "label")
 
 
+class Links:
+    """Verified links and the components they form, which grow as more pairs are compared."""
+
+    def __init__(self, texts: DataFrame, idf, similarity: float, size: int) -> None:
+        self.texts, self.idf, self.similarity, self.size = texts, idf, similarity, size
+        spark = texts.sparkSession
+        self.edges, self.tested, self.labels = [], [], spark.createDataFrame([], "node long, label long")
+
+    def _labelled(self, rows: DataFrame) -> DataFrame:
+        of = lambda c: self.labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
+        out = rows.join(of("rep"), "rep", "left").join(of("pivot"), "pivot", "left")
+        return out.withColumn("linked", F.coalesce("rep_label", "rep") == F.coalesce("pivot_label", "pivot"))
+
+    def compare(self, rows: DataFrame) -> None:
+        """Compares rep and pivot of each row, unless they are linked or were compared."""
+        pairs = self._labelled(rows.where(near(self.similarity))).where("NOT linked").select(F.greatest("rep", "pivot").alias("a"), F.least("rep", "pivot").alias("b")).distinct()
+        for before in self.tested:
+            pairs = pairs.join(before, ["a", "b"], "left_anti")
+        pairs = materialise(pairs, "pairs")
+        self.tested.append(pairs)
+        new = materialise(verified(pairs, self.texts, self.idf, self.similarity, self.size), "edges")
+        if new.limit(1).count():
+            self.edges.append(new)
+            self.labels = components(reduce(DataFrame.union, self.edges))
+
+    def unlinked(self, members: DataFrame, rows: DataFrame) -> DataFrame:
+        """The members (key, rep, weight) that are linked to none of their pivots in rows."""
+        done = self._labelled(rows).where("linked").select("key", "rep").distinct()
+        return materialise(members.select("key", "rep", "weight").join(done, ["key", "rep"], "left_anti"), "rest")
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE, df_bits: int = DF_BITS) -> DataFrame:
     """doc_id, class_id and exact_id (the smallest doc_id of equal words) of every row of docs."""
     spark = docs.sparkSession
@@ -207,29 +265,33 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     # copies first: from here on one document stands for all with the same words
     exact = signed.groupBy("e1", "e2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     mapped = signed.withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(SALTS))).join(exact, ["e1", "e2", "salt"], "left").withColumn("rep", F.coalesce("rep", "doc_id"))
-    mapped = materialise(mapped.select("doc_id", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("keys")).alias("keys")), "mapped")
-    members = mapped.where("keys IS NOT NULL").select(F.explode("keys").alias("key"), "rep").distinct()
-    pivots = members.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n")
+    mapped = materialise(mapped.select("doc_id", "rep", "weight", F.when(F.col("doc_id") == F.col("rep"), F.col("keys")).alias("keys")), "mapped")
+    members = mapped.where("keys IS NOT NULL").select(F.explode("keys").alias("key"), "rep", "weight").dropDuplicates(["key", "rep"])
+    pivots = members.groupBy("key").agg(F.min(F.struct("rep", "weight")).alias("p"), F.count("*").alias("n")).where("n > 1").select("key", *pivot_columns())
     buckets = materialise(members.join(pivots, "key"), "buckets")
     involved = buckets.select(F.col("rep").alias("doc_id")).distinct()
     texts = materialise(docs.join(involved, "doc_id", "left_semi"), "involved")
 
-    edges, tested, labels = None, None, None
-    while True:
-        pairs = buckets.where("rep <> pivot").select(F.greatest("rep", "pivot").alias("a"), F.least("rep", "pivot").alias("b")).distinct()
-        pairs = materialise(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        new = materialise(verified(pairs, texts, idf, similarity, size), "edges")
-        edges, tested = (new, pairs) if edges is None else (edges.union(new), tested.union(pairs))
-        labels = components(edges)
-        of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))  # noqa: E731, B023
-        told = buckets.join(of("rep"), "rep", "left").join(of("pivot"), "pivot", "left")
-        linked = F.coalesce("rep_label", "rep") == F.coalesce("pivot_label", "pivot")
-        rest = told.groupBy("key", "rep").agg(F.max(linked).alias("linked"))
-        rest = materialise(rest.where("NOT linked").select("key", "rep"), "rest")
-        if not rest.limit(1).count():
-            break
-        first = rest.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("rep"))).where(F.col("rank") <= MORE_PIVOTS).select("key", F.col("rep").alias("pivot"))
-        buckets = materialise(rest.join(first, "key").where("rep >= pivot"), "buckets")
+    links = Links(texts, idf, similarity, size)
+    links.compare(buckets)
+    rest = links.unlinked(buckets, buckets)
+    if rest.limit(1).count():
+        # others of the same bucket at random, other ones in each bucket
+        some = buckets.groupBy("key").agg(*[F.min_by(F.struct("rep", "weight"), F.xxhash64("rep", "key", F.lit(k))).alias(f"p{k}") for k in range(RANDOM_PIVOTS)]).select("key", F.explode(F.array_distinct(F.array(*[f"p{k}" for k in range(RANDOM_PIVOTS)]))).alias("p")).select("key", *pivot_columns())
+        links.compare(rest.join(some, "key"))
+        rest = links.unlinked(rest, buckets)
+    # those left go on in finer buckets, of documents that agree in two bands
+    agreed = rest.groupBy("rep", "weight").agg(F.sort_array(F.collect_set("key")).alias("k")).where(F.size("k") > 1)
+    two = F.flatten(F.transform("k", lambda x, i: F.transform(F.slice("k", i + 2, F.size("k")), lambda y: F.xxhash64(x, y))))
+    finer = agreed.select("rep", "weight", F.explode(two).alias("key")).distinct()
+    rest = materialise(finer.join(finer.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key"), "finer")
+    pivots = MORE_PIVOTS
+    while rest.limit(1).count():
+        first = rest.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("rep"))).where(F.col("rank") <= pivots).select("key", F.col("rep").alias("pivot"), F.col("weight").alias("pivot_weight"))
+        buckets = materialise(rest.join(first, "key").where((F.col("rep") >= F.col("pivot")) & near(similarity)), "buckets")
+        links.compare(buckets)
+        rest, pivots = links.unlinked(rest, buckets), pivots * 4
+    labels = links.labels
     classes = mapped.select("doc_id", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("label", "rep").alias("class_id"), F.col("rep").alias("exact_id")).groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.min("exact_id").alias("exact_id"))
     return docs.select("doc_id").join(classes, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("exact_id", "doc_id").alias("exact_id"))
 
