@@ -166,7 +166,9 @@ def read_records(index: DataFrame, root: str, gap: int = 64 << 10, most: int = 8
         if opened[1] is not None:
             opened[1].close()
 
-    places = index.select("file", "offset", "length").repartition("file", F.floor(F.col("offset") / most)).sortWithinPartitions("file", "offset")
+    total = index.agg(F.sum("length").alias("n")).first()["n"] or 0
+    # the index is small, so its size says nothing of the work: tasks are counted by the bytes to read
+    places = index.select("file", "offset", "length").repartition(max(1, -(-total // (2 * most))), "file", F.floor(F.col("offset") / most)).sortWithinPartitions("file", "offset")
     return places.mapInArrow(read, READ)
 
 
