@@ -1,16 +1,16 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Texts are cut into passages of `PASSAGE` words. Words fall into `2 ** bits` dimensions by hash, weighted by inverse document frequency
-over all passages' documents. A distributed randomised SVD finds the passages' latent space: every task multiplies its passages by a
-random matrix and adds up the transposed product, A' (A G), a matrix of fixed size; an orthonormal basis of the sum spans the leading
-right singular vectors. Benchmark items and windows of the documents, as long as the items of a length class, are projected onto it;
-windows whose cosine with an item reaches `cosine` are candidates. Each candidate is checked on the words themselves: the longest common
-subsequence of item and window must cover `whole` of the item, or `part` of it with the item's answer (its last sentence) there too,
-as a subsequence that covers `answer` of it.
+over all passages. A distributed randomised SVD finds the passages' latent space: every task multiplies its passages by a random
+matrix and adds up the transposed product, A' (A G), a matrix of fixed size; an orthonormal basis of the sum spans the leading right
+singular vectors. Benchmark items, and windows of the documents as long as the items of a length class, are projected onto it; windows
+whose cosine with an item reaches `cosine`, more than their neighbours', are candidates. A candidate is checked on the words themselves:
+the longest common subsequence of item and window must cover `WHOLE` of the item, or `PART` of it with the item's answer (its last
+sentence) there too, as a subsequence that covers `ANSWER` of it. Before that, candidates go that share too few words to reach `PART`.
 
 Defined cases: null or empty texts and items have no words and match nothing; items of fewer than `MIN_WORDS` words match only as
-consecutive words; repeated items match alike; a null doc_id is scored like any; empty tables give empty results or no matches.
-The benchmark is read whole on the driver up to `MAX_ITEMS` items, beyond which it goes through in blocks of that size.
+consecutive words; repeated items match alike; a null doc_id is scored like any; empty tables give empty results or no matches. Other
+columns are not looked at. The benchmark goes through in blocks of `MAX_ITEMS` items, so what is sent to the workers has a bound.
 """
 
 from __future__ import annotations
@@ -24,83 +24,63 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, word_hashes
 
-WORD = re.compile(r"\w+")
 BITS = 14
 RANK = 32
 PASSAGE = 48
-COSINE = 0.5
+COSINE = 0.8
 WHOLE, PART, ANSWER = 0.7, 0.55, 0.9
 MIN_WORDS = 8
-MAX_ITEMS = 20_000
-MEMORY = 400_000
-
-
-class Slots(dict):
-    """A word's dimension by hash."""
-
-    def __init__(self, bits: int = BITS) -> None:
-        super().__init__()
-        self.mask = (1 << bits) - 1
-
-    def __missing__(self, word: str) -> int:
-        from xxhash import xxh3_64_intdigest
-
-        if len(self) > MEMORY:
-            self.clear()
-        self[word] = x = xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) & self.mask
-        return x
-
-
-def slots_of(text: str | None, slots: Slots) -> np.ndarray:
-    words = WORD.findall((text or "").lower())
-    return np.fromiter(map(slots.__getitem__, words), np.int32, len(words))
+MAX_ITEMS = 2000
+#: Windows of a class are as long as its shortest item; the longest is shorter than this times that.
+RATIO = 1.4
+#: Words that are searched at once, and columns of the table that counts shared words.
+PIECE, SHARED = 30_000, 2046
+#: Windows begin at every STEP-th word at most; so many candidates are counted at once.
+STEP, AT_ONCE = 5, 1000
+
+
+def multiply_passages(words: np.ndarray, starts: np.ndarray, g: np.ndarray, z: np.ndarray, frequency: np.ndarray) -> None:
+    """Of the passages that begin at starts, adds A' (A G) with each A G at length one to z, and their numbers by word to frequency."""
+    y = np.add.reduceat(g[words], starts, axis=0)
+    y /= np.linalg.norm(y, axis=1, keepdims=True) + 1e-6
+    passage = np.zeros(len(words), np.int32)
+    passage[starts[1:]] = 1
+    passage = np.cumsum(passage, dtype=np.int32)
+    order = np.argsort(words, kind="stable")
+    own, of = words[order], passage[order]
+    new = np.r_[True, own[1:] != own[:-1]]
+    at = np.flatnonzero(new)
+    z[own[at]] += np.add.reduceat(y[of], at, axis=0)
+    new[1:] |= of[1:] != of[:-1]
+    frequency += np.bincount(own[new], minlength=len(frequency))
 
 
 def gathered(docs: DataFrame, bits: int = BITS, rank: int = RANK, passage: int = PASSAGE, seed: int = 11) -> tuple[int, np.ndarray, np.ndarray]:
-    """The number of documents with words, document frequencies by dimension, and A' (A G) over all passages.
+    """The number of passages, that of passages by dimension, and A' (A G) over all passages.
 
     One pass does both, as IDF only scales the columns of A: with D the diagonal of IDFs and T the counts, A = T D, so A' A W = D T' T D W,
     and T' T G serves for the random W = D^-1 G, scaled by D afterwards.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 500)
     size = 1 << bits
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots = Slots(bits)
         g = np.random.default_rng(seed).standard_normal((size, rank)).astype(np.float32)
-        df, z, n = np.zeros(size, np.int64), np.zeros((size, rank), np.float64), 0
-
-        def multiply(words: np.ndarray, starts: np.ndarray) -> None:
-            y = np.add.reduceat(g[words], starts, axis=0)  # A G of the passages
-            y /= np.linalg.norm(y, axis=1, keepdims=True) + 1e-6
-            lengths = np.diff(np.r_[starts, len(words)])
-            order = np.argsort(words, kind="stable")
-            own = words[order]
-            at = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-            z[own[at]] += np.add.reduceat(np.repeat(y, lengths, axis=0)[order], at, axis=0)
-
+        df, z, n = np.zeros(size, np.int64), np.zeros((size, rank), np.float32), 0
         for batch in batches:
-            held: list[np.ndarray] = []
-            starts: list[np.ndarray] = []
-            length = 0
-            for text in batch.column("text").to_pylist():
-                words = slots_of(text, slots)
-                if not len(words):
-                    continue
-                n += 1
-                df[np.unique(words)] += 1
-                starts.append(np.arange(0, len(words), passage) + length)
-                held.append(words)
-                length += len(words)
-                if length > 100_000:
-                    multiply(np.concatenate(held), np.concatenate(starts))
-                    held, starts, length = [], [], 0
-            if held:
-                multiply(np.concatenate(held), np.concatenate(starts))
+            h, bounds = word_hashes(batch.column("text"))
+            words = (h & np.uint64(size - 1)).astype(np.uint16 if bits <= 16 else np.int32)
+            # passages begin anew with each document
+            starts = np.flatnonzero((np.arange(len(words)) - np.repeat(bounds[:-1], np.diff(bounds))) % passage == 0)
+            n += len(starts)
+            for a in range(0, len(starts), 2000):
+                s = starts[a : a + 2000]
+                end = starts[a + 2000] if a + 2000 < len(starts) else len(words)
+                multiply_passages(words[s[0] : end], s - s[0], g, z, df)
         at = np.flatnonzero(df)
-        values = pa.FixedSizeListArray.from_arrays(pa.array(z[at].astype(np.float32).ravel()), rank).cast(pa.list_(pa.float32()))
+        values = pa.FixedSizeListArray.from_arrays(pa.array(z[at].ravel()), rank).cast(pa.list_(pa.float32()))
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[at, -1].astype(np.int32)), pa.array(np.r_[df[at], n]), pa.concat_arrays([values, pa.array([[0.0] * rank], pa.list_(pa.float32()))])], names=["slot", "n", "z"])
 
     parts = docs.select("text").mapInArrow(add, "slot int, n long, z array<float>")
@@ -120,13 +100,12 @@ def latent_space(docs: DataFrame, bits: int = BITS, rank: int = RANK, passage: i
     n, df, z = gathered(docs, bits, rank, passage)
     idf = np.log((n + 1) / (df + 1)) + 0.05
     q, _ = np.linalg.qr(idf[:, None] * z)
-    # what two unseen words share by chance only is kept apart by random directions of little weight
     return (idf[:, None] * q).astype(np.float32)
 
 
-def lcs(a: list[str], b: list[str]) -> int:
+def lcs(a: list[int], b: list[int]) -> int:
     """Length of the longest common subsequence, in bits of a whole number."""
-    at: dict[str, int] = {}
+    at: dict[int, int] = {}
     for k, w in enumerate(a):
         at[w] = at.get(w, 0) | 1 << k
     full = (1 << len(a)) - 1
@@ -138,98 +117,123 @@ def lcs(a: list[str], b: list[str]) -> int:
     return len(a) - row.bit_count()
 
 
-def answer_of(text: str) -> list[str]:
+def words_of(texts: list[str | None]) -> list[list[int]]:
+    h, bounds = word_hashes(pa.array(texts, pa.string()))
+    return [h[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
+def answer_of(text: str) -> list[int]:
     """The words of the last sentence that has three or more, else of the whole."""
-    sentences = [WORD.findall(s) for s in re.split(r"[.!?\n]+", text.lower())]
+    sentences = words_of(re.split(r"[.!?\n]+", text))
     return next((s for s in reversed(sentences) if len(s) >= 3), [w for s in sentences for w in s])
 
 
-def within(item: list[str], answer: list[str], window: list[str], whole: float = WHOLE, part: float = PART, need: float = ANSWER) -> bool:
+def within(item: list[int], answer: list[int], window: list[int]) -> bool:
     if not item:
         return False
     if len(item) < MIN_WORDS:
-        return f" {' '.join(item)} " in f" {' '.join(window)} "
+        return any(window[k : k + len(item)] == item for k in range(len(window) - len(item) + 1))
+    there = set(window)
+    if sum(w in there for w in item) < PART * len(item):
+        return False
     n = lcs(item, window) / len(item)
-    return n >= whole or n >= part and lcs(answer, window) >= need * len(answer)
+    return n >= WHOLE or n >= PART and lcs(answer, window) >= ANSWER * len(answer)
 
 
 class Items:
     """Benchmark items by length class: ids, words, answers, and places in the latent space."""
 
-    def __init__(self, rows: list[tuple[int, str]], space: np.ndarray, bits: int = BITS) -> None:
-        slots = Slots(bits)
-        self.classes: dict[int, tuple[list, np.ndarray]] = {}
+    def __init__(self, rows: list[tuple[int, str]], space: np.ndarray) -> None:
+        mask = np.uint64(len(space) - 1)
         by: dict[int, list] = {}
-        for item_id, text in rows:
-            if words := WORD.findall((text or "").lower()):
-                # windows are as long as the shortest item of the class; classes differ by a quarter
-                length = max(4, int(1.25 ** int(np.log(len(words)) / np.log(1.25))))
-                by.setdefault(length, []).append((item_id, words, answer_of(text)))
-        for length, items in by.items():
-            place = np.stack([space[slots_of(" ".join(words), slots)].sum(0) for _, words, _ in items])
-            self.classes[length] = (items, place / (np.linalg.norm(place, axis=1, keepdims=True) + 1e-9))
+        for (item_id, text), words in zip(rows, words_of([t for _, t in rows]), strict=True):
+            if words:
+                length = int(np.ceil(RATIO ** np.floor(np.log(len(words)) / np.log(RATIO) + 1e-9)))
+                by.setdefault(min(length, len(words)), []).append((item_id, words, answer_of(text)))
+        self.classes = []
+        for length, items in sorted(by.items()):
+            hashed = [(np.array(words, np.uint64) & mask).astype(np.int64) for _, words, _ in items]
+            place = np.stack([space[h].sum(0) for h in hashed])
+            longest = max(map(len, hashed))
+            # a place of its own (SHARED) fills up the shorter ones
+            shared = np.stack([np.r_[h % SHARED, np.full(longest - len(h), SHARED)] for h in hashed])
+            self.classes.append((max(STEP, length // STEP * STEP), longest, items, place / (np.linalg.norm(place, axis=1, keepdims=True) + 1e-9), shared, PART * np.array([len(h) for h in hashed])))
+        self.longest = max([c[1] for c in self.classes], default=1)
+
+
+def candidates(words: np.ndarray, space: np.ndarray, items: Items, cosine: float) -> Iterator[tuple[tuple, int, int, int]]:
+    """(item, its words' number, first and end word of the region to check) for the windows that are near enough and share enough words."""
+    # sums over STEP words each, as all windows begin and end at multiples of it
+    blocks = np.add.reduceat(space[words], np.arange(0, len(words), STEP), axis=0)
+    run = np.zeros((len(blocks) + 1, space.shape[1]), np.float32)
+    np.cumsum(blocks, axis=0, out=run[1:])
+    # beyond the ends stands what no item has
+    pad = items.longest + 4 * STEP + items.longest // 2
+    spots = np.full(len(words) + 2 * pad, SHARED + 1, np.int32)
+    spots[pad:-pad] = words % SHARED
+    table = np.zeros((AT_ONCE, SHARED + 2), bool)
+    row = np.arange(AT_ONCE)[:, None] * (SHARED + 2)
+    for length, longest, own, place, shared, least in items.classes:
+        step = max(1, length // 3 // STEP)
+        starts = np.arange(0, max(1, len(blocks) - length // STEP + step), step)
+        at = run[np.minimum(starts + length // STEP, len(blocks))] - run[starts]
+        at /= np.sqrt(np.einsum("ij,ij->i", at, at))[:, None] + 1e-9
+        close = np.zeros((len(starts) + 2, len(own)), np.float32)
+        np.matmul(at, place.T, out=close[1:-1])
+        mid = close[1:-1]
+        w, k = np.nonzero((mid >= cosine) & (mid >= close[:-2]) & (mid > close[2:]))
+        first = starts[w] * STEP - step * STEP - length // 8
+        reach = longest + 2 * step * STEP + length // 4
+        view = np.lib.stride_tricks.sliding_window_view(spots, reach)
+        for a in range(0, len(w), AT_ONCE):
+            s, y = first[a : a + AT_ONCE], k[a : a + AT_ONCE]
+            flat, here = table.ravel(), (view[s + pad] + row[: len(s)]).ravel()
+            flat[here] = True
+            enough = flat[shared[y] + row[: len(s)]].sum(1) >= least[y]
+            flat[here] = False
+            for f, item in zip(s[enough].tolist(), y[enough].tolist(), strict=True):
+                yield own[item], max(0, f), f + reach
+
+
+def search(docs: DataFrame, model, cosine: float) -> DataFrame:
+    """doc_id and found (item ids) of the documents that contain any."""
+    small_batches(docs.sparkSession, 500)
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        space, items = model.value
+        mask = np.uint64(len(space) - 1)
+        for batch in batches:
+            h, bounds = word_hashes(batch.column("text"))
+            words = (h & mask).astype(np.int32)
+            found: dict[int, set[int]] = {}
+            # pieces overlap by more than an item; they run over the ends of documents, but no check does
+            for a in range(0, len(words), PIECE):
+                own = words[a : a + PIECE + 3 * items.longest]
+                for (item_id, parts, answer), first, end in candidates(own, space, items, cosine):
+                    first, end = a + first, min(a + end, len(words))
+                    doc = int(np.searchsorted(bounds, first, "right")) - 1
+                    while doc < len(bounds) - 1 and bounds[doc] < end:
+                        held = found.get(doc, ())
+                        if item_id not in held and within(parts, answer, h[max(first, bounds[doc]) : min(end, bounds[doc + 1])].tolist()):
+                            found.setdefault(doc, set()).add(item_id)
+                        doc += 1
+            at = sorted(found)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at, pa.int64())), pa.array([sorted(found[d]) for d in at], pa.list_(pa.int64()))], names=["doc_id", "found"])
+
+    return docs.select("doc_id", "text").mapInArrow(look, "doc_id long, found array<long>")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, bits: int = BITS, rank: int = RANK) -> DataFrame:
     """doc_id and the sorted item ids that its text contains, for documents that contain any."""
     spark = docs.sparkSession
-    rows = benchmark.where("text IS NOT NULL").select("item_id", "text").orderBy("item_id", "text")
+    rows = benchmark.where("text IS NOT NULL AND item_id IS NOT NULL").select("item_id", "text").orderBy("item_id", "text")
     count = rows.count()
     space = latent_space(docs, bits, rank)
     found = []
     for a in range(0, max(count, 1), MAX_ITEMS):
         block = [tuple(r) for r in (rows if count <= MAX_ITEMS else rows.offset(a).limit(MAX_ITEMS)).collect()]
-        found.append(search(docs, spark.sparkContext.broadcast((space, Items(block, space, bits))), cosine, bits))
-    return reduce(DataFrame.union, found).groupBy("doc_id").agg(F.sort_array(F.collect_set("item_id")).alias("items")) if len(found) > 1 else found[0].groupBy("doc_id").agg(F.sort_array(F.flatten(F.collect_set("found"))).alias("items"))
-
-
-def candidates(words: np.ndarray, space: np.ndarray, items: Items, cosine: float) -> set[tuple[int, int, int]]:
-    """(length class, item number, first word) of the windows whose cosine reaches the threshold, the best of each run of them."""
-    run = np.zeros((len(words) + 1, space.shape[1]), np.float32)
-    np.cumsum(space[words], axis=0, out=run[1:])
-    out = set()
-    for length, (_, place) in items.classes.items():
-        step = max(1, length // 4)
-        starts = np.arange(0, max(1, len(words) - length + step), step)
-        ends = np.minimum(starts + length, len(words))
-        at = run[ends] - run[starts]
-        at /= np.sqrt(np.einsum("ij,ij->i", at, at))[:, None] + 1e-9
-        close = at @ place.T
-        w, k = np.nonzero(close >= cosine)
-        for x, y in zip(w.tolist(), k.tolist(), strict=True):
-            v = close[x, y]
-            if (x == 0 or close[x - 1, y] <= v) and (x + 1 == len(starts) or close[x + 1, y] < v):
-                out.add((length, y, int(starts[x])))
-    return out
-
-
-def search(docs: DataFrame, model, cosine: float, bits: int) -> DataFrame:
-    """doc_id and found (item ids) of the documents that contain any."""
-    small_batches(docs.sparkSession)
-    piece = 200_000
-
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        space, items = model.value
-        slots = Slots(bits)
-        for batch in batches:
-            ids, found = [], []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                words = WORD.findall((text or "").lower())
-                here = set()
-                # a very long text goes through in pieces that overlap by more than an item
-                for a in range(0, len(words), piece):
-                    own = words[a : a + piece + 2_000]
-                    h = np.fromiter(map(slots.__getitem__, own), np.int32, len(own))
-                    for length, k, start in sorted(candidates(h, space, items, cosine)):
-                        item, parts, answer = items.classes[length][0][k]
-                        if item not in here and within(parts, answer, own[max(0, start - length // 2) : start + length + length // 2 + len(parts) - length]):
-                            here.add(item)
-                if here:
-                    ids.append(doc)
-                    found.append(sorted(here))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "found"])
-
-    return docs.select("doc_id", "text").mapInArrow(look, "doc_id long, found array<long>")
+        found.append(search(docs, spark.sparkContext.broadcast((space, Items(block, space))), cosine))
+    return reduce(DataFrame.union, found).select("doc_id", F.explode("found").alias("item")).groupBy("doc_id").agg(F.sort_array(F.collect_set("item")).alias("items"))
 
 
 def op9(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
