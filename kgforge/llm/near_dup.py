@@ -8,8 +8,9 @@ often as their weighted Jaccard similarity says; documents that agree in all sam
 Texts of equal words are one class from the start, and only its smallest doc_id goes on. Within a band's bucket every member is compared
 with a pivot, the smallest id, instead of with all others. Members that are not linked to it are compared with `RANDOM_PIVOTS` others of
 the bucket, which differ from bucket to bucket. Those still unlinked go on in finer buckets of documents that agree in two bands, where
-they get pivots among themselves, `MORE_PIVOTS` at first and four times more in each round, until none is left without. So a bucket of
-one large group costs a comparison or so a member, and only texts that agree in several bands are compared throughout. Links are verified
+they get pivots among themselves, `MORE_PIVOTS` at first and more in each round, until none is left without; there a pair's texts are
+compared only if their sketches, a byte of every sample, agree about as the similarity asks. So a bucket of one large group costs a
+comparison or so a member, and only texts that agree in several bands are compared throughout. Links are verified
 on the whole texts, by weighted Jaccard or, where that fails by the weights alone, by that of the plain shingle sets; their connected
 components are the classes, named by their smallest doc_id.
 
@@ -20,7 +21,6 @@ doc_id are one document, whose links are those of any of its texts; an empty tab
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +36,9 @@ BANDS, ROWS = 20, 5
 SIMILARITY = 0.8
 POOL_BITS = 16
 RANDOM_PIVOTS = 3
-MORE_PIVOTS = 8
+MORE_PIVOTS = 16
+#: Samples agree in the share that the similarity says, give or take a twentieth; this far below it lies none of a million.
+MARGIN = 0.18
 SALTS = 8
 #: Plain similarity can go with a ratio of weights that is a little lower.
 SLACK = 0.9
@@ -47,6 +49,12 @@ def near(similarity: float) -> Column:
     return F.least("weight", "pivot_weight") >= SLACK * similarity * F.greatest("weight", "pivot_weight")
 
 
+def agree(similarity: float, samples: int) -> Column:
+    """Whether two sketches agree in about as many samples as the similarity says."""
+    same = F.aggregate(F.zip_with("sketch", "pivot_sketch", lambda a, b: (a == b).cast("int")), F.lit(0), lambda n, x: n + x)
+    return same >= (similarity - MARGIN) * samples
+
+
 def pivot_columns() -> list[Column]:
     return [F.col("p.rep").alias("pivot"), F.col("p.weight").alias("pivot_weight")]
 
@@ -136,7 +144,7 @@ def band_keys(samples: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, idf, bands: int, rows: int, size: int = SHINGLE) -> DataFrame:
-    """doc_id, e1, e2 (hash of the word sequence), weight and band keys of every document with words."""
+    """doc_id, e1, e2 (hash of the word sequence), weight, band keys and sketch (a byte a sample) of every document with words."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_intdigest
@@ -144,7 +152,7 @@ def signatures(docs: DataFrame, idf, bands: int, rows: int, size: int = SHINGLE)
         sampler, weigh = Sampler(bands * rows), idf.value
         shift = np.uint64(64 - len(weigh).bit_length() + 1)
         for batch in batches:
-            ids, e, keys, total = [], [], [], []
+            ids, e, keys, total, sketch = [], [], [], [], []
             stream = shingle_stream(batch.column("text"), size)
             for i, doc in enumerate(batch.column("doc_id").to_pylist()):
                 h, n = shingles(stream, i, size)
@@ -153,13 +161,16 @@ def signatures(docs: DataFrame, idf, bands: int, rows: int, size: int = SHINGLE)
                     e.append(xxh3_128_intdigest(stream[1][stream[2][i] : stream[2][i + 1]].tobytes()))
                     weight = n * weigh[h >> shift]
                     total.append(float(weight.sum(dtype=float)))
-                    keys.append(band_keys(sampler.samples(h, weight), bands, rows))
+                    own = sampler.samples(h, weight)
+                    sketch.append((own * MULTIPLIER >> np.uint64(56)).astype(np.int8))
+                    keys.append(band_keys(own, bands, rows))
             signed = lambda x: x - (1 << 64) if x >> 63 else x
             flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
+            bytes_ = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * bands * rows), pa.array(np.concatenate(sketch) if sketch else np.zeros(0, np.int8)))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * bands), flat)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([signed(x >> 64) for x in e], pa.int64()), pa.array([signed(x & (1 << 64) - 1) for x in e], pa.int64()), pa.array(total, pa.float64()), lists], names=["doc_id", "e1", "e2", "weight", "keys"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([signed(x >> 64) for x in e], pa.int64()), pa.array([signed(x & (1 << 64) - 1) for x in e], pa.int64()), pa.array(total, pa.float64()), lists, bytes_], names=["doc_id", "e1", "e2", "weight", "keys", "sketch"])
 
-    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(sign, "doc_id long, e1 long, e2 long, weight double, keys array<long>")
+    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(sign, "doc_id long, e1 long, e2 long, weight double, keys array<long>, sketch array<tinyint>")
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -229,7 +240,7 @@ class Links:
     def __init__(self, texts: DataFrame, idf, similarity: float, size: int) -> None:
         self.texts, self.idf, self.similarity, self.size = texts, idf, similarity, size
         spark = texts.sparkSession
-        self.edges, self.tested, self.labels = [], [], spark.createDataFrame([], "node long, label long")
+        self.tested, self.labels = [], spark.createDataFrame([], "node long, label long")
 
     def _labelled(self, rows: DataFrame) -> DataFrame:
         of = lambda c: self.labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
@@ -245,13 +256,21 @@ class Links:
         self.tested.append(pairs)
         new = materialise(verified(pairs, self.texts, self.idf, self.similarity, self.size), "edges")
         if new.limit(1).count():
-            self.edges.append(new)
-            self.labels = components(reduce(DataFrame.union, self.edges))
+            self.labels = self._joined(new)
+
+    def _joined(self, new: DataFrame) -> DataFrame:
+        """The labels with the new edges: only components that they touch are worked on."""
+        of = lambda c: self.labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
+        ends = new.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.coalesce("a_label", "a").alias("x"), F.coalesce("b_label", "b").alias("y"))
+        top = components(ends.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")))
+        nodes = self.labels.unionByName(ends.select(F.col("a").alias("node"), F.col("x").alias("label"))).unionByName(ends.select(F.col("b").alias("node"), F.col("y").alias("label"))).distinct()
+        moved = nodes.join(top.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left")
+        return materialise(moved.select("node", F.coalesce("to", "label").alias("label")).distinct(), "labels")
 
     def unlinked(self, members: DataFrame, rows: DataFrame) -> DataFrame:
         """The members (key, rep, weight) that are linked to none of their pivots in rows."""
         done = self._labelled(rows).where("linked").select("key", "rep").distinct()
-        return materialise(members.select("key", "rep", "weight").join(done, ["key", "rep"], "left_anti"), "rest")
+        return materialise(members.drop("pivot", "pivot_weight").join(done, ["key", "rep"], "left_anti"), "rest")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE, df_bits: int = DF_BITS) -> DataFrame:
@@ -265,7 +284,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     # copies first: from here on one document stands for all with the same words
     exact = signed.groupBy("e1", "e2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     mapped = signed.withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(SALTS))).join(exact, ["e1", "e2", "salt"], "left").withColumn("rep", F.coalesce("rep", "doc_id"))
-    mapped = materialise(mapped.select("doc_id", "rep", "weight", F.when(F.col("doc_id") == F.col("rep"), F.col("keys")).alias("keys")), "mapped")
+    mapped = materialise(mapped.select("doc_id", "rep", "weight", *[F.when(F.col("doc_id") == F.col("rep"), F.col(c)).alias(c) for c in ("keys", "sketch")]), "mapped")
     members = mapped.where("keys IS NOT NULL").select(F.explode("keys").alias("key"), "rep", "weight").dropDuplicates(["key", "rep"])
     pivots = members.groupBy("key").agg(F.min(F.struct("rep", "weight")).alias("p"), F.count("*").alias("n")).where("n > 1").select("key", *pivot_columns())
     buckets = materialise(members.join(pivots, "key"), "buckets")
@@ -284,13 +303,14 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     agreed = rest.groupBy("rep", "weight").agg(F.sort_array(F.collect_set("key")).alias("k")).where(F.size("k") > 1)
     two = F.flatten(F.transform("k", lambda x, i: F.transform(F.slice("k", i + 2, F.size("k")), lambda y: F.xxhash64(x, y))))
     finer = agreed.select("rep", "weight", F.explode(two).alias("key")).distinct()
-    rest = materialise(finer.join(finer.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key"), "finer")
+    shared = finer.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    rest = materialise(finer.join(shared, "key").join(mapped.where("keys IS NOT NULL").select("rep", "sketch").dropDuplicates(["rep"]), "rep"), "finer")
     pivots = MORE_PIVOTS
     while rest.limit(1).count():
-        first = rest.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("rep"))).where(F.col("rank") <= pivots).select("key", F.col("rep").alias("pivot"), F.col("weight").alias("pivot_weight"))
-        buckets = materialise(rest.join(first, "key").where((F.col("rep") >= F.col("pivot")) & near(similarity)), "buckets")
+        first = rest.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("rep"))).where(F.col("rank") <= pivots).select("key", F.col("rep").alias("pivot"), F.col("weight").alias("pivot_weight"), F.col("sketch").alias("pivot_sketch"))
+        buckets = materialise(rest.join(first, "key").where((F.col("rep") >= F.col("pivot")) & near(similarity) & agree(similarity, bands * rows)).drop("sketch", "pivot_sketch"), "buckets")
         links.compare(buckets)
-        rest, pivots = links.unlinked(rest, buckets), pivots * 4
+        rest, pivots = links.unlinked(rest, buckets), pivots * 8
     labels = links.labels
     classes = mapped.select("doc_id", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("label", "rep").alias("class_id"), F.col("rep").alias("exact_id")).groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.min("exact_id").alias("exact_id"))
     return docs.select("doc_id").join(classes, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("exact_id", "doc_id").alias("exact_id"))
