@@ -29,7 +29,7 @@ from .common import small_batches, word_hashes
 BITS = 14
 RANK = 32
 PASSAGE = 48
-COSINE = 0.8
+COSINE = 0.75
 WHOLE, PART, ANSWER = 0.7, 0.55, 0.9
 MIN_WORDS = 8
 MAX_ITEMS = 2000
