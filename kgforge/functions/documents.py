@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 
 def dump_properties(properties: Column) -> Column:
@@ -39,7 +40,7 @@ def first_json(text: str) -> str | None:
     return None
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def _first_json(text: pd.Series) -> pd.Series:
     return text.map(first_json, na_action="ignore")
 

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 #: Letters that don't decompose; other scripts than Latin are left out after decomposition.
 LETTERS = str.maketrans({"ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "ł": "l", "đ": "d", "þ": "th", "ð": "d", "ı": "i"})
@@ -25,7 +26,7 @@ def normalize(raw: str) -> str | None:
     return re.sub(r"\s+", " ", text) or None
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def _normalize(raw: pd.Series) -> pd.Series:
     return raw.map(normalize, na_action="ignore")
 
@@ -107,7 +108,7 @@ def stem(word: str) -> str:
     return w[:-1] if w.endswith("ll") and _measure(w[:-1]) > 1 else w
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def stemmed(text: pd.Series) -> pd.Series:
     """The words' stems in lower case, put together."""
     return text.map(lambda t: "".join(stem(w) for w in re.findall(r"\w+", t.lower())).replace("01januari", ""), na_action="ignore")

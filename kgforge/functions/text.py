@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 
 def normalize_text(text: Column) -> Column:
@@ -95,7 +96,7 @@ def unescape_text(text: str) -> str:
     return _ESCAPE.sub(lambda m: chr(int(m[1], 16)) if m[1] else _LETTERS.get(m[2], m[0]), text)
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def unescape(text: pd.Series) -> pd.Series:
     """The inverse of escape; what is no escape stays."""
     return text.map(unescape_text, na_action="ignore")
@@ -128,7 +129,7 @@ def joined(values: Column) -> Column:
 
 def split_values(text: Column) -> Column:
     """The trimmed parts of a value of several, without empty ones."""
-    return F.filter(F.transform(F.split(text, ";"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, ";"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def strip_code_fence(text: Column) -> Column:
@@ -141,6 +142,6 @@ def float_text(value: Column) -> Column:
     return _float_text(value)
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def _float_text(value: pd.Series) -> pd.Series:
     return value.map(lambda x: repr(float(x)), na_action="ignore")

@@ -89,13 +89,16 @@ def normalize_date(raw: Column) -> Column:
     numbers = F.create_map(*[F.lit(x) for k, names in MONTHS.items() for n in names.split() for x in (n, str(k))])
     first, second = part(numeric, 1).try_cast("int"), part(numeric, 3).try_cast("int")
     swap = (first <= 12) & (second > 12)
-    out = F.when(text.rlike(year_first), partial_date(part(year_first, 1), part(year_first, 3), part(year_first, 4)))
-    out = out.when(text.rlike(numeric), partial_date(part(numeric, 4), F.when(swap, part(numeric, 1)).otherwise(part(numeric, 3)), F.when(swap, part(numeric, 3)).otherwise(part(numeric, 1))))
-    out = out.when(text.rlike(month_year), partial_date(part(month_year, 2), part(month_year, 1), blank))
+    parts = lambda y, m, d: F.struct(y.alias("y"), m.alias("m"), d.alias("d"))
+    found = F.when(text.rlike(year_first), parts(part(year_first, 1), part(year_first, 3), part(year_first, 4)))
+    found = found.when(text.rlike(numeric), parts(part(numeric, 4), F.when(swap, part(numeric, 1)).otherwise(part(numeric, 3)), F.when(swap, part(numeric, 3)).otherwise(part(numeric, 1))))
+    found = found.when(text.rlike(month_year), parts(part(month_year, 2), part(month_year, 1), blank))
     for pattern, d, m, y in named:
-        month = F.try_element_at(numbers, part(pattern, m))
-        out = out.when(text.rlike(pattern), F.when(month.isNotNull(), partial_date(part(pattern, y), month, part(pattern, d) if d else blank)))
-    return out
+        # a name that is no month's gives no date, rather than a year
+        month = F.coalesce(F.try_element_at(numbers, part(pattern, m)), F.lit("0"))
+        found = found.when(text.rlike(pattern), parts(part(pattern, y), month, part(pattern, d) if d else blank))
+    # by way of an array, so that the parts are worked out once
+    return F.get(F.transform(F.array(found), lambda x: partial_date(x["y"], x["m"], x["d"])), F.lit(0))
 
 
 NORMALIZERS = {"string": normalize_string, "integer": normalize_integer, "float": normalize_float, "boolean": normalize_boolean, "date": normalize_date}

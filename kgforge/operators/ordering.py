@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def page(rows: DataFrame, keys: list[str], after: tuple | None, size: int) -> DataFrame:
     """The next rows by keys beyond a cursor."""
-    here = rows if after is None else rows.where(F.struct(*keys) > F.struct(*[F.lit(x) for x in after]))
+    here = rows if after is None else rows.where(F.struct(*keys) > F.struct(*[F.lit(x).cast(rows.schema[k].dataType) for k, x in zip(keys, after, strict=True)]))
     return here.orderBy(*keys).limit(size)
 
 

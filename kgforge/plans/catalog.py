@@ -1,4 +1,4 @@
 """All queries of the library but those of the corpus operators."""
 
-from . import knowledge  # noqa: F401  (registers its queries)
+from . import evaluating, knowledge, operations, values  # noqa: F401  (they register their queries)
 from .registry import QUERIES, SQL  # noqa: F401

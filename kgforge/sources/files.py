@@ -78,8 +78,9 @@ def _real_path(path):
 
     import pandas as pd
     from pyspark.sql.functions import pandas_udf
+    from pyspark.sql.types import StringType
 
-    @pandas_udf("string")
+    @pandas_udf(StringType())
     def real(p: pd.Series) -> pd.Series:
         return p.map(lambda x: os.path.realpath(x.removeprefix("file:")))
 
