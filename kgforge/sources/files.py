@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import os
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 from kgforge.functions.identity import content_hash
 from kgforge.functions.text import decode_utf8, is_blank
@@ -72,19 +76,10 @@ def scan(spark: SparkSession, root: str, source: dict) -> DataFrame:
     return out.where(F.col("text").isNotNull() & ~is_blank(F.col("text")))
 
 
-def _real_path(path):
-    """A local path with its links followed."""
-    import os
-
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-    from pyspark.sql.types import StringType
-
-    @pandas_udf(StringType())
-    def real(p: pd.Series) -> pd.Series:
-        return p.map(lambda x: os.path.realpath(x.removeprefix("file:")))
-
-    return real(path)
+@pandas_udf(StringType())
+def _real_path(path: pd.Series) -> pd.Series:
+    """Local paths with their links followed."""
+    return path.map(lambda x: os.path.realpath(x.removeprefix("file:")))
 
 
 def scan_registry(spark: SparkSession, root: str, registry: dict[str, list[dict]]) -> DataFrame:
