@@ -4,8 +4,8 @@ Each class, toxic and ordinary, has its own counts of letter n-grams (words padd
 estimate discounts them by D and hands the rest to backoff estimates that both classes share: Kneser-Ney continuation counts of the
 shorter n-grams, over all distinct n-grams of either class. So a rare expression is judged by the stem it shares with known ones. A
 word's score is the log-likelihood ratio of the two models; a text is described by its length-normalised ratio, the ratios of its
-strongest words (each a window of one word), and its length; a logistic curve over these, fitted on a fold of the training rows that
-the counts leave out, gives the probability.
+strongest places and different words (each a window of one word), how many words are strong, and its length; a logistic curve over
+these, fitted on a fold of the training rows that the counts leave out, gives the probability.
 
 The ratios go to the workers in two arrays of 2 ** slot_bits entries each, whatever the corpus: n-grams that share a slot take their
 mean, weighted by count.
@@ -16,6 +16,7 @@ count as toxic, null ones are left out; without labels of both classes every sco
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -36,7 +37,7 @@ SLOT_BITS = 21
 CURVE_FOLD, CURVE_ROWS = 8, 20_000
 #: Words that a worker remembers before it forgets them all.
 MEMORY = 400_000
-FEATURES = ["mean", "top1", "top2", "top3", "size"]
+FEATURES = ["mean", "top1", "top2", "top3", "word1", "word2", "word3", "word4", "word5", "over2", "over3", "excess", "size"]
 
 
 def grams(word: str, order: int = ORDER) -> list[str]:
@@ -132,12 +133,20 @@ class WordRatios(dict):
 
 
 def describe(text: str | None, ratio: WordRatios) -> list[float]:
-    values = [ratio[w] for w in WORD.findall((text or "").lower())]
-    if not values:
+    """The features of a text: ratios per word, the strongest places, the strongest different words, how many are strong, and size."""
+    words = WORD.findall((text or "").lower())
+    if not words:
         return [0.0] * len(FEATURES)
-    top = sorted(values, reverse=True)[:3] if len(values) < 50 else sorted(np.partition(np.asarray(values), -3)[-3:].tolist(), reverse=True)
-    top = [max(0.0, x) for x in [*top, 0.0, 0.0][:3]]
-    return [sum(values) / len(values), *top, float(np.log1p(len(values)))]
+    counts = Counter(words)
+    own = sorted(((ratio[w], n) for w, n in counts.items()), reverse=True)
+    top = [x for x, n in own[:3] for _ in range(min(n, 3))][:3]
+    different = [x for x, _ in own[:5]]
+    clipped = lambda values, k: [max(0.0, x) for x in (values + [0.0] * k)[:k]]
+    strong = [x for x, _ in own if x > 1]
+    return [
+        sum(x * n for x, n in own) / len(words), *clipped(top, 3), *clipped(different, 5),
+        math.log1p(sum(x > 2 for x in strong)), math.log1p(sum(x > 3 for x in strong)), sum(x - 1 for x in strong) / math.sqrt(len(words)), math.log1p(len(words)),
+    ]
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:
@@ -195,8 +204,7 @@ class ToxicityModel:
         """docs (with text) and the column score."""
         if self.arrays is None:
             return docs.withColumn("score", F.lit(0.0))
-        arrays, weights, names, field = self.arrays, self.weights, docs.columns, docs.schema["text"]
-        del field
+        arrays, weights, names = self.arrays, self.weights, docs.columns
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ratio = WordRatios(*arrays.value)
