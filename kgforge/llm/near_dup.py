@@ -242,6 +242,11 @@ class Links:
         spark = texts.sparkSession
         self.tested, self.labels = [], spark.createDataFrame([], "node long, label long")
 
+    @staticmethod
+    def _pairs(rows: DataFrame) -> DataFrame:
+        """A pair once, in however many buckets it meets."""
+        return rows.where("rep <> pivot").select("rep", "pivot").distinct()
+
     def _labelled(self, rows: DataFrame) -> DataFrame:
         of = lambda c: self.labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
         out = rows.join(of("rep"), "rep", "left").join(of("pivot"), "pivot", "left")
@@ -249,7 +254,7 @@ class Links:
 
     def compare(self, rows: DataFrame) -> None:
         """Compares rep and pivot of each row, unless they are linked or were compared."""
-        pairs = self._labelled(rows.where(near(self.similarity))).where("NOT linked").select(F.greatest("rep", "pivot").alias("a"), F.least("rep", "pivot").alias("b")).distinct()
+        pairs = self._labelled(self._pairs(rows.where(near(self.similarity)))).where("NOT linked").select(F.greatest("rep", "pivot").alias("a"), F.least("rep", "pivot").alias("b")).distinct()
         for before in self.tested:
             pairs = pairs.join(before, ["a", "b"], "left_anti")
         pairs = materialise(pairs, "pairs")
@@ -269,7 +274,8 @@ class Links:
 
     def unlinked(self, members: DataFrame, rows: DataFrame) -> DataFrame:
         """The members (key, rep, weight) that are linked to none of their pivots in rows."""
-        done = self._labelled(rows).where("linked").select("key", "rep").distinct()
+        linked = self._labelled(self._pairs(rows)).where("linked").select("rep", "pivot")
+        done = rows.where("rep = pivot").select("key", "rep").union(rows.join(linked, ["rep", "pivot"]).select("key", "rep")).distinct()
         return materialise(members.drop("pivot", "pivot_weight").join(done, ["key", "rep"], "left_anti"), "rest")
 
 
