@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 def units(contexts: DataFrame, types_by_collection: DataFrame, level: str) -> DataFrame:
     """(context, type) of every context whose collections the type is looked for in, each once."""
     wanted = types_by_collection.where(F.col("context_level") == level)
-    return contexts.join(F.broadcast(wanted), "collection_name").select("context_id", "context_level", "entity_type_name").distinct()
+    return contexts.select("context_id", "collection_name").join(F.broadcast(wanted), "collection_name").select("context_id", "context_level", "entity_type_name").distinct()
 
 
 def requests(units_: DataFrame) -> DataFrame:
