@@ -1,8 +1,8 @@
 """Licence scan by a positional index of rare words, in DataFrame functions only.
 
 The templates' words form a small vocabulary. One pass counts in how many documents each of its words occurs; that gives every word's
-inverse document frequency. A template's postings are its words and positions, and its `ANCHORS` rarest words are looked up in each
-document; where one stands, the template's start is its place less the word's position, so places of different words that agree in the
+inverse document frequency. A template's postings are its words and positions, and the `ANCHORS` rarest words of its mandatory phrase
+are looked up in each document; where one stands, the template's start is its place less the word's position, so places of different words that agree in the
 start support each other. At each start the template's other words are compared place by place, weighed by their IDF, and a start
 counts if the weight is at least `least` of the template's and the template's mandatory phrase is there, word for word.
 
@@ -74,13 +74,13 @@ def template_score(words: Column, notice: str, phrase: str, idf: dict[str, float
     """The largest share of the notice's IDF that agrees by position, over all starts; null if under least or without the phrase."""
     parts = notice.split()
     total = sum(idf[w] for w in parts)
-    rare = sorted(range(len(parts)), key=lambda k: (-idf[parts[k]], k))[:ANCHORS]
+    begin = len(notice[: f" {notice} ".find(f" {phrase} ")].split())
+    # words of the mandatory phrase are there wherever a start counts, so none is missed
+    rare = sorted(range(begin, begin + len(phrase.split())), key=lambda k: (-idf[parts[k]], k))[:ANCHORS]
     hits = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda s: s["w"].isin(*{parts[k] for k in rare}))
     starts = F.array_distinct(F.flatten(F.transform(hits, lambda s: F.filter(F.array(*[F.when(s["w"] == parts[k], s["i"] - k) for k in rare]), lambda x: x.isNotNull()))))
     weigh = lambda i: sum((F.when((i + k >= 0) & (F.get(words, i + k) == w), F.lit(idf[w])).otherwise(0.0) for k, w in enumerate(parts)), F.lit(0.0))
-    phrase_at = f" {notice} ".find(f" {phrase} ")
-    offset = len(notice[:phrase_at].split())
-    there = lambda i: F.forall(F.array(*[F.coalesce((i + offset + k >= 0) & (F.get(words, i + offset + k) == w), F.lit(False)) for k, w in enumerate(phrase.split())]), lambda x: x)
+    there = lambda i: F.forall(F.array(*[F.coalesce((i + begin + k >= 0) & (F.get(words, i + begin + k) == w), F.lit(False)) for k, w in enumerate(phrase.split())]), lambda x: x)
     share = F.array_max(F.transform(F.filter(starts, there), lambda i: weigh(i) / total))
     return F.when(share >= least, share)
 
@@ -106,9 +106,36 @@ def scan(docs: DataFrame, templates: list[tuple[str, str, str]] = TEMPLATES, bas
     join = lambda x: F.array_join(F.sort_array(F.array_distinct(x)), ",")
     return rows.withColumns({
         "n_words": F.size("_w").cast("long"), "n_base": F.size(starts).cast("long"), "first_word": F.array_min(starts).cast("long"), "last_word": F.array_max(starts).cast("long"),
-        "base_labels": join(base_labels), "labels": join(F.concat(base_labels, own_labels)), "score": F.when(F.size(starts) > 0, 1.0).otherwise(F.least(F.lit(1.0), best)),
+        "base_labels": join(base_labels), "labels": join(F.concat(base_labels, own_labels)), "score": F.when(F.size(starts) > 0, 1.0).otherwise(F.round(F.least(F.lit(1.0), best), 6)),
     }).drop("_w", *[f"_b{k}" for k in range(len(base))], *[f"_t{k}" for k in range(len(templates))])
 
 
 def op6(docs: DataFrame) -> DataFrame:
     return scan(docs.select("doc_id", "text")).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def oracle(templates: list[tuple[str, str, str]] = TEMPLATES, base: dict[str, str] = BASE, least: float = LEAST) -> str:
+    """The same in DuckDB's SQL: all starts of each mandatory phrase, without an index."""
+    at = lambda phrase, shift=0: " AND ".join(f"w[i + {k + shift}] = '{x}'" for k, x in enumerate(phrase.split()))
+    found = lambda phrase, value, shift=0: f"CASE WHEN {' AND '.join(f'contains(low, {chr(39)}{x}{chr(39)})' for x in phrase.split())} THEN {value} END"
+    vocabulary_ = ", ".join(f"ln((count(*) + 1) / (count(*) FILTER (WHERE list_contains(w, '{x}')) + 0.5)) AS i_{x}" for x in vocabulary(templates))
+    bases = ", ".join(f"coalesce({found(p, f'list_filter(range(1, len(w) + 1), lambda i: {at(p)})')}, []) AS b{k}" for k, p in enumerate(base))
+    scores = []
+    for k, (_, notice, phrase) in enumerate(templates):
+        begin = len(notice[: f" {notice} ".find(f" {phrase} ")].split())
+        weight = " + ".join(f"CASE WHEN i + {j} >= 1 AND w[i + {j}] = '{x}' THEN i_{x} ELSE 0 END" for j, x in enumerate(notice.split()))
+        total = " + ".join(f"i_{x}" for x in notice.split())
+        starts = f"list_filter(range(1 - {begin}, len(w) + 1), lambda i: i + {begin} >= 1 AND {at(phrase, begin)})"
+        scores.append(f"{found(phrase, f'list_max(list_transform({starts}, lambda i: ({weight}) / ({total})))')} AS t{k}")
+    labels = ", ".join([f"CASE WHEN len(b{k}) > 0 THEN '{x}' END" for k, x in enumerate(base.values())] + [f"CASE WHEN t{k} >= {least} THEN '{t[0]}' END" for k, t in enumerate(templates)])
+    base_labels = ", ".join(f"CASE WHEN len(b{k}) > 0 THEN '{x}' END" for k, x in enumerate(base.values()))
+    joined = lambda x: f"array_to_string(list_sort(list_distinct(list_filter([{x}], lambda l: l IS NOT NULL))), ',')"
+    best = ", ".join(f"CASE WHEN t{k} >= {least} THEN t{k} ELSE 0 END" for k in range(len(templates)))
+    every = " || ".join(f"b{k}" for k in range(len(base)))
+    return rf"""
+WITH d AS (SELECT doc_id, low, list_filter(regexp_split_to_array(low, '{NO_WORD}'), lambda x: x <> '') AS w FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents)),
+f AS (SELECT {vocabulary_} FROM d),
+s AS (SELECT doc_id, len(w) AS n_words, {bases}, {", ".join(scores)} FROM d, f),
+a AS (SELECT *, {every} AS starts FROM s)
+SELECT doc_id, n_words, len(starts) AS n_base, list_min(starts) - 1 AS first_word, list_max(starts) - 1 AS last_word, {joined(base_labels)} AS base_labels, {joined(labels)} AS labels,
+CASE WHEN len(starts) > 0 THEN 1.0 ELSE round(least(1.0, greatest({best})), 6) END AS score FROM a"""

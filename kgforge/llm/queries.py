@@ -26,4 +26,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": line_dedup.ORACLE, "op10_warc": warc.ORACLE}
+    return {"op2_line_dedup": line_dedup.ORACLE, "op6_license_scan": licenses.oracle(), "op10_warc": warc.ORACLE}
