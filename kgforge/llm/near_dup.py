@@ -49,6 +49,12 @@ def near(similarity: float) -> Column:
     return F.least("weight", "pivot_weight") >= SLACK * similarity * F.greatest("weight", "pivot_weight")
 
 
+def first_shared() -> Column:
+    """Whether the key is that of the first two bands that two documents share: a pair meets in one of its finer buckets only."""
+    both = F.array_intersect("k", "pivot_k")
+    return F.col("key") == F.xxhash64(F.get(both, F.lit(0)), F.get(both, F.lit(1)))
+
+
 def agree(similarity: float, samples: int) -> Column:
     """Whether two sketches agree in about as many samples as the similarity says."""
     same = F.aggregate(F.zip_with("sketch", "pivot_sketch", lambda a, b: (a == b).cast("int")), F.lit(0), lambda n, x: n + x)
@@ -215,7 +221,7 @@ def verified(pairs: DataFrame, texts: DataFrame, idf, similarity: float, size: i
                     out.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")).hint("merge"), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")).hint("merge"), "b")
     return both.select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long").distinct()
 
 
@@ -224,10 +230,10 @@ def components(edges: DataFrame) -> DataFrame:
     both = materialise(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "links")
     labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")), "labels")
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), F.col("label").alias("other")), "b").groupBy(F.col("a").alias("node")).agg(F.min("other").alias("other"))
-        lower = labels.join(near, "node").select("node", "label", F.least("label", "other").alias("next"))
+        near = both.join(labels.select(F.col("node").alias("b"), F.col("label").alias("other")).hint("merge"), "b").groupBy(F.col("a").alias("node")).agg(F.min("other").alias("other"))
+        lower = labels.join(near.hint("merge"), "node").select("node", "label", F.least("label", "other").alias("next"))
         # a label's own label is nearer to the end
-        jumped = lower.join(labels.select(F.col("node").alias("next"), F.col("label").alias("far")), "next", "left").select("node", F.least("next", F.coalesce("far", "next")).alias("label"), (F.least("next", F.coalesce("far", "next")) < F.col("label")).alias("moved"))
+        jumped = lower.join(labels.select(F.col("node").alias("next"), F.col("label").alias("far")).hint("merge"), "next", "left").select("node", F.least("next", F.coalesce("far", "next")).alias("label"), (F.least("next", F.coalesce("far", "next")) < F.col("label")).alias("moved"))
         new = materialise(jumped, "labels")
         if not new.where("moved").limit(1).count():
             return new.select("node", "label")
@@ -235,7 +241,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 class Links:
-    """Verified links and the components they form, which grow as more pairs are compared."""
+    """Verified links and the components they form, which grow as more pairs are compared.
+
+    Joins here and in components() merge at any size: a broadcast would pass the driver each time, and there are many of them.
+    """
 
     def __init__(self, texts: DataFrame, idf, similarity: float, size: int) -> None:
         self.texts, self.idf, self.similarity, self.size = texts, idf, similarity, size
@@ -248,7 +257,7 @@ class Links:
         return rows.where("rep <> pivot").select("rep", "pivot").distinct()
 
     def _labelled(self, rows: DataFrame) -> DataFrame:
-        of = lambda c: self.labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
+        of = lambda c: self.labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label")).hint("merge")
         out = rows.join(of("rep"), "rep", "left").join(of("pivot"), "pivot", "left")
         return out.withColumn("linked", F.coalesce("rep_label", "rep") == F.coalesce("pivot_label", "pivot"))
 
@@ -256,7 +265,7 @@ class Links:
         """Compares rep and pivot of each row, unless they are linked or were compared."""
         pairs = self._labelled(self._pairs(rows.where(near(self.similarity)))).where("NOT linked").select(F.greatest("rep", "pivot").alias("a"), F.least("rep", "pivot").alias("b")).distinct()
         for before in self.tested:
-            pairs = pairs.join(before, ["a", "b"], "left_anti")
+            pairs = pairs.join(before.hint("merge"), ["a", "b"], "left_anti")
         pairs = materialise(pairs, "pairs")
         self.tested.append(pairs)
         new = materialise(verified(pairs, self.texts, self.idf, self.similarity, self.size), "edges")
@@ -265,18 +274,18 @@ class Links:
 
     def _joined(self, new: DataFrame) -> DataFrame:
         """The labels with the new edges: only components that they touch are worked on."""
-        of = lambda c: self.labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
+        of = lambda c: self.labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label")).hint("merge")
         ends = new.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.coalesce("a_label", "a").alias("x"), F.coalesce("b_label", "b").alias("y"))
         top = components(ends.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")))
         nodes = self.labels.unionByName(ends.select(F.col("a").alias("node"), F.col("x").alias("label"))).unionByName(ends.select(F.col("b").alias("node"), F.col("y").alias("label"))).distinct()
-        moved = nodes.join(top.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left")
+        moved = nodes.join(top.select(F.col("node").alias("label"), F.col("label").alias("to")).hint("merge"), "label", "left")
         return materialise(moved.select("node", F.coalesce("to", "label").alias("label")).distinct(), "labels")
 
     def unlinked(self, members: DataFrame, rows: DataFrame) -> DataFrame:
         """The members (key, rep, weight) that are linked to none of their pivots in rows."""
         linked = self._labelled(self._pairs(rows)).where("linked").select("rep", "pivot")
-        done = rows.where("rep = pivot").select("key", "rep").union(rows.join(linked, ["rep", "pivot"]).select("key", "rep")).distinct()
-        return materialise(members.drop("pivot", "pivot_weight").join(done, ["key", "rep"], "left_anti"), "rest")
+        done = rows.where("rep = pivot").select("key", "rep").union(rows.join(linked.hint("merge"), ["rep", "pivot"]).select("key", "rep")).distinct()
+        return materialise(members.drop("pivot", "pivot_weight").join(done.hint("merge"), ["key", "rep"], "left_anti"), "rest")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE, df_bits: int = DF_BITS) -> DataFrame:
@@ -308,13 +317,14 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     # those left go on in finer buckets, of documents that agree in two bands
     agreed = rest.groupBy("rep", "weight").agg(F.sort_array(F.collect_set("key")).alias("k")).where(F.size("k") > 1)
     two = F.flatten(F.transform("k", lambda x, i: F.transform(F.slice("k", i + 2, F.size("k")), lambda y: F.xxhash64(x, y))))
-    finer = agreed.select("rep", "weight", F.explode(two).alias("key")).distinct()
+    finer = agreed.select("rep", "weight", "k", F.explode(two).alias("key")).dropDuplicates(["key", "rep"])
     shared = finer.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     rest = materialise(finer.join(shared, "key").join(mapped.where("keys IS NOT NULL").select("rep", "sketch").dropDuplicates(["rep"]), "rep"), "finer")
     pivots = MORE_PIVOTS
     while rest.limit(1).count():
-        first = rest.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("rep"))).where(F.col("rank") <= pivots).select("key", F.col("rep").alias("pivot"), F.col("weight").alias("pivot_weight"), F.col("sketch").alias("pivot_sketch"))
-        buckets = materialise(rest.join(first, "key").where((F.col("rep") >= F.col("pivot")) & near(similarity) & agree(similarity, bands * rows)).drop("sketch", "pivot_sketch"), "buckets")
+        first = rest.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("rep"))).where(F.col("rank") <= pivots).select("key", F.col("rep").alias("pivot"), F.col("weight").alias("pivot_weight"), F.col("sketch").alias("pivot_sketch"), F.col("k").alias("pivot_k"))
+        other = (F.col("rep") > F.col("pivot")) & near(similarity) & first_shared() & agree(similarity, bands * rows)
+        buckets = materialise(rest.join(first, "key").where((F.col("rep") == F.col("pivot")) | other).drop("sketch", "pivot_sketch", "k", "pivot_k"), "buckets")
         links.compare(buckets)
         rest, pivots = links.unlinked(rest, buckets), pivots * 8
     labels = links.labels
