@@ -84,7 +84,7 @@ def shared_backoff(top: DataFrame, order: int = ORDER, discount: float = DISCOUN
     for k in range(2, order):
         rows = levels[k].withColumns({"ctx": F.substr("s", F.lit(1), F.lit(k - 1)), "low": F.substr("s", F.lit(2))})
         ctx = rows.groupBy("ctx").agg(F.sum("n").alias("all"), F.count("*").alias("kinds"))
-        p = rows.join(ctx, "ctx").join(p.withColumnRenamed("s", "low"), "low").select("s", ((F.col("n") - discount + discount * F.col("kinds") * F.col("p")) / F.col("all")).alias("p"))
+        p = rows.join(ctx.hint("merge"), "ctx").join(p.withColumnRenamed("s", "low").hint("merge"), "low").select("s", ((F.col("n") - discount + discount * F.col("kinds") * F.col("p")) / F.col("all")).alias("p"))
     return p
 
 
@@ -94,7 +94,7 @@ def ratios(top: DataFrame, order: int = ORDER, discount: float = DISCOUNT) -> tu
     ctx = rows.groupBy("ctx").agg(*[f(f"c{k}") .alias(f"{name}{k}") for k in (0, 1) for f, name in ((F.sum, "all"), (lambda c: F.count_if(F.col(c) > 0), "kinds"))])
     rest = lambda k: F.when(F.col(f"all{k}") > 0, discount * F.col(f"kinds{k}") / F.col(f"all{k}")).otherwise(1.0)
     own = lambda k: F.when(F.col(f"all{k}") > 0, F.greatest(F.col(f"c{k}") - discount, F.lit(0.0)) / F.col(f"all{k}")).otherwise(0.0)
-    p = rows.join(ctx, "ctx").join(shared_backoff(top, order, discount), "s")
+    p = rows.join(ctx.hint("merge"), "ctx").join(shared_backoff(top, order, discount).hint("merge"), "s")
     seen = p.select("g", (F.col("c0") + F.col("c1")).alias("n"), F.log((own(1) + rest(1) * F.col("p")) / (own(0) + rest(0) * F.col("p"))).alias("llr"))
     unseen = ctx.select("ctx", (F.col("all0") + F.col("all1")).alias("n"), F.log(rest(1) / rest(0)).alias("llr"))
     return seen, unseen
