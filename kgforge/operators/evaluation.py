@@ -57,7 +57,6 @@ def bootstrap(rows: DataFrame, replicates: int = 2000, seed: int = 0) -> DataFra
     The number of times that a row is drawn is Poisson of mean one, by hash of replicate and row, so no replicate needs its rows in one
     place: sums by replicate are combined before the shuffle.
     """
-    spark = rows.sparkSession
     numbered = rows.withColumn("_row", F.xxhash64(*rows.columns)).withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     u = (F.pmod(F.xxhash64(F.lit(seed), "_row", "_rep"), F.lit(1 << 30)) + 0.5) / (1 << 30)
     times, term, total = F.lit(0), 0.36787944117144233, 0.0
@@ -67,7 +66,6 @@ def bootstrap(rows: DataFrame, replicates: int = 2000, seed: int = 0) -> DataFra
         term /= k
     sums = numbered.withColumn("_n", times).groupBy("_rep").agg(*[F.sum(F.col(c) * F.col("_n")).alias(c) for c in ("tp", "fp", "fn")])
     f1 = sums.select(*prf(F.col("tp"), F.col("fp"), F.col("fn"))).where("f1 IS NOT NULL")
-    del spark
     return f1.agg(F.percentile("f1", F.array(F.lit(0.025), F.lit(0.975))).alias("q")).select(F.get("q", F.lit(0)).alias("f1_low"), F.get("q", F.lit(1)).alias("f1_high"))
 
 

@@ -116,3 +116,27 @@ def test_files(spark, tmp_path):
 
 def test_normalised_text_keeps_spaces(spark):
     assert spark.createDataFrame([("a b",)], "t string").select(normalize_text(F.col("t"))).first()[0] == "a b"
+
+
+def test_bootstrap_interval(spark):
+    import numpy as np
+
+    from kgforge.operators import evaluation
+
+    rng = np.random.default_rng(0)
+    counts = [(int(rng.integers(0, 6)), int(rng.integers(0, 3)), int(rng.integers(0, 3)), k) for k in range(150)]
+    got = evaluation.bootstrap(spark.createDataFrame(counts, "tp long, fp long, fn long, id long"), 400).first()
+    x = np.array(counts)[:, :3]
+    drawn = x[rng.integers(0, len(x), (2000, len(x)))].sum(1)
+    f1 = 2 * drawn[:, 0] / (2 * drawn[:, 0] + drawn[:, 1] + drawn[:, 2])
+    assert abs(got["f1_low"] - np.quantile(f1, 0.025)) < 0.02 and abs(got["f1_high"] - np.quantile(f1, 0.975)) < 0.02
+
+
+def test_filters_causes_and_pages_of_nothing(spark):
+    from kgforge.operators import evaluation, metrics
+
+    none = spark.createDataFrame([], "job_status string, created_at long, finished_at long")
+    assert metrics.durations(none, "job_status").count() == 0 and metrics.wall_clock(none).first()["n_jobs"] == 0
+    assert evaluation.micro(spark.createDataFrame([], "tp long, fp long, fn long")).first()["f1"] is None
+    jobs = spark.createDataFrame([("F", 0, None), ("F", 0, 10), ("O", 5, None)], "job_status string, created_at long, finished_at long")
+    assert {r["job_status"]: r["avg_ms"] for r in metrics.durations(jobs, "job_status").collect()} == {"F": 10, "O": 0}
