@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import itertools
 import tempfile
 import uuid
 from functools import lru_cache
@@ -36,11 +38,24 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/kgforge-{tag}-{uuid.uuid4().hex}"
 
 
+#: After so many tables, what they were made from is let go.
+RELEASE_EVERY = 6
+_written = itertools.count(1)
+
+
+def release(spark: SparkSession) -> None:
+    """Has the driver collect its garbage, so that Spark drops shuffles and broadcasts of rounds that are over and the heap stays small."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Writes df into the shared folder and reads it back, which cuts its lineage and survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, tag)
     df.write.parquet(path)
+    if next(_written) % RELEASE_EVERY == 0:
+        release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
