@@ -21,6 +21,7 @@ doc_id are one document, whose links are those of any of its texts; an empty tab
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -241,49 +242,37 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 class Links:
-    """Verified links and the components they form, which grow as more pairs are compared.
+    """Verified links, and the components they form as of the last call of join().
 
     Joins here and in components() merge at any size: a broadcast would pass the driver each time, and there are many of them.
     """
 
     def __init__(self, texts: DataFrame, idf, similarity: float, size: int) -> None:
         self.texts, self.idf, self.similarity, self.size = texts, idf, similarity, size
-        spark = texts.sparkSession
-        self.tested, self.labels = [], spark.createDataFrame([], "node long, label long")
+        self.edges: list[DataFrame] = []
+        self.labels = texts.sparkSession.createDataFrame([], "node long, label long")
 
-    @staticmethod
-    def _pairs(rows: DataFrame) -> DataFrame:
-        """A pair once, in however many buckets it meets."""
-        return rows.where("rep <> pivot").select("rep", "pivot").distinct()
-
-    def _labelled(self, rows: DataFrame) -> DataFrame:
+    def _linked(self, rows: DataFrame) -> DataFrame:
+        """The different pairs of rep and pivot of the rows, and whether they are linked; a pair counts once, in however many buckets."""
         of = lambda c: self.labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label")).hint("merge")
-        out = rows.join(of("rep"), "rep", "left").join(of("pivot"), "pivot", "left")
+        pairs = rows.where("rep <> pivot").select("rep", "pivot").distinct()
+        out = pairs.join(of("rep"), "rep", "left").join(of("pivot"), "pivot", "left")
         return out.withColumn("linked", F.coalesce("rep_label", "rep") == F.coalesce("pivot_label", "pivot"))
 
     def compare(self, rows: DataFrame) -> None:
-        """Compares rep and pivot of each row, unless they are linked or were compared."""
-        pairs = self._labelled(self._pairs(rows.where(near(self.similarity)))).where("NOT linked").select(F.greatest("rep", "pivot").alias("a"), F.least("rep", "pivot").alias("b")).distinct()
-        for before in self.tested:
-            pairs = pairs.join(before.hint("merge"), ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "pairs")
-        self.tested.append(pairs)
-        new = materialise(verified(pairs, self.texts, self.idf, self.similarity, self.size), "edges")
-        if new.limit(1).count():
-            self.labels = self._joined(new)
-
-    def _joined(self, new: DataFrame) -> DataFrame:
-        """The labels with the new edges: only components that they touch are worked on."""
-        of = lambda c: self.labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label")).hint("merge")
-        ends = new.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.coalesce("a_label", "a").alias("x"), F.coalesce("b_label", "b").alias("y"))
-        top = components(ends.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")))
-        nodes = self.labels.unionByName(ends.select(F.col("a").alias("node"), F.col("x").alias("label"))).unionByName(ends.select(F.col("b").alias("node"), F.col("y").alias("label"))).distinct()
-        moved = nodes.join(top.select(F.col("node").alias("label"), F.col("label").alias("to")).hint("merge"), "label", "left")
-        return materialise(moved.select("node", F.coalesce("to", "label").alias("label")).distinct(), "labels")
-
-    def unlinked(self, members: DataFrame, rows: DataFrame) -> DataFrame:
-        """The members (key, rep, weight) that are linked to none of their pivots in rows."""
-        linked = self._labelled(self._pairs(rows)).where("linked").select("rep", "pivot")
+        """Compares rep and pivot of each row, unless they are linked."""
+        pairs = self._linked(rows.where(near(self.similarity))).where("NOT linked").select(F.greatest("rep", "pivot").alias("a"), F.least("rep", "pivot").alias("b")).distinct()
+        self.edges.append(materialise(verified(pairs, self.texts, self.idf, self.similarity, self.size), "edges"))
+
+    def join(self) -> None:
+        self.labels = components(reduce(DataFrame.union, self.edges))
+
+    def unlinked(self, members: DataFrame, rows: DataFrame, joined: bool) -> DataFrame:
+        """The members (key, rep, weight …) that are linked to none of their pivots in rows: by component if joined, else by the last edges."""
+        if joined:
+            linked = self._linked(rows).where("linked").select("rep", "pivot")
+        else:
+            linked = self.edges[-1].select(F.col("a").alias("rep"), F.col("b").alias("pivot"))
         done = rows.where("rep = pivot").select("key", "rep").union(rows.join(linked.hint("merge"), ["rep", "pivot"]).select("key", "rep")).distinct()
         return materialise(members.drop("pivot", "pivot_weight").join(done.hint("merge"), ["key", "rep"], "left_anti"), "rest")
 
@@ -308,12 +297,14 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
 
     links = Links(texts, idf, similarity, size)
     links.compare(buckets)
-    rest = links.unlinked(buckets, buckets)
-    if rest.limit(1).count():
-        # others of the same bucket at random, other ones in each bucket
-        some = buckets.groupBy("key").agg(*[F.min_by(F.struct("rep", "weight"), F.xxhash64("rep", "key", F.lit(k))).alias(f"p{k}") for k in range(RANDOM_PIVOTS)]).select("key", F.explode(F.array_distinct(F.array(*[f"p{k}" for k in range(RANDOM_PIVOTS)]))).alias("p")).select("key", *pivot_columns())
-        links.compare(rest.join(some, "key"))
-        rest = links.unlinked(rest, buckets)
+    links.join()
+    rest = links.unlinked(buckets, buckets, joined=True)
+    # others of the same bucket at random, other ones in each bucket
+    some = buckets.groupBy("key").agg(*[F.min_by(F.struct("rep", "weight"), F.xxhash64("rep", "key", F.lit(k))).alias(f"p{k}") for k in range(RANDOM_PIVOTS)])
+    some = some.select("key", F.explode(F.array_distinct(F.array(*[f"p{k}" for k in range(RANDOM_PIVOTS)]))).alias("p")).select("key", *pivot_columns())
+    links.compare(rest.join(some.hint("merge"), "key"))
+    links.join()
+    rest = links.unlinked(rest, buckets, joined=True)
     # those left go on in finer buckets, of documents that agree in two bands
     agreed = rest.groupBy("rep", "weight").agg(F.sort_array(F.collect_set("key")).alias("k")).where(F.size("k") > 1)
     two = F.flatten(F.transform("k", lambda x, i: F.transform(F.slice("k", i + 2, F.size("k")), lambda y: F.xxhash64(x, y))))
@@ -326,7 +317,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
         other = (F.col("rep") > F.col("pivot")) & near(similarity) & first_shared() & agree(similarity, bands * rows)
         buckets = materialise(rest.join(first, "key").where((F.col("rep") == F.col("pivot")) | other).drop("sketch", "pivot_sketch", "k", "pivot_k"), "buckets")
         links.compare(buckets)
-        rest, pivots = links.unlinked(rest, buckets), pivots * 8
+        rest, pivots = links.unlinked(rest, buckets, joined=False), pivots * 8
+    links.join()
     labels = links.labels
     classes = mapped.select("doc_id", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("label", "rep").alias("class_id"), F.col("rep").alias("exact_id")).groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.min("exact_id").alias("exact_id"))
     return docs.select("doc_id").join(classes, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("exact_id", "doc_id").alias("exact_id"))
