@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import MIX as MULTIPLIER
-from .common import materialise, small_batches, word_hashes
+from .common import materialise, release, small_batches, word_hashes
 
 SHINGLE = 5
 DF_BITS = 18
@@ -263,6 +263,8 @@ class Links:
         """Compares rep and pivot of each row, unless they are linked."""
         pairs = self._linked(rows.where(near(self.similarity))).where("NOT linked").select(F.greatest("rep", "pivot").alias("a"), F.least("rep", "pivot").alias("b")).distinct()
         self.edges.append(materialise(verified(pairs, self.texts, self.idf, self.similarity, self.size), "edges"))
+        del pairs
+        release(self.texts.sparkSession)  # the texts that were dealt out for the pairs
 
     def join(self) -> None:
         self.labels = components(reduce(DataFrame.union, self.edges))
