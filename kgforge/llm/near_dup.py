@@ -1,7 +1,7 @@
 """Near-duplicate documents: improved consistent weighted sampling over TF-IDF shingles, banded, verified by weighted Jaccard.
 
 A document is the weighted set of its word shingles (five words; a shorter text is one shingle), weighed by count times inverse document
-frequency. Document frequencies of all documents are kept in `DF_SLOTS` counters by shingle hash, so their size doesn't grow with the
+frequency. Document frequencies of all documents are kept in 2 ** `DF_BITS` counters by shingle hash, so their size doesn't grow with the
 corpus. Each of `bands * rows` samples picks a shingle by improved consistent weighted sampling, so two documents agree in a sample as
 often as their weighted Jaccard similarity says; documents that agree in all samples of a band are candidates.
 
