@@ -5,12 +5,12 @@ frequency. Document frequencies of all documents are kept in 2 ** `DF_BITS` coun
 corpus. Each of `bands * rows` samples picks a shingle by improved consistent weighted sampling, so two documents agree in a sample as
 often as their weighted Jaccard similarity says; documents that agree in all samples of a band are candidates.
 
-Texts of equal words are one class from the start, and only its smallest doc_id goes on. Within a band's bucket every member is compared
-with a pivot, the smallest id, instead of with all others. Members that are not linked to it are compared with `RANDOM_PIVOTS` others of
-the bucket, which differ from bucket to bucket. Those still unlinked go on in finer buckets of documents that agree in two bands, where
-they get pivots among themselves, `MORE_PIVOTS` at first and more in each round, until none is left without; there a pair's texts are
-compared only if their sketches, a byte of every sample, agree about as the similarity asks. So a bucket of one large group costs a
-comparison or so a member, and only texts that agree in several bands are compared throughout. Links are verified
+Texts of equal words are one class from the start, and only its smallest doc_id goes on. Within a band's bucket every member is first
+compared with a pivot, the smallest id. That leaves buckets whose members are of several components: there, those outside the bucket's
+largest component meet all members of other components, linked ones too, block by block. Members go on whose sketches, a byte of every
+sample, agree with one of those about as the similarity asks; their texts are laid out once a block, and compared unless the links found
+in the block have joined them already, so a block gives fewer links than it has members. A bucket of one large group costs a comparison
+or so a member, and no pair that shares a band and agrees is left out. Links are verified
 on the whole texts, by weighted Jaccard or, where that fails by the weights alone, by that of the plain shingle sets; their connected
 components are the classes, named by their smallest doc_id.
 
@@ -25,7 +25,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import MIX as MULTIPLIER
@@ -36,8 +36,8 @@ DF_BITS = 18
 BANDS, ROWS = 20, 5
 SIMILARITY = 0.8
 POOL_BITS = 16
-RANDOM_PIVOTS = 3
-MORE_PIVOTS = 16
+#: Members of a bucket that meet in one block, and what they may weigh (some megabytes of text).
+BLOCK, BLOCK_WEIGHT = 1024, 4e6
 #: Samples agree in the share that the similarity says, give or take a twentieth; this far below it lies none of a million.
 MARGIN = 0.18
 SALTS = 8
@@ -50,16 +50,27 @@ def near(similarity: float) -> Column:
     return F.least("weight", "pivot_weight") >= SLACK * similarity * F.greatest("weight", "pivot_weight")
 
 
-def first_shared() -> Column:
-    """Whether the key is that of the first two bands that two documents share: a pair meets in one of its finer buckets only."""
-    both = F.array_intersect("k", "pivot_k")
-    return F.col("key") == F.xxhash64(F.get(both, F.lit(0)), F.get(both, F.lit(1)))
+def agreeing(similarity: float, samples: int):
+    """Of a block of members (x or not), the keys and ids of those that agree with one of another label on the other side."""
+    least, step = (similarity - MARGIN) * samples, 4_000_000 // samples
 
+    def pick(block: pa.Table) -> pa.Table:
+        x = block["x"].to_numpy()
+        rep, weight, label = (block[c].to_numpy() for c in ("rep", "weight", "label"))
+        sketch = np.concatenate([c.flatten().to_numpy() for c in block["sketch"].chunks]).reshape(-1, samples)
+        own, other = np.flatnonzero(x), np.flatnonzero(~x)
+        agrees, step_ = np.zeros(len(x), bool), max(1, step // max(1, len(other)))
+        for at in range(0, len(own), step_):
+            part = own[at : at + step_]
+            low, high = np.minimum(weight[part][:, None], weight[other]), np.maximum(weight[part][:, None], weight[other])
+            i, j = np.nonzero((label[part][:, None] != label[other]) & (low >= SLACK * similarity * high))
+            same = (sketch[part[i]] == sketch[other[j]]).sum(1, dtype=np.int32) >= least
+            agrees[part[i[same]]] = True
+            agrees[other[j[same]]] = True
+        found = np.unique(rep[agrees])
+        return pa.table({"key": np.full(len(found), block["key"][0].as_py(), np.int64), "rep": found})
 
-def agree(similarity: float, samples: int) -> Column:
-    """Whether two sketches agree in about as many samples as the similarity says."""
-    same = F.aggregate(F.zip_with("sketch", "pivot_sketch", lambda a, b: (a == b).cast("int")), F.lit(0), lambda n, x: n + x)
-    return same >= (similarity - MARGIN) * samples
+    return pick
 
 
 def pivot_columns() -> list[Column]:
@@ -226,6 +237,48 @@ def verified(pairs: DataFrame, texts: DataFrame, idf, similarity: float, size: i
     return both.select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long").distinct()
 
 
+def linking(idf, similarity: float, size: int = SHINGLE):
+    """Of a block of texts (x or not), links (a, b) between the sides that join all that verified() would."""
+
+    def pick(block: pa.Table) -> pa.Table:
+        weigh = idf.value
+        shift = np.uint64(64 - len(weigh).bit_length() + 1)
+        block = block.sort_by("x").combine_chunks()  # the others first
+        stream = shingle_stream(block["text"].combine_chunks(), size)
+        found = [shingles(stream, i, size) for i in range(block.num_rows)]
+        used = np.flatnonzero([len(h) for h, _ in found])
+        x, rep, label = (block[c].to_numpy()[used] for c in ("x", "rep", "label"))
+        out, n = [], int((~x).sum())
+        if 0 < n < len(x):
+            h = np.concatenate([found[i][0] for i in used])
+            weight = np.concatenate([found[i][1] for i in used]) * weigh[h >> shift]
+            sizes = np.array([len(found[i][0]) for i in used])
+            first = np.r_[0, np.cumsum(sizes)]
+            total = np.add.reduceat(weight, first[:-1], dtype=float)
+            h, at = np.unique(h, return_inverse=True)
+            row, joined = np.zeros(len(h)), np.unique(label, return_inverse=True)[1]
+            either = lambda a, of, both: of[a] + of[:n][left] - both
+            for a in range(n, len(x)):
+                alike_size = (np.minimum(sizes[:n], sizes[a]) >= similarity * np.maximum(sizes[:n], sizes[a])) | (np.minimum(total[:n], total[a]) >= similarity * 0.999 * np.maximum(total[:n], total[a]))
+                left = np.flatnonzero((joined[:n] != joined[a]) & alike_size)
+                if not len(left):
+                    continue
+                own = slice(first[a], first[a + 1])
+                row[at[own]] = weight[own]
+                starts = np.r_[0, np.cumsum(sizes[left])]
+                of = np.arange(starts[-1]) + np.repeat(first[left] - starts[:-1], sizes[left])
+                got = row[at[of]]
+                both, shared = np.add.reduceat(np.minimum(got, weight[of]), starts[:-1]), np.add.reduceat((got > 0).astype(float), starts[:-1])
+                row[at[own]] = 0
+                for k in left[(both / either(a, total, both) >= similarity) | (shared / either(a, sizes, shared) >= similarity)]:
+                    if joined[k] != joined[a]:
+                        out.append(sorted((rep[a], rep[k]), reverse=True))
+                        joined[joined == joined[k]] = joined[a]
+        return pa.table({c: np.array([pair[k] for pair in out], np.int64) for k, c in enumerate("ab")})
+
+    return pick
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node and label, the smallest node of its component, of every node of the edges (a, b)."""
     both = materialise(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "links")
@@ -252,31 +305,51 @@ class Links:
         self.edges: list[DataFrame] = []
         self.labels = texts.sparkSession.createDataFrame([], "node long, label long")
 
-    def _linked(self, rows: DataFrame) -> DataFrame:
-        """The different pairs of rep and pivot of the rows, and whether they are linked; a pair counts once, in however many buckets."""
-        of = lambda c: self.labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label")).hint("merge")
-        pairs = rows.where("rep <> pivot").select("rep", "pivot").distinct()
-        out = pairs.join(of("rep"), "rep", "left").join(of("pivot"), "pivot", "left")
-        return out.withColumn("linked", F.coalesce("rep_label", "rep") == F.coalesce("pivot_label", "pivot"))
+    def labelled(self, rows: DataFrame) -> DataFrame:
+        """rows with label, that of rep's component."""
+        labels = self.labels.select(F.col("node").alias("rep"), "label").hint("merge")
+        return rows.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
 
     def compare(self, rows: DataFrame) -> None:
-        """Compares rep and pivot of each row, unless they are linked."""
-        pairs = self._linked(rows.where(near(self.similarity))).where("NOT linked").select(F.greatest("rep", "pivot").alias("a"), F.least("rep", "pivot").alias("b")).distinct()
+        """Compares rep and pivot of each row; a pair counts once, in however many buckets."""
+        pairs = rows.where("rep <> pivot").select(F.greatest("rep", "pivot").alias("a"), F.least("rep", "pivot").alias("b")).distinct()
         self.edges.append(materialise(verified(pairs, self.texts, self.idf, self.similarity, self.size), "edges"))
         del pairs
         release(self.texts.sparkSession)  # the texts that were dealt out for the pairs
 
+    def meet(self, rows: DataFrame, samples: int) -> None:
+        """Links between members apart and all others of their buckets; rows are those of apart()."""
+        met = dealt(rows).groupBy("key", "i", "j").applyInArrow(agreeing(self.similarity, samples), "key long, rep long")
+        met = materialise(met.distinct(), "met")
+        some = rows.drop("sketch").distinct().join(met.hint("merge"), ["key", "rep"], "left_semi")
+        some = some.join(self.texts.withColumnRenamed("doc_id", "rep").hint("merge"), "rep")
+        links = dealt(some).groupBy("key", "i", "j").applyInArrow(linking(self.idf, self.similarity, self.size), "a long, b long")
+        self.edges.append(materialise(links.distinct(), "edges"))
+        release(self.texts.sparkSession)
+
     def join(self) -> None:
         self.labels = components(reduce(DataFrame.union, self.edges))
 
-    def unlinked(self, members: DataFrame, rows: DataFrame, joined: bool) -> DataFrame:
-        """The members (key, rep, weight …) that are linked to none of their pivots in rows: by component if joined, else by the last edges."""
-        if joined:
-            linked = self._linked(rows).where("linked").select("rep", "pivot")
-        else:
-            linked = self.edges[-1].select(F.col("a").alias("rep"), F.col("b").alias("pivot"))
-        done = rows.where("rep = pivot").select("key", "rep").union(rows.join(linked.hint("merge"), ["rep", "pivot"]).select("key", "rep")).distinct()
-        return materialise(members.drop("pivot", "pivot_weight").join(done.hint("merge"), ["key", "rep"], "left_anti"), "rest")
+
+def apart(links: Links, buckets: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Members of the buckets of several components, with sketch, label, whether they are outside the largest one, and numbers of blocks."""
+    rows = links.labelled(buckets.select("key", "rep", "weight"))
+    sizes = rows.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum("weight").alias("w")).groupBy("key")
+    largest = sizes.agg(F.max_by(F.struct("label", "n", "w"), F.struct("n", "label")).alias("top"), F.sum("n").alias("n"), F.sum("w").alias("w"))
+    # two members have been compared, as one of them is the pivot
+    largest = largest.where("top.n < n AND n > 2")
+    blocks = lambda n, w: F.ceil(F.greatest(n / BLOCK, w / BLOCK_WEIGHT, F.lit(1))).cast("int")
+    of = largest.select("key", F.col("top.label").alias("top"), blocks(F.col("n") - F.col("top.n"), F.col("w") - F.col("top.w")).alias("nx"), blocks(F.col("n"), F.col("w")).alias("ny"))
+    return rows.join(of.hint("merge"), "key").join(sketches.hint("merge"), "rep").select("key", "rep", "weight", "label", "sketch", "nx", "ny", (F.col("label") != F.col("top")).alias("apart"))
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """rows of apart() in blocks (key, i, j): those apart as x beside each block of all members."""
+    place = lambda n: F.pmod(F.hash("rep"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    x = rows.where("apart").withColumns({"x": F.lit(True), "i": place("nx")}).withColumn("j", every("ny"))
+    y = rows.withColumns({"x": F.lit(False), "j": place("ny")}).withColumn("i", every("nx"))
+    return x.unionByName(y).drop("nx", "ny", "apart")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE, df_bits: int = DF_BITS) -> DataFrame:
@@ -298,28 +371,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     texts = materialise(docs.join(involved, "doc_id", "left_semi"), "involved")
 
     links = Links(texts, idf, similarity, size)
-    links.compare(buckets)
-    links.join()
-    rest = links.unlinked(buckets, buckets, joined=True)
-    # others of the same bucket at random, other ones in each bucket
-    some = buckets.groupBy("key").agg(*[F.min_by(F.struct("rep", "weight"), F.xxhash64("rep", "key", F.lit(k))).alias(f"p{k}") for k in range(RANDOM_PIVOTS)])
-    some = some.select("key", F.explode(F.array_distinct(F.array(*[f"p{k}" for k in range(RANDOM_PIVOTS)]))).alias("p")).select("key", *pivot_columns())
-    links.compare(rest.join(some.hint("merge"), "key"))
+    links.compare(buckets.where(near(similarity)))
     links.join()
-    rest = links.unlinked(rest, buckets, joined=True)
-    # those left go on in finer buckets, of documents that agree in two bands
-    agreed = rest.groupBy("rep", "weight").agg(F.sort_array(F.collect_set("key")).alias("k")).where(F.size("k") > 1)
-    two = F.flatten(F.transform("k", lambda x, i: F.transform(F.slice("k", i + 2, F.size("k")), lambda y: F.xxhash64(x, y))))
-    finer = agreed.select("rep", "weight", "k", F.explode(two).alias("key")).dropDuplicates(["key", "rep"])
-    shared = finer.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    rest = materialise(finer.join(shared, "key").join(mapped.where("keys IS NOT NULL").select("rep", "sketch").dropDuplicates(["rep"]), "rep"), "finer")
-    pivots = MORE_PIVOTS
-    while rest.limit(1).count():
-        first = rest.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("rep"))).where(F.col("rank") <= pivots).select("key", F.col("rep").alias("pivot"), F.col("weight").alias("pivot_weight"), F.col("sketch").alias("pivot_sketch"), F.col("k").alias("pivot_k"))
-        other = (F.col("rep") > F.col("pivot")) & near(similarity) & first_shared() & agree(similarity, bands * rows)
-        buckets = materialise(rest.join(first, "key").where((F.col("rep") == F.col("pivot")) | other).drop("sketch", "pivot_sketch", "k", "pivot_k"), "buckets")
-        links.compare(buckets)
-        rest, pivots = links.unlinked(rest, buckets, joined=False), pivots * 8
+    sketches = mapped.where("keys IS NOT NULL").select("rep", "sketch").distinct()
+    links.meet(materialise(apart(links, buckets, sketches), "apart"), bands * rows)
     links.join()
     labels = links.labels
     classes = mapped.select("doc_id", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("label", "rep").alias("class_id"), F.col("rep").alias("exact_id")).groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.min("exact_id").alias("exact_id"))

@@ -56,6 +56,34 @@ def test_classes_match_brute_force(spark):
     assert got == brute(rows)
 
 
+def test_copies_of_copies_in_a_large_family(spark):
+    rng = random.Random(5)
+    base, edits = [f"b{k}" for k in range(200)], [f"e{k}" for k in range(300)]
+
+    def edited(text, n):
+        own = list(text)
+        for k in rng.sample([k for k in range(200) if own[k][0] == "b"], n):
+            own[k] = rng.choice(edits)
+        return own
+
+    first = [edited(base, 4) for _ in range(400)]
+    # near one of the family only: 18 more words of 200 go
+    texts = first + [edited(rng.choice(first), 18) for _ in range(80)]
+    # others that hold all words of edits, so all words of the family weigh about alike
+    texts += [edits + [f"o{n}x{k}" for k in range(300)] for n in range(400)]
+    rows = list(enumerate(" ".join(t) for t in texts))
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=1).collect()}
+    sets = [frozenset(t) for t in texts]
+    root = list(range(len(sets)))
+    find = lambda d: d if root[d] == d else find(root[d])
+    for a in range(480):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    assert got == {d: find(d) for d in range(len(sets))}
+
+
 def test_odd_rows(spark):
     rows = [(1, None), (2, None), (3, ""), (4, "..."), (5, "a b"), (6, "A b!"), (7, "a"), (None, "a b"), (5, "a b"), (8, "long " * 200_000), (9, "long " * 200_000)]
     got = [(r["doc_id"], r["class_id"]) for r in near_dup.op4(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
