@@ -7,6 +7,7 @@ singular vectors. Benchmark items, and windows of the documents as long as the i
 whose cosine with an item reaches `cosine`, more than their neighbours', are candidates. A candidate is checked on the words themselves:
 the longest common subsequence of item and window must cover `WHOLE` of the item, or `PART` of it with the item's answer (its last
 sentence) there too, as a subsequence that covers `ANSWER` of it. Before that, candidates go that share too few words to reach `PART`.
+Windows are too coarse for short items: those of fewer than `EXACT` words are also matched as consecutive words, by hash at every word.
 
 Defined cases: null or empty texts and items have no words and match nothing; items of fewer than `MIN_WORDS` words match only as
 consecutive words; repeated items match alike; a null doc_id is scored like any; empty tables give empty results or no matches. Other
@@ -24,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import MIX as MULTIPLIER
 from .common import small_batches, word_hashes
 
 BITS = 14
@@ -33,6 +35,8 @@ COSINE = 0.75
 WHOLE, PART, ANSWER = 0.7, 0.55, 0.9
 MIN_WORDS = 8
 MAX_ITEMS = 2000
+#: Items of fewer words are also looked for at every word, unchanged.
+EXACT = 15
 #: Windows of a class are as long as its shortest item; the longest is shorter than this times that.
 RATIO = 1.4
 #: Words that are searched at once, and columns of the table that counts shared words.
@@ -140,16 +144,31 @@ def within(item: list[int], answer: list[int], window: list[int]) -> bool:
     return n >= WHOLE or n >= PART and lcs(answer, window) >= ANSWER * len(answer)
 
 
+def runs(h: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each size up to the longest: hashes of so many consecutive words from each word on."""
+    out = np.zeros(len(h), np.uint64)
+    for k in range(min(longest, len(h))):
+        out = (out[: len(h) - k] ^ (h[k:] + np.uint64(k + 1))) * MULTIPLIER
+        out ^= out >> np.uint64(29)
+        yield k + 1, out
+
+
 class Items:
-    """Benchmark items by length class: ids, words, answers, and places in the latent space."""
+    """Benchmark items by length class: ids, words, answers, and places in the latent space; short ones by their hash as well."""
 
     def __init__(self, rows: list[tuple[int, str]], space: np.ndarray) -> None:
         mask = np.uint64(len(space) - 1)
         by: dict[int, list] = {}
+        short: dict[int, dict[int, list[int]]] = {}
         for (item_id, text), words in zip(rows, words_of([t for _, t in rows]), strict=True):
             if words:
                 length = int(np.ceil(RATIO ** np.floor(np.log(len(words)) / np.log(RATIO) + 1e-9)))
                 by.setdefault(min(length, len(words)), []).append((item_id, words, answer_of(text)))
+                if len(words) < EXACT:
+                    *_, (size, own) = runs(np.array(words, np.uint64), len(words))
+                    short.setdefault(size, {}).setdefault(int(own[0]), []).append(item_id)
+        #: by number of words: sorted hashes and the ids of each
+        self.exact = {size: (np.array(sorted(ids), np.uint64), [ids[x] for x in sorted(ids)]) for size, ids in short.items()}
         self.classes = []
         for length, items in sorted(by.items()):
             hashed = [(np.array(words, np.uint64) & mask).astype(np.int64) for _, words, _ in items]
@@ -195,6 +214,19 @@ def candidates(words: np.ndarray, space: np.ndarray, items: Items, cosine: float
                 yield own[item], max(0, f), f + reach
 
 
+def copies(h: np.ndarray, bounds: np.ndarray, items: Items) -> Iterator[tuple[int, list[int]]]:
+    """(text, item ids) of the short items that stand unchanged within a text."""
+    for size, own in runs(h, max(items.exact, default=0)):
+        if size in items.exact:
+            known, ids = items.exact[size]
+            at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+            begin = np.flatnonzero(known[at] == own)
+            doc = np.searchsorted(bounds, begin, "right") - 1
+            inside = begin + size <= bounds[doc + 1]
+            for d, k in set(zip(doc[inside].tolist(), at[begin[inside]].tolist(), strict=True)):
+                yield d, ids[k]
+
+
 def search(docs: DataFrame, model, cosine: float) -> DataFrame:
     """doc_id and found (item ids) of the documents that contain any."""
     small_batches(docs.sparkSession, 500)
@@ -217,6 +249,8 @@ def search(docs: DataFrame, model, cosine: float) -> DataFrame:
                         if item_id not in held and within(parts, answer, h[max(first, bounds[doc]) : min(end, bounds[doc + 1])].tolist()):
                             found.setdefault(doc, set()).add(item_id)
                         doc += 1
+            for doc, ids in copies(h, bounds, items):
+                found.setdefault(doc, set()).update(ids)
             at = sorted(found)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at, pa.int64())), pa.array([sorted(found[d]) for d in at], pa.list_(pa.int64()))], names=["doc_id", "found"])
 

@@ -68,3 +68,19 @@ def test_product_is_that_of_the_passages():
     y = counts @ g
     assert np.allclose(z, counts.T @ (y / np.linalg.norm(y, axis=1, keepdims=True)), atol=1e-4) and (n == (counts > 0).sum(0)).all()
     assert pa is not None
+
+
+def test_every_copy_of_a_short_item_is_found(spark):
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(4000)}"
+    items = [(k, " ".join(word() for _ in range(5 + k % 10))) for k in range(300)]
+    texts = []
+    for k, item in items:
+        own = [word() for _ in range(200)]
+        at = rng.randrange(200)
+        texts.append((k, " ".join([*own[:at], item, *own[at:]])))
+    # the words of an item, but over the end of a text
+    texts += [(1000, "x " + " ".join(items[0][1].split()[:3])), (1001, " ".join(items[0][1].split()[3:]) + " y")]
+    got = decontam.matches(spark.createDataFrame(texts, "doc_id long, text string").coalesce(1), spark.createDataFrame(items, "item_id long, text string")).collect()
+    found = {r[0]: r[1] for r in got}
+    assert all(k in found.get(k, []) for k, _ in items) and not {1000, 1001} & set(found)
