@@ -237,8 +237,7 @@ def c01(t: Tables) -> DataFrame:
 
 @query("f02_normalized_keys")
 def f02(t: Tables) -> DataFrame:
-    lines = t.documents.select("doc_id", F.substring_index("text", "\n", 1).alias("raw"))
-    return lines.select("doc_id", keys.normalize_pk(F.col("raw")).alias("normalized"))
+    return t.documents.select("doc_id", keys.normalize_pk(F.col("text")).alias("normalized"))
 
 
 @query("f02_ascii_keys", r"""
