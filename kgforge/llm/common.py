@@ -59,10 +59,16 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of few rows, as one text can be very long, for workers that can import this package."""
+#: Rows and bytes of an Arrow batch, whichever comes first, as one text can be very long.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "500"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "16m")}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches, the same for all operators, where the session leaves them at Spark's defaults; workers can import this package."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    for key, (default, ours) in BATCH.items():
+        if spark.conf.get(key) == default:
+            spark.conf.set(key, ours)
 
 
 def lower_ascii(text: Column) -> Column:

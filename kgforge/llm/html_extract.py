@@ -176,7 +176,7 @@ def main_text(html: str | None, window: int = WINDOW, share: float = SHARE) -> s
 
 def extract(pages: DataFrame, window: int = WINDOW, share: float = SHARE) -> DataFrame:
     """page_id, url, text, n_chars."""
-    small_batches(pages.sparkSession, 500)
+    small_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,7 +1,6 @@
 import random
 
 import numpy as np
-import pyarrow as pa
 
 from kgforge.llm import decontam
 
@@ -65,9 +64,76 @@ def test_product_is_that_of_the_passages():
     g, z, n = rng.standard_normal((16, 3)).astype(np.float32), np.zeros((16, 3), np.float32), np.zeros(16, np.int64)
     decontam.multiply_passages(words, starts, g, z, n)
     counts = np.stack([np.bincount(x, minlength=16) for x in np.split(words, starts[1:])])
-    y = counts @ g
-    assert np.allclose(z, counts.T @ (y / np.linalg.norm(y, axis=1, keepdims=True)), atol=1e-4) and (n == (counts > 0).sum(0)).all()
-    assert pa is not None
+    assert np.allclose(z, counts.T @ (counts @ g), atol=1e-3) and (n == (counts > 0).sum(0)).all()
+
+
+def test_singular_values_and_vectors_are_those_of_the_matrix(spark):
+    rng = random.Random(5)
+    topics = [[f"t{k}w{i}" for i in range(12)] for k in range(6)]
+    texts = [" ".join(rng.choice(topics[d % 6]) if rng.random() < 0.8 else f"x{rng.randrange(400)}" for _ in range(rng.randrange(1, 150))) for d in range(240)]
+    bits, passage = 9, 20
+    idf, v, s = decontam.singular(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3), bits, 5, passage)
+    rows = []
+    for words in decontam.words_of(texts):
+        for a in range(0, len(words), passage):
+            rows.append(np.bincount([w % (1 << bits) for w in words[a : a + passage]], minlength=1 << bits))
+    t = np.array(rows, float)
+    assert np.allclose(idf, np.log((len(t) + 1) / ((t > 0).sum(0) + 1)) + 0.05)
+    _, want, right = np.linalg.svd(t * idf, full_matrices=False)
+    assert np.allclose(s, want[:5], rtol=0.03) and np.allclose(v.T @ v, np.eye(5), atol=1e-6)
+    # the two spaces are the same: cosines of the angles between them
+    assert np.linalg.svd(v.T @ right[:5].T)[1].min() > 0.95
+
+
+def every_window(texts, items):
+    """Brute force: each item against the words from every word of every text on."""
+    out = set()
+    for d, words in enumerate(decontam.words_of(texts)):
+        for (item_id, text), item in zip(items, decontam.words_of([t for _, t in items]), strict=True):
+            answer, reach = decontam.answer_of(text), len(item) + len(item) // 4
+            if any(decontam.within(item, answer, words[a : a + reach]) for a in range(0, max(1, len(words) - len(item) // 2))):
+                out.add((d, item_id))
+    return out
+
+
+def test_recall_of_edited_items_against_every_window(spark):
+    rng = random.Random(4)
+    vocabulary = ["".join(rng.choices(["ka", "lo", "mi", "tu", "re", "sa", "no"], k=rng.randrange(1, 5))) for _ in range(2500)]
+    word = lambda: vocabulary[int(len(vocabulary) * rng.random() ** 2)]
+    items = [(k, " ".join(word() for _ in range(rng.randrange(12, 60))) + ".") for k in range(60)]
+
+    def edited(text, share):
+        out = []
+        for w in text.split():
+            if rng.random() >= share:
+                out.append(w)
+            elif (x := rng.random()) < 0.4:
+                out.append(word())
+            elif x < 0.7:
+                out += [w, word()]
+        return " ".join(out)
+
+    texts = []
+    for share in (0, 0.1, 0.2, 0.3):
+        texts += [" ".join([*(word() for _ in range(rng.randrange(80))), edited(t, share), *(word() for _ in range(rng.randrange(80)))]) for _, t in items]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r["doc_id"], k) for r in decontam.matches(docs, spark.createDataFrame(items, ITEMS)).collect() for k in r["items"]}
+    want = every_window(texts, items)
+    assert {(d, d % 60) for d in range(60)} <= got  # unchanged
+    for share, least in enumerate((1, 0.97, 0.95, 0.9)):
+        own = {x for x in want if x[0] // 60 == share}
+        assert len(own) > 40 and len(own & got) >= least * len(own), (share, len(own & got), len(own))
+
+
+def test_rows_are_judged_by_their_own_text_and_blocks_change_nothing(spark):
+    items, docs, want = corpus()
+    docs = [(None if d in (10, 11) else d, t, x) for d, t, x in docs] + [(20, "another text of the same id", "x")]
+    frame, bench = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)
+    whole = sorted(map(str, decontam.matches(frame, bench).collect()))
+    assert whole == sorted(map(str, decontam.matches(frame, bench, block_bytes=500).collect()))
+    kept = [tuple(r) for r in decontam.clean(frame, bench, block_bytes=4000).collect()]
+    assert docs[11] in kept and docs[10] not in kept and docs[-1] in kept and docs[20] not in kept
+    assert sorted(map(str, kept)) == sorted(map(str, (tuple(r) for r in decontam.clean(frame, bench).collect())))
 
 
 def test_every_copy_of_a_short_item_is_found(spark):
