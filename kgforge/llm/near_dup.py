@@ -1,18 +1,20 @@
 """Near-duplicate documents: improved consistent weighted sampling over TF-IDF shingles, banded, verified by weighted Jaccard.
 
 A document is the weighted set of its word shingles (five words; a shorter text is one shingle), weighed by count times inverse document
-frequency. Document frequencies of all documents are kept in 2 ** `DF_BITS` counters by shingle hash, so their size doesn't grow with the
-corpus. Each of `bands * rows` samples picks a shingle by improved consistent weighted sampling, so two documents agree in a sample as
-often as their weighted Jaccard similarity says; documents that agree in all samples of a band are candidates.
+frequency. Document frequencies are exact counts over all documents for every shingle that at least one document in `RAREST` holds; one
+that is rarer weighs like one in `RAREST`, at any size of the corpus. There are no more such shingles than `RAREST` times the mean number
+of shingles of a document, so their counts can be sent to the workers (and above `MOST` of them the rarest of these count as rare). Each
+of `bands * rows` samples picks a shingle by improved consistent weighted sampling, so two documents agree in a sample as often as their
+weighted Jaccard similarity says; documents that agree in all samples of a band are candidates.
 
 Texts of equal words are one class from the start, and only its smallest doc_id goes on. Within a band's bucket every member is first
 compared with a pivot, the smallest id. That leaves buckets whose members are of several components: there, those outside the bucket's
 largest component meet all members of other components, linked ones too, block by block. Members go on whose sketches, a byte of every
 sample, agree with one of those about as the similarity asks; their texts are laid out once a block, and compared unless the links found
 in the block have joined them already, so a block gives fewer links than it has members. A bucket of one large group costs a comparison
-or so a member, and no pair that shares a band and agrees is left out. Links are verified
-on the whole texts, by weighted Jaccard or, where that fails by the weights alone, by that of the plain shingle sets; their connected
-components are the classes, named by their smallest doc_id.
+or so a member, and no pair that shares a band and agrees is left out. Links are verified on the whole texts by weighted Jaccard. As the
+shingles that a large group of copies shares are frequent for that very reason, and so weigh little, a pair that reaches the similarity by
+its plain shingle sets is a link as well. Connected components of the links are the classes, named by their smallest doc_id.
 
 Defined cases: a null or empty text, or one without words, is in a class of its own; a null doc_id gets a null class; rows that share a
 doc_id are one document, whose links are those of any of its texts; an empty table gives an empty result. Other columns are not looked at.
@@ -32,7 +34,8 @@ from .common import MIX as MULTIPLIER
 from .common import materialise, release, small_batches, word_hashes
 
 SHINGLE = 5
-DF_BITS = 18
+#: Shingles of one document in so many have exact frequencies; at most so many of them; counters of the first pass; documents at once.
+RAREST, MOST, SLOT_BITS, BLOCK_DOCS = 1000, 1 << 22, 20, 4096
 BANDS, ROWS = 20, 5
 SIMILARITY = 0.8
 POOL_BITS = 16
@@ -41,13 +44,10 @@ BLOCK, BLOCK_WEIGHT = 1024, 4e6
 #: Samples agree in the share that the similarity says, give or take a twentieth; this far below it lies none of a million.
 MARGIN = 0.18
 SALTS = 8
-#: Plain similarity can go with a ratio of weights that is a little lower.
-SLACK = 0.9
-
-
 def near(similarity: float) -> Column:
-    """Texts whose weights differ by more can't be alike."""
-    return F.least("weight", "pivot_weight") >= SLACK * similarity * F.greatest("weight", "pivot_weight")
+    """Texts whose weights and numbers of shingles both differ by more can't be alike."""
+    alike_size = lambda x: F.least(x, f"pivot_{x}") >= similarity * 0.999 * F.greatest(x, f"pivot_{x}")
+    return alike_size("weight") | alike_size("kinds")
 
 
 def agreeing(similarity: float, samples: int):
@@ -56,14 +56,14 @@ def agreeing(similarity: float, samples: int):
 
     def pick(block: pa.Table) -> pa.Table:
         x = block["x"].to_numpy()
-        rep, weight, label = (block[c].to_numpy() for c in ("rep", "weight", "label"))
+        rep, weight, kinds, label = (block[c].to_numpy() for c in ("rep", "weight", "kinds", "label"))
+        alike_size = lambda of, part: np.minimum(of[part][:, None], of[other]) >= similarity * 0.999 * np.maximum(of[part][:, None], of[other])
         sketch = np.concatenate([c.flatten().to_numpy() for c in block["sketch"].chunks]).reshape(-1, samples)
         own, other = np.flatnonzero(x), np.flatnonzero(~x)
         agrees, step_ = np.zeros(len(x), bool), max(1, step // max(1, len(other)))
         for at in range(0, len(own), step_):
             part = own[at : at + step_]
-            low, high = np.minimum(weight[part][:, None], weight[other]), np.maximum(weight[part][:, None], weight[other])
-            i, j = np.nonzero((label[part][:, None] != label[other]) & (low >= SLACK * similarity * high))
+            i, j = np.nonzero((label[part][:, None] != label[other]) & (alike_size(weight, part) | alike_size(kinds, part)))
             same = (sketch[part[i]] == sketch[other[j]]).sum(1, dtype=np.int32) >= least
             agrees[part[i[same]]] = True
             agrees[other[j[same]]] = True
@@ -74,7 +74,7 @@ def agreeing(similarity: float, samples: int):
 
 
 def pivot_columns() -> list[Column]:
-    return [F.col("p.rep").alias("pivot"), F.col("p.weight").alias("pivot_weight")]
+    return [F.col("p.rep").alias("pivot"), F.col("p.weight").alias("pivot_weight"), F.col("p.kinds").alias("pivot_kinds")]
 
 
 def shingle_stream(column: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -102,29 +102,74 @@ def shingles(stream: tuple[np.ndarray, np.ndarray, np.ndarray], i: int, size: in
     return np.unique(out[a : max(a, b - size + 1)], return_counts=True)
 
 
-def document_frequency(docs: DataFrame, bits: int = DF_BITS, size: int = SHINGLE) -> tuple[int, np.ndarray]:
-    """The number of documents with words, and the number of documents by slot of their distinct shingles."""
+class Weights:
+    """IDF by shingle hash: log(1 + documents / frequency), the frequency no lower than `least`; keys (sorted) are the ones above that."""
+
+    def __init__(self, n: int, least: float, keys: np.ndarray, df: np.ndarray) -> None:
+        self.keys, self.idf, self.rare = keys, np.log1p(n / np.maximum(df, least)).astype(np.float32), np.float32(np.log1p(n / max(least, 1)))
+        # most shingles are rare, and this tells it at once
+        self.listed = np.zeros(1 << SLOT_BITS, bool)
+        self.listed[keys >> np.uint64(64 - SLOT_BITS)] = True
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        out = np.full(len(h), self.rare)
+        maybe = np.flatnonzero(self.listed[h >> np.uint64(64 - SLOT_BITS)])
+        if len(maybe):
+            at = np.minimum(np.searchsorted(self.keys, h[maybe]), len(self.keys) - 1)
+            same = self.keys[at] == h[maybe]
+            out[maybe[same]] = self.idf[at[same]]
+        return out
+
+
+def _distinct(docs: DataFrame, size: int, tell, schema: str) -> DataFrame:
+    """What tell makes of the number of documents with words and their distinct shingles (one entry a document), block by block."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(1 << bits, np.int64), 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[np.ndarray] = []
         for batch in batches:
             stream = shingle_stream(batch.column("text"), size)
-            found = [shingles(stream, i, size)[0] >> np.uint64(64 - bits) for i in range(batch.num_rows)]
-            n += sum(len(x) > 0 for x in found)
-            if found:
-                total += np.bincount(np.concatenate(found).astype(np.int64), minlength=1 << bits)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[at, -1].astype(np.int32)), pa.array(np.r_[total[at], n])], names=["slot", "n"])
+            found += [h for i in range(batch.num_rows) if len(h := shingles(stream, i, size)[0])]
+            if len(found) >= BLOCK_DOCS:
+                yield tell(len(found), np.concatenate(found))
+                found.clear()
+        if found:
+            yield tell(len(found), np.concatenate(found))
+
+    return docs.select("text").mapInArrow(run, schema)
+
 
-    got = docs.select("text").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # 2 ** bits + 1 rows at most
-    slot, n = got.column("slot").to_numpy(), got.column("n").to_numpy()
-    df = np.zeros(1 << bits, np.int64)
-    df[slot[slot >= 0]] = n[slot >= 0]
-    return int(n[slot < 0].sum()), df
+def weights(docs: DataFrame, size: int = SHINGLE, rarest: int = RAREST, most: int = MOST, bits: int = SLOT_BITS) -> Weights:
+    """Two passes: counters by slot of the hash tell where frequent shingles can be, and those slots' shingles are counted one by one.
 
+    A block of m documents tells of a slot only what is above m / (2 * rarest), so the counters fall short of the truth by the sum of that,
+    half of what makes a shingle frequent, at most; a slot that has a frequent shingle reaches the other half.
+    """
+
+    def slots(m: int, h: np.ndarray) -> pa.RecordBatch:
+        n = np.bincount((h >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+        at = np.flatnonzero(n > m / (2 * rarest))
+        return pa.RecordBatch.from_arrays([pa.array(np.r_[at, -1, -2].astype(np.int32)), pa.array(np.r_[n[at], m, len(h)].astype(np.int64))], names=["slot", "n"])
 
-def idf_of(n: int, df: np.ndarray) -> np.ndarray:
-    return np.log1p(n / np.maximum(df, 1)).astype(np.float32)
+    spark = docs.sparkSession
+    counted = _distinct(docs, size, slots, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    counted = materialise(counted, "slots")
+    sums = {r["slot"]: r["n"] for r in counted.where("slot < 0").collect()}
+    n, total = sums.get(-1, 0), sums.get(-2, 0)
+    least = max(n / rarest, total / most)
+    got = counted.where((F.col("slot") >= 0) & (F.col("n") >= least - n / (2 * rarest))).select("slot").toArrow()["slot"].to_numpy()  # 2 ** bits at most
+    open_ = np.zeros(1 << bits, bool)
+    open_[got] = True
+    sent = spark.sparkContext.broadcast(np.packbits(open_))
+
+    def counts(m: int, h: np.ndarray) -> pa.RecordBatch:
+        wanted = np.unpackbits(sent.value).astype(bool)
+        own, k = np.unique(h[wanted[h >> np.uint64(64 - bits)]], return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(k.astype(np.int64))], names=["h", "n"])
+
+    frequent = _distinct(docs, size, counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where((F.col("n") >= least) & (F.col("n") > 1)).toArrow()  # MOST at most
+    keys, df = frequent["h"].to_numpy().view(np.uint64), frequent["n"].to_numpy()
+    order = np.argsort(keys)
+    return Weights(n, least, keys[order], df[order])
 
 
 class Sampler:
@@ -162,23 +207,23 @@ def band_keys(samples: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, idf, bands: int, rows: int, size: int = SHINGLE) -> DataFrame:
-    """doc_id, e1, e2 (hash of the word sequence), weight, band keys and sketch (a byte a sample) of every document with words."""
+    """doc_id, e1, e2 (hash of the word sequence), weight, kinds (number of different shingles), band keys and sketch (a byte a sample)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_intdigest
 
         sampler, weigh = Sampler(bands * rows), idf.value
-        shift = np.uint64(64 - len(weigh).bit_length() + 1)
         for batch in batches:
-            ids, e, keys, total, sketch = [], [], [], [], []
+            ids, e, keys, total, kinds, sketch = [], [], [], [], [], []
             stream = shingle_stream(batch.column("text"), size)
             for i, doc in enumerate(batch.column("doc_id").to_pylist()):
                 h, n = shingles(stream, i, size)
                 if len(h):
                     ids.append(doc)
                     e.append(xxh3_128_intdigest(stream[1][stream[2][i] : stream[2][i + 1]].tobytes()))
-                    weight = n * weigh[h >> shift]
+                    weight = n * weigh(h)
                     total.append(float(weight.sum(dtype=float)))
+                    kinds.append(len(h))
                     own = sampler.samples(h, weight)
                     sketch.append((own * MULTIPLIER >> np.uint64(56)).astype(np.int8))
                     keys.append(band_keys(own, bands, rows))
@@ -186,9 +231,9 @@ def signatures(docs: DataFrame, idf, bands: int, rows: int, size: int = SHINGLE)
             flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
             bytes_ = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * bands * rows), pa.array(np.concatenate(sketch) if sketch else np.zeros(0, np.int8)))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * bands), flat)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([signed(x >> 64) for x in e], pa.int64()), pa.array([signed(x & (1 << 64) - 1) for x in e], pa.int64()), pa.array(total, pa.float64()), lists, bytes_], names=["doc_id", "e1", "e2", "weight", "keys", "sketch"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([signed(x >> 64) for x in e], pa.int64()), pa.array([signed(x & (1 << 64) - 1) for x in e], pa.int64()), pa.array(total, pa.float64()), pa.array(kinds, pa.int32()), lists, bytes_], names=["doc_id", "e1", "e2", "weight", "kinds", "keys", "sketch"])
 
-    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(sign, "doc_id long, e1 long, e2 long, weight double, keys array<long>, sketch array<tinyint>")
+    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(sign, "doc_id long, e1 long, e2 long, weight double, kinds int, keys array<long>, sketch array<tinyint>")
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -215,11 +260,10 @@ def verified(pairs: DataFrame, texts: DataFrame, idf, similarity: float, size: i
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weigh = idf.value
-        shift = np.uint64(64 - len(weigh).bit_length() + 1)
 
         def vector(stream: tuple[np.ndarray, np.ndarray, np.ndarray], i: int) -> tuple[np.ndarray, np.ndarray]:
             h, n = shingles(stream, i, size)
-            return h, n * weigh[h >> shift]
+            return h, n * weigh(h)
 
         last, pivot = None, None
         for batch in batches:
@@ -242,7 +286,6 @@ def linking(idf, similarity: float, size: int = SHINGLE):
 
     def pick(block: pa.Table) -> pa.Table:
         weigh = idf.value
-        shift = np.uint64(64 - len(weigh).bit_length() + 1)
         block = block.sort_by("x").combine_chunks()  # the others first
         stream = shingle_stream(block["text"].combine_chunks(), size)
         found = [shingles(stream, i, size) for i in range(block.num_rows)]
@@ -251,7 +294,7 @@ def linking(idf, similarity: float, size: int = SHINGLE):
         out, n = [], int((~x).sum())
         if 0 < n < len(x):
             h = np.concatenate([found[i][0] for i in used])
-            weight = np.concatenate([found[i][1] for i in used]) * weigh[h >> shift]
+            weight = np.concatenate([found[i][1] for i in used]) * weigh(h)
             sizes = np.array([len(found[i][0]) for i in used])
             first = np.r_[0, np.cumsum(sizes)]
             total = np.add.reduceat(weight, first[:-1], dtype=float)
@@ -333,14 +376,14 @@ class Links:
 
 def apart(links: Links, buckets: DataFrame, sketches: DataFrame) -> DataFrame:
     """Members of the buckets of several components, with sketch, label, whether they are outside the largest one, and numbers of blocks."""
-    rows = links.labelled(buckets.select("key", "rep", "weight"))
+    rows = links.labelled(buckets.select("key", "rep", "weight", "kinds"))
     sizes = rows.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum("weight").alias("w")).groupBy("key")
     largest = sizes.agg(F.max_by(F.struct("label", "n", "w"), F.struct("n", "label")).alias("top"), F.sum("n").alias("n"), F.sum("w").alias("w"))
     # two members have been compared, as one of them is the pivot
     largest = largest.where("top.n < n AND n > 2")
     blocks = lambda n, w: F.ceil(F.greatest(n / BLOCK, w / BLOCK_WEIGHT, F.lit(1))).cast("int")
     of = largest.select("key", F.col("top.label").alias("top"), blocks(F.col("n") - F.col("top.n"), F.col("w") - F.col("top.w")).alias("nx"), blocks(F.col("n"), F.col("w")).alias("ny"))
-    return rows.join(of.hint("merge"), "key").join(sketches.hint("merge"), "rep").select("key", "rep", "weight", "label", "sketch", "nx", "ny", (F.col("label") != F.col("top")).alias("apart"))
+    return rows.join(of.hint("merge"), "key").join(sketches.hint("merge"), "rep").select("key", "rep", "weight", "kinds", "label", "sketch", "nx", "ny", (F.col("label") != F.col("top")).alias("apart"))
 
 
 def dealt(rows: DataFrame) -> DataFrame:
@@ -352,20 +395,19 @@ def dealt(rows: DataFrame) -> DataFrame:
     return x.unionByName(y).drop("nx", "ny", "apart")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE, df_bits: int = DF_BITS) -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE, rarest: int = RAREST) -> DataFrame:
     """doc_id, class_id and exact_id (the smallest doc_id of equal words) of every row of docs."""
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select("doc_id", "text")
-    n, df = document_frequency(docs, df_bits, size)
-    idf = spark.sparkContext.broadcast(idf_of(n, df))
+    idf = spark.sparkContext.broadcast(weights(docs, size, rarest))
     signed = materialise(signatures(docs, idf, bands, rows, size), "signatures")
     # copies first: from here on one document stands for all with the same words
     exact = signed.groupBy("e1", "e2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     mapped = signed.withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(SALTS))).join(exact, ["e1", "e2", "salt"], "left").withColumn("rep", F.coalesce("rep", "doc_id"))
-    mapped = materialise(mapped.select("doc_id", "rep", "weight", *[F.when(F.col("doc_id") == F.col("rep"), F.col(c)).alias(c) for c in ("keys", "sketch")]), "mapped")
-    members = mapped.where("keys IS NOT NULL").select(F.explode("keys").alias("key"), "rep", "weight").dropDuplicates(["key", "rep"])
-    pivots = members.groupBy("key").agg(F.min(F.struct("rep", "weight")).alias("p"), F.count("*").alias("n")).where("n > 1").select("key", *pivot_columns())
+    mapped = materialise(mapped.select("doc_id", "rep", "weight", "kinds", *[F.when(F.col("doc_id") == F.col("rep"), F.col(c)).alias(c) for c in ("keys", "sketch")]), "mapped")
+    members = mapped.where("keys IS NOT NULL").select(F.explode("keys").alias("key"), "rep", "weight", "kinds").dropDuplicates(["key", "rep"])
+    pivots = members.groupBy("key").agg(F.min(F.struct("rep", "weight", "kinds")).alias("p"), F.count("*").alias("n")).where("n > 1").select("key", *pivot_columns())
     buckets = materialise(members.join(pivots, "key"), "buckets")
     involved = buckets.select(F.col("rep").alias("doc_id")).distinct()
     texts = materialise(docs.join(involved, "doc_id", "left_semi"), "involved")
@@ -386,6 +428,12 @@ def op4(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """docs without those that have a near duplicate of a smaller doc_id."""
-    lost = near_duplicates(docs, **options).where("class_id <> doc_id").select(F.col("doc_id").alias("_lost"))
-    return docs.join(lost, F.col("doc_id") == F.col("_lost"), "left_anti")
+    """docs without those that have a near duplicate of a smaller doc_id; of rows equal in doc_id and text one stays."""
+    lost = near_duplicates(docs, **options).where("class_id <> doc_id").select(F.col("doc_id").alias("_lost")).distinct()
+    kept = docs.join(lost, F.col("doc_id") == F.col("_lost"), "left_anti")
+    text = F.xxhash64("text").alias("_text")
+    again = materialise(docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("_again"), text).groupBy("_again", "_text").agg(F.count("*").alias("n")).where("n > 1"), "again")
+    if not again.limit(1).count():
+        return kept
+    same = (F.col("doc_id") == F.col("_again")) & (F.xxhash64("text") == F.col("_text"))
+    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -113,3 +113,60 @@ def test_word_hashes():
     assert word_hashes(pa.array([], pa.string()))[1].tolist() == [0]
     sliced, at = word_hashes(pa.array(texts).slice(2, 2), at_once=2)
     assert sliced.tolist() == own[2] + own[3] and at.tolist() == [0, 3, 5]
+
+
+def test_weights_are_exact_for_frequent_shingles_and_alike_for_rare_ones(spark):
+    rng = random.Random(6)
+    texts = [" ".join(f"w{int(300 * rng.random() ** 3)}" for _ in range(rng.randrange(0, 40))) for _ in range(900)]
+    df, n = {}, sum(bool(t) for t in texts)
+    for t in texts:
+        for w in set(t.split()):
+            df[w] = df.get(w, 0) + 1
+    got = near_dup.weights(spark.createDataFrame([(t,) for t in texts], "text string").repartition(7), size=1, rarest=20)
+    for w, k in df.items():
+        h = near_dup.shingles(near_dup.shingle_stream(pa.array([w]), 1), 0, 1)[0]
+        assert abs(got(h)[0] - np.log1p(min(n / k, 20))) < 1e-5
+    assert len(got.keys) == sum(k >= n / 20 for k in df.values())
+
+
+def test_links_match_all_pairs_by_weighted_similarity(spark):
+    rng = random.Random(8)
+    common = [words(rng, 30) for _ in range(3)]
+    texts = []
+    for _ in range(60):
+        base = words(rng, rng.randrange(40, 120)) + rng.choice(common)
+        for k in range(rng.choice([1, 2, 4])):
+            own = list(base)
+            for _ in range(rng.randrange(0, 5) if k else 0):
+                own[rng.randrange(len(own))] = f"x{rng.randrange(9000)}"
+            texts.append(" ".join(own))
+    rows = list(enumerate(texts))
+    stream = near_dup.shingle_stream(pa.array(texts))
+    found = [near_dup.shingles(stream, i) for i in range(len(texts))]
+    df = {}
+    for h, _ in found:
+        for x in h.tolist():
+            df[x] = df.get(x, 0) + 1
+    weigh = [dict(zip(h.tolist(), (n * np.log1p([min(len(texts) / df[x], 1000) for x in h.tolist()])).tolist(), strict=True)) for h, n in found]
+
+    def similar(a, b):
+        both = a.keys() & b.keys()
+        low = sum(min(a[x], b[x]) for x in both)
+        plain = len(both) / len(a.keys() | b.keys())
+        return max(low / (sum(a.values()) + sum(b.values()) - low), plain)
+
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.op4(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    links = [(a, b) for a in range(len(texts)) for b in range(a) if similar(weigh[a], weigh[b]) >= 0.8]
+    assert len(links) > 60 and all(got[a] == got[b] for a, b in links)
+    root = list(range(len(texts)))
+    find = lambda d: d if root[d] == d else find(root[d])
+    for a, b in links:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    assert got == {d: find(d) for d in range(len(texts))}
+
+
+def test_equal_rows_leave_one(spark):
+    rows = [(1, "a b c", "x"), (1, "a b c", "x"), (1, "other words here", "y"), (2, "a B c", "z"), (None, "n", "u"), (None, "n", "u")]
+    kept = near_dup.keep_one(spark.createDataFrame(rows, "doc_id long, text string, class_id string"))
+    assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, [rows[0], rows[2], rows[4], rows[5]]))
