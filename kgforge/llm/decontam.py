@@ -6,8 +6,8 @@ multiplies its passages by a Gaussian matrix of rank and `OVERSAMPLE` columns an
 step, a matrix of fixed size; with Q its orthonormal basis, a second pass adds up A' (A Q), which gives the Gram matrix of B = A Q and so
 B's small SVD: right singular vectors V and singular values S of A. A text's place is its row of A V / S, its coordinates among the left
 singular vectors. Benchmark items, and windows of the documents as long as the items of a length class, are placed there; windows whose
-cosine with an item reaches `cosine` are candidates. Of these go on the ones that share enough words with the item to reach `PART`, and
-are checked on the words themselves: the longest common subsequence of item and window must cover `WHOLE` of the item, or `PART` of it
+cosine with an item reaches `cosine` are candidates. Of these go on the ones that share enough words with the item to reach `PART`, by
+the bits that their words set first and then word by word, and are checked on the words themselves: the longest common subsequence of item and window must cover `WHOLE` of the item, or `PART` of it
 with the item's answer (its last sentence) there too, as a subsequence that covers `ANSWER` of it. Windows can be too coarse for short
 items, so unchanged copies are also found as consecutive words, by the hash of the item's first `EXACT` words (all of a shorter one) at
 every word; items of fewer than `MIN_WORDS` are found in no other way.
@@ -46,6 +46,8 @@ EXACT = 15
 RATIO = 1.4
 #: Words that are searched at once, columns of the table that counts shared words, and cosines that are held at once.
 PIECE, SHARED, COSINES = 30_000, 2046, 4_000_000
+#: Words of 64 bits that tell which words there are.
+BIT_WORDS = 4
 #: Windows begin at every STEP-th word at most; so many candidates are counted at once.
 STEP, AT_ONCE = 5, 1000
 
@@ -166,6 +168,34 @@ def runs(h: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray]]:
         yield k + 1, out
 
 
+def bits_of(words: np.ndarray) -> np.ndarray:
+    """A row of bits for each word, with one of them set."""
+    at = words % (64 * BIT_WORDS)
+    out = np.zeros((len(words), BIT_WORDS), np.uint64)
+    out[np.arange(len(words)), at // 64] = np.uint64(1) << (at % 64).astype(np.uint64)
+    return out
+
+
+BITS_BY_SLOT = bits_of(np.arange(64 * BIT_WORDS))
+
+
+class Ranges:
+    """The bits that are set in any of so many consecutive blocks."""
+
+    def __init__(self, blocks: np.ndarray) -> None:
+        self.levels = [blocks]
+
+    def __call__(self, size: int) -> np.ndarray:
+        """Of the blocks from each one on that has so many."""
+        k = size.bit_length() - 1
+        while len(self.levels) <= k:
+            below, half = self.levels[-1], 1 << len(self.levels) - 1
+            self.levels.append(below[: max(0, len(below) - half)] | below[half:])
+        level = self.levels[k]
+        n, shift = max(0, len(self.levels[0]) - size + 1), size - (1 << k)
+        return level[:n] | level[shift : shift + n]
+
+
 class Items:
     """Benchmark items by length class: ids, words, answers, and places in the latent space; all by the hash of how they begin as well."""
 
@@ -190,34 +220,47 @@ class Items:
             longest = max(map(len, hashed))
             # a place of its own (SHARED) fills up the shorter ones
             shared = np.stack([np.r_[h % SHARED, np.full(longest - len(h), SHARED)] for h in hashed]).astype(np.int32)
-            self.classes.append((length // STEP * STEP, longest, items, (place / (np.linalg.norm(place, axis=1, keepdims=True) + 1e-9)).astype(np.float32), shared, PART * np.array([len(h) for h in hashed])))
+            bits = np.stack([np.bitwise_or.reduce(bits_of(h), axis=0) for h in hashed])
+            self.classes.append((length // STEP * STEP, longest, bits, items, (place / (np.linalg.norm(place, axis=1, keepdims=True) + 1e-9)).astype(np.float32), shared, PART * np.array([len(h) for h in hashed])))
         self.longest = max([c[1] for c in self.classes], default=1)
 
 
 def candidates(words: np.ndarray, space: np.ndarray, items: Items, cosine: float) -> Iterator[tuple[tuple, int, int]]:
     """(item, first and end word of the region to check) for the windows that are near enough and share enough words."""
     # sums over STEP words each, as all windows begin and end at multiples of it
-    blocks = np.add.reduceat(space[words], np.arange(0, len(words), STEP), axis=0)
+    every = np.arange(0, len(words), STEP)
+    blocks = np.add.reduceat(space[words], every, axis=0)
     run = np.zeros((len(blocks) + 1, space.shape[1]), np.float32)
     np.cumsum(blocks, axis=0, out=run[1:])
     # beyond the ends stands what no item has
-    pad = items.longest + 4 * STEP + items.longest // 2
+    pad = (items.longest + items.longest // 2) // STEP * STEP + 6 * STEP
     spots = np.full(len(words) + 2 * pad, SHARED + 1, np.int32)
     spots[pad:-pad] = words % SHARED
+    bits = np.zeros((len(blocks) + 2 * pad // STEP, BIT_WORDS), np.uint64)
+    bits[pad // STEP : pad // STEP + len(blocks)] = np.bitwise_or.reduceat(BITS_BY_SLOT[words % len(BITS_BY_SLOT)], every, axis=0)
+    within_reach = Ranges(bits)
     table = np.zeros((AT_ONCE, SHARED + 2), bool)
     row = np.arange(AT_ONCE, dtype=np.int32)[:, None] * (SHARED + 2)
-    for length, longest, own, place, shared, least in items.classes:
+    for length, longest, own_bits, own, place, shared, least in items.classes:
         step = max(1, length // 3 // STEP)
         starts = np.arange(0, max(1, len(blocks) - length // STEP + step), step)
-        reach = longest + 2 * step * STEP + length // 4
+        before, reach = step * STEP + length // 8, longest + 2 * step * STEP + length // 4
         view = np.lib.stride_tricks.sliding_window_view(spots, reach)
-        for part in np.array_split(starts, max(1, -(-len(starts) * len(own) // COSINES))):
+        # the blocks that the region to check lies in
+        lead = -(-before // STEP)
+        there = ~within_reach(-(-(lead * STEP - before + reach) // STEP))[starts + pad // STEP - lead]
+        most = np.array([len(x[1]) for x in own]) - least
+        for first in range(0, len(starts), max(1, COSINES // len(own))):
+            part = starts[first : first + max(1, COSINES // len(own))]
             at = run[np.minimum(part + length // STEP, len(blocks))] - run[part]
             at /= np.sqrt(np.einsum("ij,ij->i", at, at))[:, None] + 1e-9
-            w, k = np.nonzero(at @ place.T >= cosine)
-            first = part[w] * STEP - step * STEP - length // 8
+            w, k = np.divmod(np.flatnonzero(at @ place.T >= cosine), len(own))
+            # each bit of an item that the region lacks is a word at least that it lacks
+            lacks = np.bitwise_count(there[first + w] & own_bits[k]).sum(1, dtype=np.int32) <= most[k]
+            w, k = w[lacks], k[lacks]
+            begin = part[w] * STEP - before
             for a in range(0, len(w), AT_ONCE):
-                s, y = first[a : a + AT_ONCE], k[a : a + AT_ONCE]
+                s, y = begin[a : a + AT_ONCE], k[a : a + AT_ONCE]
                 flat, here = table.ravel(), (view[s + pad] + row[: len(s)]).ravel()
                 flat[here] = True
                 enough = flat[shared[y] + row[: len(s)]].sum(1) >= least[y]
