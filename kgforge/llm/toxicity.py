@@ -7,8 +7,8 @@ word's score is the log-likelihood ratio of the two models; a text is described
 strongest places and different words (each a window of one word), how many words are strong, and its length; a logistic curve over
 these, fitted on a fold of the training rows that the counts leave out, gives the probability.
 
-The ratios go to the workers in two arrays of 2 ** slot_bits entries each, whatever the corpus: n-grams that share a slot take their
-mean, weighted by count.
+Every n-gram and context of the training rows has a ratio of its own, kept by a hash of 64 bits, so the tables grow with the corpus. Up to
+`MOST` of them go to the workers; beyond that the words of the texts are joined with the tables, for the same scores.
 
 Defined cases: a null or empty text has no words and gets the curve's value at all-zero features; labels that contradict each other
 count as toxic, null ones are left out; without labels of both classes every score is 0; a null doc_id is never in training.
@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import crc_mod4, held_out, materialise, small_batches
 
@@ -32,8 +33,9 @@ WORD = re.compile(r"[^\W\d_]+")
 PAD, END = "^", "$"
 ORDER = 5
 DISCOUNT = 0.75
-SLOT_BITS = 21
-#: One row in so many of the training rows is for the curve, and at most so many rows of them are used.
+#: Ratios that are sent to the workers (12 bytes each); more are joined.
+MOST = 1 << 22
+#: One row in so many of the training rows is for the curve, and at most so many documents of them are used.
 CURVE_FOLD, CURVE_ROWS = 8, 20_000
 #: Words that a worker remembers before it forgets them all.
 MEMORY = 400_000
@@ -100,55 +102,68 @@ def ratios(top: DataFrame, order: int = ORDER, discount: float = DISCOUNT) -> tu
     return seen, unseen
 
 
-def slots(rows: DataFrame, key: str, bits: int) -> np.ndarray:
-    """An array of 2 ** bits ratios by hash of the key; NaN where no key falls."""
-    means = rows.groupBy(F.pmod(F.xxhash64(key), F.lit(1 << bits)).cast("int").alias("slot")).agg((F.sum(F.col("n") * F.col("llr")) / F.sum("n")).cast("float").alias("llr"))
-    got = means.toArrow()  # no more than 2 ** bits rows
-    out = np.full(1 << bits, np.nan, np.float32)
-    out[got.column("slot").to_numpy()] = got.column("llr").to_numpy()
-    return out
+class Table:
+    """Ratios by hash, in sorted arrays."""
+
+    def __init__(self, rows: DataFrame) -> None:
+        got = rows.toArrow()  # MOST rows at most
+        keys = got["h"].to_numpy().view(np.uint64)
+        order = np.argsort(keys)
+        self.keys, self.llr = keys[order], got["llr"].to_numpy()[order]
+
+    def __call__(self, grams: list[str]) -> np.ndarray:
+        """The grams' ratios; NaN for those that aren't there."""
+        from xxhash import xxh64_intdigest as digest
+
+        h = np.array([digest(g.encode(), 42) for g in grams], np.uint64)  # Spark's xxhash64 of a string
+        if not len(self.keys):
+            return np.full(len(h), np.nan)
+        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        return np.where(self.keys[at] == h, self.llr[at], np.nan)
 
 
 class WordRatios(dict):
-    """Log-likelihood ratio by word, worked out from the two arrays at first sight."""
+    """Log-likelihood ratio by word, worked out from the two tables at first sight."""
 
-    def __init__(self, seen: np.ndarray, unseen: np.ndarray, order: int = ORDER) -> None:
+    def __init__(self, seen: Table, unseen: Table, order: int = ORDER) -> None:
         super().__init__()
-        self.seen, self.unseen, self.order, self.mask = seen, unseen, order, len(seen) - 1
+        self.seen, self.unseen, self.order = seen, unseen, order
 
     def __missing__(self, word: str) -> float:
-        from xxhash import xxh64_intdigest as digest
-
         if len(self) > MEMORY:
             self.clear()
-        total = 0.0
-        for g in grams(word, self.order):
-            x = self.seen[digest(g.encode(), 42) & self.mask]  # Spark's xxhash64 of a string
-            if x != x:
-                x = self.unseen[digest(g[:-1].encode(), 42) & self.mask]
-            if x == x:
-                total += float(x)
-        self[word] = total
+        own = grams(word, self.order)
+        x = self.seen(own)
+        if (left := np.flatnonzero(np.isnan(x))).size:
+            x[left] = self.unseen([own[k][:-1] for k in left])
+        self[word] = total = float(np.nansum(x))
         return total
 
 
-def describe(text: str | None, ratio: WordRatios) -> list[float]:
-    """The features of a text: ratios per word, the strongest places, the strongest different words, how many are strong, and size."""
-    words = WORD.findall((text or "").lower())
-    if not words:
+def words_of(text: str | None) -> Counter:
+    return Counter(WORD.findall((text or "").lower()))
+
+
+def features(own: list[tuple[float, int]]) -> list[float]:
+    """Of (ratio, places) of a text's different words: ratio per word, the strongest places, the strongest different words, how many are strong, and size."""
+    if not own:
         return [0.0] * len(FEATURES)
-    counts = Counter(words)
-    own = sorted(((ratio[w], n) for w, n in counts.items()), reverse=True)
+    own = sorted(own, reverse=True)
+    size = sum(n for _, n in own)
     top = [x for x, n in own[:3] for _ in range(min(n, 3))][:3]
     different = [x for x, _ in own[:5]]
     clipped = lambda values, k: [max(0.0, x) for x in (values + [0.0] * k)[:k]]
     strong = [x for x, _ in own if x > 1]
     return [
-        sum(x * n for x, n in own) / len(words), *clipped(top, 3), *clipped(different, 5),
-        math.log1p(sum(x > 2 for x in strong)), math.log1p(sum(x > 3 for x in strong)), sum(x - 1 for x in strong) / math.sqrt(len(words)), math.log1p(len(words)),
+        sum(x * n for x, n in own) / size, *clipped(top, 3), *clipped(different, 5),
+        math.log1p(sum(x > 2 for x in strong)), math.log1p(sum(x > 3 for x in strong)), sum(x - 1 for x in strong) / math.sqrt(size), math.log1p(size),
     ]
 
 
+def describe(text: str | None, ratio: WordRatios) -> list[float]:
+    return features([(ratio[w], n) for w, n in words_of(text).items()])
+
+
 def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:
     """Weights of a ridge logistic regression, the last one its constant; x is scaled inside."""
     mean, sd = x.mean(0), x.std(0) + 1e-9
@@ -165,24 +180,12 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50
     return np.r_[scaled, w[-1] - scaled @ mean]
 
 
-def described(rows: DataFrame, arrays, keep: list[str], schema: str) -> DataFrame:
-    small_batches(rows.sparkSession)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ratio = WordRatios(*arrays.value)
-        for batch in batches:
-            x = np.array([describe(t, ratio) for t in batch.column("text").to_pylist()], float).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(x[:, k]) for k in range(len(FEATURES)))], names=[*keep, *FEATURES])
-
-    return rows.mapInArrow(score, f"{schema}, " + ", ".join(f"{f} double" for f in FEATURES))
-
-
 class ToxicityModel:
-    """arrays: the broadcast ratios; weights: of the curve. None for both if a class has no rows."""
+    """seen, unseen: ratios by hash; tables: the same broadcast, None if they are too many; weights: of the curve, None if a class has no rows."""
 
-    def __init__(self, docs: DataFrame, labels: DataFrame, order: int = ORDER, slot_bits: int = SLOT_BITS) -> None:
+    def __init__(self, docs: DataFrame, labels: DataFrame, order: int = ORDER, most: int = MOST) -> None:
         spark = docs.sparkSession
-        self.arrays, self.weights = None, None
+        self.tables, self.weights, self.order = None, None, order
         given = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
         given = given.where(~held_out(F.col("doc_id")))
         texts = docs.where(F.col("doc_id").isNotNull() & (crc_mod4(F.col("doc_id")) != 2)).select("doc_id", "text")
@@ -193,31 +196,80 @@ class ToxicityModel:
             return
         top = materialise(gram_counts(rows.where("NOT curve"), order), "grams")
         seen, unseen = ratios(top, order)
-        self.arrays = spark.sparkContext.broadcast((slots(seen, "g", slot_bits), slots(unseen, "ctx", slot_bits)))
-        sample = rows.where("curve").orderBy(F.xxhash64("doc_id"), "doc_id").limit(CURVE_ROWS)
-        got = described(sample, self.arrays, ["toxic"], "toxic int").toPandas()
-        if got["toxic"].nunique() < 2:  # too few rows for a fold of their own
-            got = described(rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(CURVE_ROWS), self.arrays, ["toxic"], "toxic int").toPandas()
+        self.seen = materialise(seen.select(F.xxhash64("g").alias("h"), "llr").groupBy("h").agg(F.max("llr").cast("float").alias("llr")), "seen")
+        self.unseen = materialise(unseen.select(F.xxhash64("ctx").alias("h"), "llr").groupBy("h").agg(F.max("llr").cast("float").alias("llr")), "unseen")
+        if self.seen.count() + self.unseen.count() <= most:
+            self.tables = spark.sparkContext.broadcast((Table(self.seen), Table(self.unseen)))
+        for fold in (rows.where("curve"), rows):  # all, if there are too few rows for a fold of their own
+            ids = fold.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(CURVE_ROWS)
+            # ids are CURVE_ROWS at most; the texts stay where they are, and equal ones count once
+            sample = fold.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", "text", "toxic").dropDuplicates(["doc_id", "text"])
+            got = self.described(sample, ["toxic"]).orderBy("toxic", *FEATURES).toPandas()
+            if got["toxic"].nunique() == 2:
+                break
         self.weights = fit_curve(got[FEATURES].to_numpy(), got["toxic"].to_numpy(float))
 
-    def score(self, docs: DataFrame) -> DataFrame:
-        """docs (with text) and the column score."""
-        if self.arrays is None:
-            return docs.withColumn("score", F.lit(0.0))
-        arrays, weights, names = self.arrays, self.weights, docs.columns
+    def described(self, rows: DataFrame, keep: list[str]) -> DataFrame:
+        """The features of every row's text, and the columns to keep."""
+        return self._mapped(rows, keep, lambda x: [x[:, k] for k in range(len(FEATURES))], FEATURES)
+
+    def _curve(self):
+        weights = self.weights
+        return lambda x: [1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30)))]
+
+    def _mapped(self, rows: DataFrame, keep: list[str], make, names: list[str]) -> DataFrame:
+        """The kept columns and make(features of all rows of a batch)."""
+        small_batches(rows.sparkSession)
+        tables, order = self.tables, self.order
+        schema = StructType([rows.schema[c] for c in keep] + [StructField(n, DoubleType()) for n in names])
 
-        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ratio = WordRatios(*arrays.value)
+        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ratio = WordRatios(*tables.value, order)
             for batch in batches:
                 x = np.array([describe(t, ratio) for t in batch.column("text").to_pylist()], float).reshape(-1, len(FEATURES))
-                p = 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30)))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names if c != "score"), pa.array(p)], names=[*(c for c in names if c != "score"), "score"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *map(pa.array, make(x))], names=[*keep, *names])
+
+        if tables:
+            return rows.mapInArrow(near, schema)
+
+        def far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                own = [[(w["llr"], w["n"]) for w in ws] for ws in batch.column("ws").to_pylist()]
+                x = np.array([features(o) for o in own], float).reshape(-1, len(FEATURES))
+                yield pa.RecordBatch.from_arrays([batch.column("_t1"), batch.column("_t2"), *map(pa.array, make(x))], names=["_t1", "_t2", *names])
+
+        scored = self._joined(rows).mapInArrow(far, "_t1 long, _t2 long, " + ", ".join(f"{n} double" for n in names))
+        empty = [float(v[0]) for v in make(np.zeros((1, len(FEATURES))))]
+        out = rows.join(scored.select(F.col("_t1"), F.col("_t2"), F.struct(*names).alias("_x")), (F.xxhash64("text") == F.col("_t1")) & (F.xxhash64(F.lit(2), "text") == F.col("_t2")), "left")
+        return out.select(*[rows[c] for c in keep], *[F.coalesce(F.col(f"_x.{n}"), F.lit(e)).alias(n) for n, e in zip(names, empty, strict=True)])
 
-        small_batches(docs.sparkSession)
-        from pyspark.sql.types import DoubleType, StructType
+    def _joined(self, rows: DataFrame) -> DataFrame:
+        """_t1, _t2 (hash of the text) and ws (ratio and places of its different words), of every different text with words."""
+        order = self.order
 
-        schema = StructType([f for f in docs.schema.fields if f.name != "score"]).add("score", DoubleType())
-        return docs.mapInArrow(score, schema)
+        def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                counts = [words_of(t) for t in batch.column("text").to_pylist()]
+                at = pa.array(np.repeat(np.arange(len(counts)), [len(c) for c in counts]))
+                yield pa.RecordBatch.from_arrays([batch.column("_t1").take(at), batch.column("_t2").take(at), pa.array([w for c in counts for w in c], pa.string()), pa.array([n for c in counts for n in c.values()], pa.int64())], names=["_t1", "_t2", "word", "n"])
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                own = [(w, g) for w in batch.column("word").to_pylist() for g in grams(w, order)]
+                yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in own], pa.string()), pa.array([g for _, g in own], pa.string())], names=["word", "g"])
+
+        words = rows.select(F.xxhash64("text").alias("_t1"), F.xxhash64(F.lit(2), "text").alias("_t2"), "text").mapInArrow(split, "_t1 long, _t2 long, word string, n long")
+        words = materialise(words.groupBy("_t1", "_t2", "word").agg(F.max("n").alias("n")), "words")
+        places = words.select("word").distinct().mapInArrow(cut, "word string, g string").withColumns({"h": F.xxhash64("g"), "c": F.xxhash64(F.substr("g", F.lit(1), F.lit(order - 1)))})
+        seen, unseen = self.seen.select("h", F.col("llr").cast("double").alias("own")).hint("merge"), self.unseen.select(F.col("h").alias("c"), F.col("llr").cast("double").alias("rest")).hint("merge")
+        ratio = places.join(seen, "h", "left").join(unseen, "c", "left").groupBy("word").agg(F.sum(F.coalesce("own", "rest", F.lit(0.0))).alias("llr"))
+        return words.join(ratio.hint("merge"), "word").groupBy("_t1", "_t2").agg(F.collect_list(F.struct("llr", "n")).alias("ws"))
+
+    def score(self, docs: DataFrame) -> DataFrame:
+        """docs (with text) and the column score."""
+        if self.weights is None:
+            return docs.withColumn("score", F.lit(0.0))
+        return self._mapped(docs, [c for c in docs.columns if c != "score"], self._curve(), ["score"])
 
 
 def op5(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
