@@ -51,3 +51,45 @@ def test_parts_are_balanced():
     x = rng.standard_normal((400, 4))
     part = ann.balanced_parts(x, ann.neighbours(x, 5), 8, rng)
     assert np.bincount(part, minlength=8).max() <= np.ceil(1.15 * 400 / 8)
+
+
+def test_recall_with_fewer_probes_than_parts(spark):
+    rng = np.random.default_rng(2)
+    centres = rng.standard_normal((60, 16)) * 3
+    x = (centres[rng.integers(0, 60, 12_000)] + rng.standard_normal((12_000, 16))).astype(np.float32)
+    x[100:5000] = x[0]  # copies fill no sample
+    frame = spark.createDataFrame([(k, v.tolist(), 0, "s") for k, v in enumerate(x)], SCHEMA)
+    index = ann.LearnedPartitions(ann.usable(frame), 12_000, part_rows=200)
+    assert index.parts == 60 and 1 <= index.probes <= 20
+    got = {}
+    for r in ann.search(frame, part_rows=200).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = (r["score"], r["vec_id"])
+    hits = 0
+    for q in range(0, 12_000, 100):
+        d = np.sqrt(((x.astype(float) - x[q].astype(float)) ** 2).sum(1))
+        d[q] = np.inf
+        near = np.lexsort((np.arange(len(d)), d))[:10]
+        assert sorted(got[q]) == list(range(1, 11))
+        hits += sum(v[1] in set(near.tolist()) for v in got[q].values())
+    assert hits >= 0.9 * 1200
+
+
+def test_queries_of_small_parts_get_k_rows(spark):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.standard_normal((150, 16)), rng.standard_normal((150, 16)) + 50]).astype(np.float32)
+    frame = spark.createDataFrame([(k, v.tolist(), 0, "s") for k, v in enumerate(x)], SCHEMA)
+    index = ann.LearnedPartitions(ann.usable(frame), 300, k=250, part_rows=100)
+    assert index.parts > 1
+    got = ann.search(frame, k=250, part_rows=100).collect()
+    assert {q: sum(r["query_id"] == q for r in got) for q in (0, 100, 200)} == {0: 250, 100: 250, 200: 250}
+
+
+def test_block_comparison_is_exact():
+    rng = np.random.default_rng(4)
+    c = rng.integers(-3, 4, (500, 3)).astype(float)  # many ties
+    ids = rng.permutation(10_000)[:500]
+    i, found, d = ann.nearest(c[:40], ids[:40], c, ids, 7)
+    for q in range(40):
+        far = np.sqrt(((c - c[q]) ** 2).sum(1))
+        want = sorted((far[n], ids[n]) for n in range(500) if ids[n] != ids[q])[:7]
+        assert list(zip(d[i == q], found[i == q], strict=True)) == want
