@@ -52,17 +52,37 @@ BIT_WORDS = 4
 STEP, AT_ONCE = 5, 1000
 
 
+def summed(rows: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Sums of the rows that each row of at (numbers of rows) names; by a product, which is faster than adding up."""
+    taken = rows.take(at.ravel(), axis=0, mode="clip").reshape(*at.shape, rows.shape[1])
+    return (np.ones((1, at.shape[1]), rows.dtype) @ taken)[:, 0]
+
+
+def padded(starts: np.ndarray, lengths: np.ndarray, width: int, none: int) -> np.ndarray:
+    """Consecutive numbers from each start on, as many as lengths says, filled up with none."""
+    at = np.arange(width)
+    return np.where(at < lengths[:, None], starts[:, None] + at, none)
+
+
 def multiply_passages(words: np.ndarray, starts: np.ndarray, w: np.ndarray, z: np.ndarray, frequency: np.ndarray) -> None:
-    """Of the passages that begin at starts, with T their counts, adds T' (T w) to z, and their numbers by word to frequency."""
-    y = np.add.reduceat(w[words], starts, axis=0)
-    passage = np.zeros(len(words), np.int32)
-    passage[starts[1:]] = 1
-    passage = np.cumsum(passage, dtype=np.int32)
+    """Of the passages that begin at starts, with T their counts, adds T' (T w) to z, and their numbers by word to frequency.
+
+    The last row of w is one of zeros.
+    """
+    lengths = np.diff(np.r_[starts, len(words)])
+    y = summed(w, np.r_[words, len(w) - 1].take(padded(starts, lengths, lengths.max(), len(words))))
     order = np.argsort(words, kind="stable")
-    own, of = words[order], passage[order]
+    own, of = words[order], np.repeat(np.arange(len(starts), dtype=np.int32), lengths)[order]
     new = np.r_[True, own[1:] != own[:-1]]
     at = np.flatnonzero(new)
-    z[own[at]] += np.add.reduceat(y[of], at, axis=0)
+    # a word's places by eights, and then the eights
+    eights = -(-np.diff(np.r_[at, len(own)]) // 8)
+    first = np.r_[0, np.cumsum(eights)]
+    nth = np.arange(first[-1]) - np.repeat(first[:-1], eights)
+    begin = np.repeat(at, eights) + 8 * nth
+    left = np.minimum(8, np.repeat(np.r_[at[1:], len(own)], eights) - begin)
+    y = np.vstack([y, np.zeros((1, y.shape[1]), y.dtype)])
+    z[own[at]] += np.add.reduceat(summed(y, np.r_[of, len(starts)].take(padded(begin, left, 8, len(of)))), first[:-1], axis=0)
     new[1:] |= of[1:] != of[:-1]
     frequency += np.bincount(own[new], minlength=len(frequency))
 
@@ -75,10 +95,10 @@ def products(docs: DataFrame, w: np.ndarray, passage: int = PASSAGE) -> tuple[in
     sent = spark.sparkContext.broadcast(w.astype(np.float32))  # 2 ** bits rows
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, df, z, n = sent.value, np.zeros(size, np.int64), np.zeros((size, columns), np.float32), 0
+        own, df, z, n = np.vstack([sent.value, np.zeros((1, columns), np.float32)]), np.zeros(size, np.int64), np.zeros((size, columns), np.float32), 0
         for batch in batches:
             h, bounds = word_hashes(batch.column("text"))
-            words = (h & np.uint64(size - 1)).astype(np.uint16 if size <= 1 << 16 else np.int32)
+            words = (h & np.uint64(size - 1)).astype(np.uint16 if size < 1 << 16 else np.int32)
             # passages begin anew with each document
             starts = np.flatnonzero((np.arange(len(words)) - np.repeat(bounds[:-1], np.diff(bounds))) % passage == 0)
             n += len(starts)
@@ -120,10 +140,11 @@ def singular(docs: DataFrame, bits: int = BITS, rank: int = RANK, passage: int =
 
 
 def latent_space(docs: DataFrame, bits: int = BITS, rank: int = RANK, passage: int = PASSAGE) -> np.ndarray:
-    """One row a dimension, IDF times V / S, so that a text's place is the sum over its words."""
+    """One row a dimension, IDF times V / S, so that a text's place is the sum over its words; and a row of zeros."""
     idf, v, s = singular(docs, bits, rank, passage)
     kept = s > 1e-6 * s.max(initial=0)
-    return (idf[:, None] * v[:, kept] / s[kept] * s.max(initial=0)).astype(np.float32) if kept.any() else np.zeros((1 << bits, 1), np.float32)
+    space = idf[:, None] * v[:, kept] / s[kept] * s.max(initial=0) if kept.any() else np.zeros((1 << bits, 1))
+    return np.vstack([space, np.zeros((1, space.shape[1]))]).astype(np.float32)
 
 
 def lcs(a: list[int], b: list[int]) -> int:
@@ -176,7 +197,7 @@ def bits_of(words: np.ndarray) -> np.ndarray:
     return out
 
 
-BITS_BY_SLOT = bits_of(np.arange(64 * BIT_WORDS))
+BITS_BY_SLOT = np.vstack([bits_of(np.arange(64 * BIT_WORDS)), np.zeros((1, BIT_WORDS), np.uint64)])
 
 
 class Ranges:
@@ -200,7 +221,7 @@ class Items:
     """Benchmark items by length class: ids, words, answers, and places in the latent space; all by the hash of how they begin as well."""
 
     def __init__(self, rows: list[tuple[int, str]], space: np.ndarray) -> None:
-        mask = np.uint64(len(space) - 1)
+        mask = np.uint64(len(space) - 2)
         by: dict[int, list] = {}
         begin: dict[int, dict[int, list[tuple[int, np.ndarray]]]] = {}
         for (item_id, text), words in zip(rows, words_of([t for _, t in rows]), strict=True):
@@ -228,8 +249,9 @@ class Items:
 def candidates(words: np.ndarray, space: np.ndarray, items: Items, cosine: float) -> Iterator[tuple[tuple, int, int]]:
     """(item, first and end word of the region to check) for the windows that are near enough and share enough words."""
     # sums over STEP words each, as all windows begin and end at multiples of it
-    every = np.arange(0, len(words), STEP)
-    blocks = np.add.reduceat(space[words], every, axis=0)
+    n = len(space) - 1  # the row of zeros
+    by_step = np.r_[words, np.full(-len(words) % STEP, n, words.dtype)].reshape(-1, STEP)
+    blocks = summed(space, by_step)
     run = np.zeros((len(blocks) + 1, space.shape[1]), np.float32)
     np.cumsum(blocks, axis=0, out=run[1:])
     # beyond the ends stands what no item has
@@ -237,7 +259,7 @@ def candidates(words: np.ndarray, space: np.ndarray, items: Items, cosine: float
     spots = np.full(len(words) + 2 * pad, SHARED + 1, np.int32)
     spots[pad:-pad] = words % SHARED
     bits = np.zeros((len(blocks) + 2 * pad // STEP, BIT_WORDS), np.uint64)
-    bits[pad // STEP : pad // STEP + len(blocks)] = np.bitwise_or.reduceat(BITS_BY_SLOT[words % len(BITS_BY_SLOT)], every, axis=0)
+    bits[pad // STEP : pad // STEP + len(blocks)] = np.bitwise_or.reduce(BITS_BY_SLOT.take(np.where(by_step < n, by_step % (64 * BIT_WORDS), 64 * BIT_WORDS), axis=0), axis=1)
     within_reach = Ranges(bits)
     table = np.zeros((AT_ONCE, SHARED + 2), bool)
     row = np.arange(AT_ONCE, dtype=np.int32)[:, None] * (SHARED + 2)
@@ -248,22 +270,23 @@ def candidates(words: np.ndarray, space: np.ndarray, items: Items, cosine: float
         view = np.lib.stride_tricks.sliding_window_view(spots, reach)
         # the blocks that the region to check lies in
         lead = -(-before // STEP)
-        there = ~within_reach(-(-(lead * STEP - before + reach) // STEP))[starts + pad // STEP - lead]
+        there = ~within_reach(-(-(lead * STEP - before + reach) // STEP)).take(starts + pad // STEP - lead, axis=0)
         most = np.array([len(x[1]) for x in own]) - least
         for first in range(0, len(starts), max(1, COSINES // len(own))):
             part = starts[first : first + max(1, COSINES // len(own))]
-            at = run[np.minimum(part + length // STEP, len(blocks))] - run[part]
+            at = run.take(np.minimum(part + length // STEP, len(blocks)), axis=0) - run.take(part, axis=0)
             at /= np.sqrt(np.einsum("ij,ij->i", at, at))[:, None] + 1e-9
             w, k = np.divmod(np.flatnonzero(at @ place.T >= cosine), len(own))
             # each bit of an item that the region lacks is a word at least that it lacks
-            lacks = np.bitwise_count(there[first + w] & own_bits[k]).sum(1, dtype=np.int32) <= most[k]
-            w, k = w[lacks], k[lacks]
+            lacked = np.bitwise_count(there.take(first + w, axis=0) & own_bits.take(k, axis=0))
+            few = sum(lacked[:, n].astype(np.int16) for n in range(BIT_WORDS)) <= most.take(k)
+            w, k = w[few], k[few]
             begin = part[w] * STEP - before
             for a in range(0, len(w), AT_ONCE):
                 s, y = begin[a : a + AT_ONCE], k[a : a + AT_ONCE]
                 flat, here = table.ravel(), (view[s + pad] + row[: len(s)]).ravel()
                 flat[here] = True
-                enough = flat[shared[y] + row[: len(s)]].sum(1) >= least[y]
+                enough = flat.take(shared.take(y, axis=0) + row[: len(s)]).sum(1) >= least[y]
                 flat[here] = False
                 for f, item in zip(s[enough].tolist(), y[enough].tolist(), strict=True):
                     yield own[item], max(0, f), f + reach
@@ -286,7 +309,7 @@ def copies(h: np.ndarray, bounds: np.ndarray, items: Items) -> Iterator[tuple[in
 def found_in(texts: pa.Array, space: np.ndarray, items: Items, cosine: float) -> dict[int, set[int]]:
     """The ids of the items that each text contains, by the text's number."""
     h, bounds = word_hashes(texts)
-    words = (h & np.uint64(len(space) - 1)).astype(np.int32)
+    words = (h & np.uint64(len(space) - 2)).astype(np.int32)
     found: dict[int, set[int]] = {}
     # pieces overlap by more than an item; they run over the ends of documents, but no check does
     for a in range(0, len(words) if items.classes else 0, PIECE):

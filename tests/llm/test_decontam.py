@@ -60,9 +60,9 @@ def test_longest_common_subsequence():
 
 def test_product_is_that_of_the_passages():
     rng = np.random.default_rng(0)
-    words, starts = rng.integers(0, 16, 40).astype(np.uint16), np.array([0, 10, 25])
+    words, starts = np.where(rng.random(40) < 0.5, 3, rng.integers(0, 16, 40)).astype(np.uint16), np.array([0, 10, 25])
     g, z, n = rng.standard_normal((16, 3)).astype(np.float32), np.zeros((16, 3), np.float32), np.zeros(16, np.int64)
-    decontam.multiply_passages(words, starts, g, z, n)
+    decontam.multiply_passages(words, starts, np.vstack([g, np.zeros((1, 3), np.float32)]), z, n)
     counts = np.stack([np.bincount(x, minlength=16) for x in np.split(words, starts[1:])])
     assert np.allclose(z, counts.T @ (counts @ g), atol=1e-3) and (n == (counts > 0).sum(0)).all()
 
