@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import crc_mod4, held_out, materialise, small_batches
+from .common import BASE, MIX, crc_mod4, held_out, materialise, small_batches
 
 WORD = re.compile(r"[^\W\d_]+")
 PAD, END = "^", "$"
@@ -102,20 +103,47 @@ def ratios(top: DataFrame, order: int = ORDER, discount: float = DISCOUNT) -> tu
     return seen, unseen
 
 
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+
+
+def rolled(codes: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the `size` code points from each place on."""
+    n = max(0, len(codes) - size + 1)
+    h = np.zeros(n, np.uint64)
+    for k in range(size):
+        h = h * np.uint64(BASE) + codes[k : k + n] + np.uint64(1)
+    h ^= h >> np.uint64(32)
+    h *= MIX
+    return h ^ h >> np.uint64(29)
+
+
+def word_grams(words: list[str], order: int = ORDER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the n-grams of all words, of their contexts, and where each word's begin."""
+    sizes = np.array([len(w) + 1 for w in words])
+    codes = code_points("".join([PAD * (order - 1) + w + END for w in words]))
+    starts = np.r_[0, np.cumsum(sizes)]
+    # n-grams that begin in a word's end are of no word
+    at = np.arange(starts[-1]) + np.repeat(np.arange(len(words)) * (order - 1), sizes)
+    return rolled(codes, order)[at], rolled(codes, order - 1)[at], starts[:-1]
+
+
 class Table:
-    """Ratios by hash, in sorted arrays."""
+    """Ratios by the hash of an n-gram or context, in sorted arrays; rows (s, llr), with s of `size` characters."""
+
+    def __init__(self, rows: DataFrame, size: int) -> None:
+        def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                h = rolled(code_points("".join(batch.column("s").to_pylist())), size)[::size]
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column("llr")], names=["h", "llr"])
 
-    def __init__(self, rows: DataFrame) -> None:
-        got = rows.toArrow()  # MOST rows at most
+        got = rows.mapInArrow(hashed, "h long, llr float").toArrow()  # MOST rows at most
         keys = got["h"].to_numpy().view(np.uint64)
         order = np.argsort(keys)
-        self.keys, self.llr = keys[order], got["llr"].to_numpy()[order]
+        self.keys, self.llr = keys[order], got["llr"].to_numpy()[order].astype(np.float64)
 
-    def __call__(self, grams: list[str]) -> np.ndarray:
-        """The grams' ratios; NaN for those that aren't there."""
-        from xxhash import xxh64_intdigest as digest
-
-        h = np.array([digest(g.encode(), 42) for g in grams], np.uint64)  # Spark's xxhash64 of a string
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        """The ratios; NaN for those that aren't there."""
         if not len(self.keys):
             return np.full(len(h), np.nan)
         at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
@@ -123,21 +151,39 @@ class Table:
 
 
 class WordRatios(dict):
-    """Log-likelihood ratio by word, worked out from the two tables at first sight."""
+    """Log-likelihood ratio by word, worked out from the two tables when a batch first brings it."""
 
     def __init__(self, seen: Table, unseen: Table, order: int = ORDER) -> None:
         super().__init__()
         self.seen, self.unseen, self.order = seen, unseen, order
 
-    def __missing__(self, word: str) -> float:
+    def learn(self, counts: list[Counter]) -> None:
+        """Works out the words of these counts that aren't known yet."""
         if len(self) > MEMORY:
             self.clear()
-        own = grams(word, self.order)
-        x = self.seen(own)
-        if (left := np.flatnonzero(np.isnan(x))).size:
-            x[left] = self.unseen([own[k][:-1] for k in left])
-        self[word] = total = float(np.nansum(x))
-        return total
+        new = [w for w in set().union(*counts) if w not in self]
+        for a in range(0, len(new), 50_000):
+            words = new[a : a + 50_000]
+            own, contexts, starts = word_grams(words, self.order)
+            x = self.seen(own)
+            left = np.flatnonzero(np.isnan(x))
+            x[left] = self.unseen(contexts[left])
+            self.update(zip(words, np.add.reduceat(np.nan_to_num(x), starts).tolist(), strict=True))
+
+    def __missing__(self, word: str) -> float:
+        self.learn([Counter([word])])
+        return self[word]
+
+
+#: What a worker has learned of the last model, for its next task.
+_learned: dict[str, WordRatios] = {}
+
+
+def ratios_of(model: str, tables, order: int) -> WordRatios:
+    if model not in _learned:
+        _learned.clear()
+        _learned[model] = WordRatios(*tables.value, order)
+    return _learned[model]
 
 
 def words_of(text: str | None) -> Counter:
@@ -160,8 +206,10 @@ def features(own: list[tuple[float, int]]) -> list[float]:
     ]
 
 
-def describe(text: str | None, ratio: WordRatios) -> list[float]:
-    return features([(ratio[w], n) for w, n in words_of(text).items()])
+def described(texts: list[str | None], ratio: WordRatios) -> np.ndarray:
+    counts = [words_of(t) for t in texts]
+    ratio.learn(counts)
+    return np.array([features([(ratio[w], n) for w, n in c.items()]) for c in counts], float).reshape(-1, len(FEATURES))
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:
@@ -181,11 +229,11 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50
 
 
 class ToxicityModel:
-    """seen, unseen: ratios by hash; tables: the same broadcast, None if they are too many; weights: of the curve, None if a class has no rows."""
+    """seen, unseen: ratios by n-gram and context; tables: the same broadcast, None if they are too many; weights: of the curve, None if a class has no rows."""
 
     def __init__(self, docs: DataFrame, labels: DataFrame, order: int = ORDER, most: int = MOST) -> None:
         spark = docs.sparkSession
-        self.tables, self.weights, self.order = None, None, order
+        self.tables, self.weights, self.order, self.name = None, None, order, uuid.uuid4().hex
         given = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
         given = given.where(~held_out(F.col("doc_id")))
         texts = docs.where(F.col("doc_id").isNotNull() & (crc_mod4(F.col("doc_id")) != 2)).select("doc_id", "text")
@@ -196,10 +244,10 @@ class ToxicityModel:
             return
         top = materialise(gram_counts(rows.where("NOT curve"), order), "grams")
         seen, unseen = ratios(top, order)
-        self.seen = materialise(seen.select(F.xxhash64("g").alias("h"), "llr").groupBy("h").agg(F.max("llr").cast("float").alias("llr")), "seen")
-        self.unseen = materialise(unseen.select(F.xxhash64("ctx").alias("h"), "llr").groupBy("h").agg(F.max("llr").cast("float").alias("llr")), "unseen")
+        self.seen = materialise(seen.select(F.col("g").alias("s"), F.col("llr").cast("float").alias("llr")), "seen")
+        self.unseen = materialise(unseen.select(F.col("ctx").alias("s"), F.col("llr").cast("float").alias("llr")), "unseen")
         if self.seen.count() + self.unseen.count() <= most:
-            self.tables = spark.sparkContext.broadcast((Table(self.seen), Table(self.unseen)))
+            self.tables = spark.sparkContext.broadcast((Table(self.seen, order), Table(self.unseen, order - 1)))
         for fold in (rows.where("curve"), rows):  # all, if there are too few rows for a fold of their own
             ids = fold.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(CURVE_ROWS)
             # ids are CURVE_ROWS at most; the texts stay where they are, and equal ones count once
@@ -220,13 +268,13 @@ class ToxicityModel:
     def _mapped(self, rows: DataFrame, keep: list[str], make, names: list[str]) -> DataFrame:
         """The kept columns and make(features of all rows of a batch)."""
         small_batches(rows.sparkSession)
-        tables, order = self.tables, self.order
+        tables, order, name = self.tables, self.order, self.name
         schema = StructType([rows.schema[c] for c in keep] + [StructField(n, DoubleType()) for n in names])
 
         def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ratio = WordRatios(*tables.value, order)
+            ratio = ratios_of(name, tables, order)
             for batch in batches:
-                x = np.array([describe(t, ratio) for t in batch.column("text").to_pylist()], float).reshape(-1, len(FEATURES))
+                x = described(batch.column("text").to_pylist(), ratio)
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *map(pa.array, make(x))], names=[*keep, *names])
 
         if tables:
@@ -260,9 +308,9 @@ class ToxicityModel:
 
         words = rows.select(F.xxhash64("text").alias("_t1"), F.xxhash64(F.lit(2), "text").alias("_t2"), "text").mapInArrow(split, "_t1 long, _t2 long, word string, n long")
         words = materialise(words.groupBy("_t1", "_t2", "word").agg(F.max("n").alias("n")), "words")
-        places = words.select("word").distinct().mapInArrow(cut, "word string, g string").withColumns({"h": F.xxhash64("g"), "c": F.xxhash64(F.substr("g", F.lit(1), F.lit(order - 1)))})
-        seen, unseen = self.seen.select("h", F.col("llr").cast("double").alias("own")).hint("merge"), self.unseen.select(F.col("h").alias("c"), F.col("llr").cast("double").alias("rest")).hint("merge")
-        ratio = places.join(seen, "h", "left").join(unseen, "c", "left").groupBy("word").agg(F.sum(F.coalesce("own", "rest", F.lit(0.0))).alias("llr"))
+        places = words.select("word").distinct().mapInArrow(cut, "word string, g string").withColumn("ctx", F.substr("g", F.lit(1), F.lit(order - 1)))
+        seen, unseen = self.seen.select(F.col("s").alias("g"), F.col("llr").cast("double").alias("own")).hint("merge"), self.unseen.select(F.col("s").alias("ctx"), F.col("llr").cast("double").alias("rest")).hint("merge")
+        ratio = places.join(seen, "g", "left").join(unseen, "ctx", "left").groupBy("word").agg(F.sum(F.coalesce("own", "rest", F.lit(0.0))).alias("llr"))
         return words.join(ratio.hint("merge"), "word").groupBy("_t1", "_t2").agg(F.collect_list(F.struct("llr", "n")).alias("ws"))
 
     def score(self, docs: DataFrame) -> DataFrame:
