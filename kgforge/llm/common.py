@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import itertools
+import re
 import tempfile
 import uuid
 from functools import lru_cache
@@ -26,9 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
+    """The folder that driver and executors share; a temporary one only where the session names none and runs on one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         base = getattr(spark, "_kgforge_shared", None) or "file://" + tempfile.mkdtemp(prefix="kgforge-")
         spark._kgforge_shared = base
     return base.rstrip("/")
@@ -56,7 +59,20 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     df.write.parquet(path)
     if next(_written) % RELEASE_EVERY == 0:
         release(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of tables that materialise() gave and that nothing reads any more."""
+    for t in tables:
+        delete(t.sparkSession, t.stored_at)
 
 
 #: Rows and bytes of an Arrow batch, whichever comes first, as one text can be very long.

@@ -1,9 +1,14 @@
 """Line deduplication over levelled sorted runs of line hashes.
 
-Every batch of documents adds one run: its line keys, hashed to 128 bits, with the number of documents that hold the key and the
-largest of their ids, sorted by hash. Before a batch is added it is merge-joined with the runs there are, which tells the keys it is
-the first to bring (the anti-join) from those already known. Runs of a level are merged into one of the next as soon as there are
-`fanout` of them, so a key is rewritten a logarithmic number of times.
+Every batch of documents adds one run: its line keys, hashed to 128 bits, sorted and dealt into buckets by hash. Before a batch is added
+it is merge-joined with the runs there are, which are never shuffled or sorted again: keys that no run has (the anti-join) are new, and
+known ones take over what the runs say, so a run's rows hold the totals so far, the number of documents with the key, the largest of
+their ids and the number of places, and the newest row of a key supersedes the older ones. Runs of a level are merged into one of the next
+as soon as there are `fanout` of them, bucket by bucket, so a key is rewritten a logarithmic number of times. What repeats is then read off
+the runs by a filter.
+
+Keys that hold a thousandth of all places or more (a thousand keys at most) find their lines by a broadcast, the others by a merge, so no
+task gets more than such a share of one key.
 
 Defined cases: a null or empty text is one empty line; a null doc_id takes no part in the counts and keeps its lines; rows that share
 doc_id and text are one document and are treated alike; a line that repeats within one document counts once and, if dropped there,
@@ -12,14 +17,19 @@ loses all its places. An empty table gives an empty result. Columns other than d
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, lower_ascii, materialise, new_path
+from .common import BLANKS, delete, discard, lower_ascii, materialise, new_path
 
 KEY = ["h1", "h2"]
-#: A key of many documents meets its lines in so many groups.
-SALTS = 8
+#: A key with one in so many of all places is hot.
+HOT = 1000
+#: Places for each bucket, and buckets at most.
+BUCKET_PLACES, MOST_BUCKETS = 250_000, 50_000
 
 
 def line_key(line: Column) -> Column:
@@ -38,38 +48,58 @@ def line_table(docs: DataFrame, min_chars: int = 40) -> DataFrame:
 
 
 class LineRuns:
-    """Levelled runs (h1, h2, n_docs, keep_doc, fresh) below one shared folder; `levels` is the manifest."""
+    """Levelled runs (h1, h2, n_docs, keep_doc, n_places, fresh) as bucketed tables below one shared folder; `levels` is the manifest.
+
+    A document's lines have to come in one batch.
+    """
 
-    def __init__(self, spark: SparkSession, root: str | None = None, fanout: int = 2) -> None:
-        self.spark, self.root, self.fanout = spark, root or new_path(spark, "lines"), fanout
+    def __init__(self, spark: SparkSession, root: str | None = None, fanout: int = 2, buckets: int = 8) -> None:
+        self.spark, self.root, self.fanout, self.buckets = spark, root or new_path(spark, "lines"), fanout, buckets
         self.levels: list[list[DataFrame]] = []
-        self.written = 0
+        self.tables: list[str] = []
 
     def _write(self, run: DataFrame) -> DataFrame:
-        path = f"{self.root}/run-{self.written}"
-        self.written += 1
-        run.repartition(*KEY).sortWithinPartitions(*KEY).write.parquet(path)
-        return self.spark.read.schema(run.schema).parquet(path)
-
-    @staticmethod
-    def _merged(runs: list[DataFrame]) -> DataFrame:
-        both = runs[0]
+        name = f"kgforge_lines_{uuid.uuid4().hex}"
+        run.write.format("parquet").bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", f"{self.root}/run-{len(self.tables)}").saveAsTable(name)
+        self.tables.append(name)
+        return self.spark.table(name)
+
+    def _merged(self, runs: list[DataFrame]) -> DataFrame:
+        """The newest row of each key, newest runs last; a merge of the sorted buckets."""
+        out = runs[0]
         for run in runs[1:]:
-            both = both.unionByName(run)
-        return both.groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), F.max("keep_doc").alias("keep_doc"), F.max("fresh").alias("fresh"))
+            a, b = out.alias("a"), run.hint("merge").alias("b")
+            # totals only grow, so the larger ones are the newer ones
+            both = [F.greatest(f"a.{c}", f"b.{c}").alias(c) for c in ("n_docs", "keep_doc", "n_places")]
+            out = a.join(b, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in KEY], "full_outer").select(*[F.coalesce(f"a.{c}", f"b.{c}").alias(c) for c in KEY], *both, F.coalesce("b.fresh", "a.fresh").alias("fresh"))
+        return out
 
     def runs(self) -> list[DataFrame]:
-        return [run for level in self.levels for run in level]
+        return [run for level in reversed(self.levels) for run in level]
 
     def all_keys(self) -> DataFrame | None:
         """All keys of all runs with their totals."""
         return self._merged(self.runs()) if self.runs() else None
 
+    def repeated(self, min_docs: int) -> DataFrame:
+        """Keys of so many documents, with their totals; only these are shuffled."""
+        some = [run.where(F.col("n_docs") >= min_docs) for run in self.runs()]
+        return reduce(DataFrame.unionByName, some).groupBy(*KEY).agg(*[F.max(c).alias(c) for c in ("n_docs", "keep_doc", "n_places")])
+
     def add(self, lines: DataFrame) -> DataFrame:
         """Adds the batch's lines (h1, h2, doc_id) as a run and returns it; fresh marks keys that no earlier run has."""
-        batch = lines.select(*KEY, "doc_id").distinct().groupBy(*KEY).agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keep_doc"))
-        known = batch.select(*KEY).limit(0).withColumn("known", F.lit(True)) if not self.runs() else self.all_keys().select(*KEY, F.lit(True).alias("known"))
-        run = self._write(batch.join(known, KEY, "left").select(*KEY, "n_docs", "keep_doc", F.col("known").isNull().alias("fresh")))
+        own = lines.groupBy(*KEY, "doc_id").agg(F.count("*").alias("n")).groupBy(*KEY).agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keep_doc"), F.sum("n").alias("n_places"))
+        batch, totals = own.repartition(self.buckets, *KEY), ("n_docs", "keep_doc", "n_places")
+        for k, run in enumerate(self.runs()):
+            batch = batch.join(run.select(*KEY, *[F.col(c).alias(f"{c}{k}") for c in totals]).hint("merge"), KEY, "left")
+        known = lambda c: [F.col(f"{c}{k}") for k in range(len(self.runs()))]
+        before = lambda c: F.greatest(F.lit(0), F.lit(0), *known(c))
+        # greatest() passes over nulls
+        batch = batch.select(
+            *KEY, (F.col("n_docs") + before("n_docs")).alias("n_docs"), F.greatest("keep_doc", "keep_doc", *known("keep_doc")).alias("keep_doc"),
+            (F.col("n_places") + before("n_places")).alias("n_places"), F.coalesce(*known("n_docs"), F.lit(None)).isNull().alias("fresh"),
+        )
+        run = self._write(batch)
         self.levels = self.levels or [[]]
         self.levels[0].append(run)
         self._compact()
@@ -84,17 +114,28 @@ class LineRuns:
             self.levels[level + 1].append(self._write(self._merged(full)))
             level += 1
 
+    def drop(self) -> None:
+        for name in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        delete(self.spark, self.root)
+
 
 def repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 3) -> DataFrame:
     """doc_id, th and the sorted numbers of the lines to drop, for every document that loses any."""
     lines = materialise(line_table(docs, min_chars), "line-table")
-    runs = LineRuns(docs.sparkSession)
+    places = lines.count()
+    runs = LineRuns(docs.sparkSession, buckets=min(MOST_BUCKETS, max(1, -(-places // BUCKET_PLACES))))
     for k in range(batches):
         runs.add(lines.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k))
-    repeated = runs.all_keys().where(F.col("n_docs") >= min_docs).select(*KEY, "keep_doc").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = lines.withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(SALTS)))
-    lost = salted.join(repeated, [*KEY, "salt"]).where("doc_id <> keep_doc")
-    return lost.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("line_no")).alias("drop"))
+    repeated = materialise(runs.repeated(min_docs).select(*KEY, "keep_doc", (F.col("n_places") * HOT >= places).alias("hot")), "repeated")
+    hot, rest = (repeated.where(F.col("hot") == x).select(*KEY, "keep_doc") for x in (True, False))
+    # HOT rows at most
+    told = lines.join(F.broadcast(hot), KEY, "left")
+    lost = told.where("keep_doc IS NOT NULL").unionByName(told.where("keep_doc IS NULL").drop("keep_doc").join(rest.hint("merge"), KEY).select(*told.columns)).where("doc_id <> keep_doc")
+    out = materialise(lost.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("line_no")).alias("drop")), "lost-lines")
+    runs.drop()
+    discard(lines, repeated)
+    return out
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 3) -> DataFrame:
@@ -103,8 +144,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches
     joined = docs.join(drop, (docs["doc_id"] == F.col("_doc")) & (F.xxhash64(docs["text"]) == F.col("_th")), "left")
     lines = lines_of(F.col("text"))
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("drop"))
+    # by way of an array of one, so that a text is split once and not for each line
+    joined_lines = F.get(F.transform(F.array(lines), lambda own: F.array_join(F.transform(kept, lambda i: F.get(own, i)), "\n")), F.lit(0))
     # no line is touched in most documents, and those keep their text as it is
-    text = F.when(F.col("drop").isNull(), F.coalesce(F.col("text"), F.lit(""))).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
+    text = F.when(F.col("drop").isNull(), F.coalesce(F.col("text"), F.lit(""))).otherwise(joined_lines)
     out = joined.withColumns({"_n": F.size(lines).cast("long"), "_d": F.coalesce(F.size("drop"), F.lit(0)).cast("long"), "_t": text})
     return out.select(*[F.col("_t").alias("text") if c == "text" else docs[c] for c in docs.columns], F.col("_n").alias("n_lines"), F.col("_d").alias("n_dropped"))
 

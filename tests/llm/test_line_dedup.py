@@ -1,4 +1,7 @@
 import hashlib
+import os
+import random
+import time
 
 from kgforge.llm import line_dedup
 from pyspark.sql import functions as F
@@ -50,3 +53,33 @@ def test_runs_mark_new_keys_and_compact(spark):
     assert [len(x) for x in runs.levels] == [1, 1]
     total = {r["h1"]: (r["n_docs"], r["keep_doc"]) for r in runs.all_keys().where(F.col("h1") > 0).collect()}
     assert total == {1: (1, 1), 2: (3, 7), 3: (1, 5)}
+
+
+def test_runs_are_read_without_a_shuffle(spark):
+    runs = line_dedup.LineRuns(spark, fanout=3, buckets=3)
+    rng = random.Random(2)
+    counts = {}
+    for b in range(4):
+        rows = [(rng.randrange(40), 7, 1000 * b + rng.randrange(30)) for _ in range(120)]
+        runs.add(spark.createDataFrame(rows, "h1 long, h2 long, doc_id long"))
+        for h, _, d in set(rows):
+            counts.setdefault(h, []).append(d)
+    assert [len(x) for x in runs.levels] == [1, 1]
+    got = {r["h1"]: (r["n_docs"], r["keep_doc"]) for r in runs.all_keys().collect()}
+    assert got == {h: (len(d), max(d)) for h, d in counts.items()}
+    assert {r["h1"]: r["n_docs"] for r in runs.repeated(9).collect()} == {h: len(d) for h, d in counts.items() if len(d) >= 9}
+    plan = runs.all_keys()._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    folder = runs.root
+    runs.drop()
+    assert not os.path.exists(folder.removeprefix("file://")) and not {t.name for t in spark.catalog.listTables()} & set(runs.tables)
+
+
+def test_many_lines_take_linear_time(spark):
+    rows = [(d, "\n".join([LONG, *(f"line {k} of document {d}" for k in range(100_000))])) for d in range(6)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").cache()
+    frame.count()
+    began = time.perf_counter()
+    got = line_dedup.op2(frame).collect()
+    assert sorted((r["doc_id"], r["n_lines"], r["n_dropped"]) for r in got) == [(d, 100_001, int(d < 5)) for d in range(6)]
+    assert time.perf_counter() - began < 40
