@@ -1,12 +1,13 @@
 """Licence scan by a positional index of rare words, in DataFrame functions only.
 
 The templates' words form a small vocabulary. One pass counts in how many documents each of its words occurs; that gives every word's
-inverse document frequency. A template's postings are its words and positions, and the `ANCHORS` rarest words of its mandatory phrase
-are looked up in each document; where one stands, the template's start is its place less the word's position, so places of different words that agree in the
-start support each other. At each start the template's other words are compared place by place, weighed by their IDF, and a start
-counts if the weight is at least `least` of the template's and the template's mandatory phrase is there, word for word.
-
-The base phrases are looked for at every place of their last word.
+inverse document frequency. The index has postings (template, position) for each template's words of the highest IDF, as many as weigh
+more than the share of a template that may differ, so at least one of them stands in its place wherever the template counts. A file's
+licence words of the highest IDF are those of its words that have postings; each of their places, less a posting's position, is a start
+of that template, so the postings are intersected by relative position. At each start all of the template's words are compared place by
+place, weighed by their IDF, and a start counts if the weight is at least `least` of the template's and its mandatory phrase is there,
+word for word. The base phrases are templates that have to be there as a whole. The words of a file are walked once, for all templates,
+and only where one of them has postings.
 
 Defined cases: a null or empty text has no words, no places and no labels; n_words is 0 then. Repeated rows give repeated results.
 Other columns are not looked at.
@@ -43,12 +44,11 @@ TEMPLATES = [
     ("cc-by", "licensed under a creative commons attribution 4 0 international license", "creative commons attribution"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
 ]
-ANCHORS = 2
 LEAST = 0.8
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(lower_ascii(F.coalesce(text, F.lit(""))), NO_WORD, -1), lambda w: w != "")
+    return F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), NO_WORD, -1), "")
 
 
 def vocabulary(templates: list[tuple[str, str, str]] = TEMPLATES) -> list[str]:
@@ -62,52 +62,59 @@ def document_frequency(docs: DataFrame, words: list[str]) -> tuple[int, dict[str
     return n.pop("", 0), n
 
 
-def places(words: Column, phrase: str) -> Column:
-    """Starts of the phrase's words where they stand consecutively."""
-    parts = phrase.split()
-    at = F.transform(F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda s: s["w"] == parts[-1]), lambda s: s["i"] - (len(parts) - 1))
-    same = lambda i: F.array(*[F.get(words, i + k) == w for k, w in enumerate(parts[:-1])])
-    return F.filter(at, lambda i: (i >= 0) & F.forall(same(i), lambda x: x))
-
-
-def template_score(words: Column, notice: str, phrase: str, idf: dict[str, float], least: float = LEAST) -> Column:
-    """The largest share of the notice's IDF that agrees by position, over all starts; null if under least or without the phrase."""
-    parts = notice.split()
-    total = sum(idf[w] for w in parts)
-    begin = len(notice[: f" {notice} ".find(f" {phrase} ")].split())
-    # words of the mandatory phrase are there wherever a start counts, so none is missed
-    rare = sorted(range(begin, begin + len(phrase.split())), key=lambda k: (-idf[parts[k]], k))[:ANCHORS]
-    hits = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda s: s["w"].isin(*{parts[k] for k in rare}))
-    starts = F.array_distinct(F.flatten(F.transform(hits, lambda s: F.filter(F.array(*[F.when(s["w"] == parts[k], s["i"] - k) for k in rare]), lambda x: x.isNotNull()))))
-    weigh = lambda i: sum((F.when((i + k >= 0) & (F.get(words, i + k) == w), F.lit(idf[w])).otherwise(0.0) for k, w in enumerate(parts)), F.lit(0.0))
-    there = lambda i: F.forall(F.array(*[F.coalesce((i + begin + k >= 0) & (F.get(words, i + begin + k) == w), F.lit(False)) for k, w in enumerate(phrase.split())]), lambda x: x)
-    share = F.array_max(F.transform(F.filter(starts, there), lambda i: weigh(i) / total))
-    return F.when(share >= least, share)
+def anchors(parts: list[str], idf: dict[str, float], least: float) -> list[int]:
+    """Positions of the words of the highest IDF, together more than what may differ."""
+    spare, out = (1 - least) * sum(idf[w] for w in parts), []
+    for k in sorted(range(len(parts)), key=lambda k: (-idf[parts[k]], k)):
+        out.append(k)
+        spare -= idf[parts[k]]
+        if spare < -1e-9:
+            break
+    return out
+
+
+def found(words: Column, patterns: list[tuple[str, str, float]], idf: dict[str, float]) -> Column:
+    """k (number of the pattern), start and share of IDF that agrees, of every start that counts; patterns: words, mandatory phrase, least share."""
+    postings: dict[str, list[tuple[int, int]]] = {}
+    rows = []
+    for k, (notice, phrase, least) in enumerate(patterns):
+        parts = notice.split()
+        for at in anchors(parts, idf, least):
+            postings.setdefault(parts[at], []).append((k, at))
+        begin = len(notice[: f" {notice} ".find(f" {phrase} ")].split())
+        strings, doubles = lambda x: F.array(*map(F.lit, x)), lambda x: F.array(*[F.lit(float(y)) for y in x])
+        rows.append(F.struct(strings(parts).alias("words"), doubles(idf[w] for w in parts).alias("idf"), F.lit(float(sum(idf[w] for w in parts))).alias("total"), F.lit(begin).alias("begin"), strings(phrase.split()).alias("phrase"), F.lit(float(least)).alias("least")))
+    table, known = F.array(*rows), F.array(*map(F.lit, sorted(postings)))
+    index = F.create_map(*[x for w in sorted(postings) for x in (F.lit(w), F.array(*[F.struct(F.lit(k).alias("k"), F.lit(at).alias("at")) for k, at in postings[w]]))])
+    hits = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda s: s["w"].isin(*sorted(postings)))
+    starts = F.array_distinct(F.flatten(F.transform(hits, lambda s: F.transform(F.element_at(index, s["w"]), lambda p: F.struct(p["k"].alias("k"), (s["i"] - p["at"]).alias("start"))))))
+    # get() is null beyond either end
+    there = lambda x, p: F.forall(F.sequence(F.lit(0), F.size(p["phrase"]) - 1), lambda j: F.coalesce(F.get(words, x["start"] + p["begin"] + j) == F.get(p["phrase"], j), F.lit(False)))
+    weight = lambda x, p: F.aggregate(F.sequence(F.lit(0), F.size(p["words"]) - 1), F.lit(0.0), lambda sum_, j: sum_ + F.when(F.get(words, x["start"] + j) == F.get(p["words"], j), F.get(p["idf"], j)).otherwise(0.0))
+    of = lambda x: F.get(table, x["k"])
+    scored = F.transform(F.filter(starts, lambda x: there(x, of(x))), lambda x: F.struct(x["k"].alias("k"), x["start"].alias("start"), (weight(x, of(x)) / of(x)["total"]).alias("share")))
+    none = F.array().cast("array<struct<k:int,start:int,share:double>>")
+    return F.when(F.arrays_overlap(words, known), F.filter(scored, lambda x: x["share"] >= of(x)["least"])).otherwise(none)
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str, str]] = TEMPLATES, base: dict[str, str] = BASE, least: float = LEAST) -> DataFrame:
     """docs with n_words, n_base, first_word, last_word, base_labels, labels and score (the best template's; 1 for a base place)."""
-    n, df = document_frequency(docs, vocabulary(templates))
-    idf = {w: math.log((n + 1) / (df.get(w, 0) + 0.5)) for w in vocabulary(templates)}
+    words = sorted({*vocabulary(templates), *(w for p in base for w in p.split())})
+    n, df = document_frequency(docs, words)
+    idf = {w: math.log((n + 1) / (df.get(w, 0) + 0.5)) for w in words}
     names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
+    # a base phrase's words all have to be there, so its rarest word will do for a posting
+    patterns = [*((p, p, 1.0) for p in base), *((notice, phrase, least) for _, notice, phrase in templates)]
     rows = docs.drop(*names).withColumn("_w", words_of(F.col("text")))
-    low = lower_ascii(F.col("text"))
-    none = F.array().cast("array<int>")
-    # most texts lack even one word of a phrase, and a search for it in the plain text is cheap
-    found = {p: F.when(F.contains(low, F.lit(p.split()[0])) & F.contains(low, F.lit(p.split()[-1])), places(F.col("_w"), p)).otherwise(none) for p in base}
-    rows = rows.withColumns({f"_b{k}": found[p] for k, p in enumerate(base)})
-    # a start without the mandatory phrase never counts, so texts that lack a word of it are not looked at
-    holds = lambda p: sum((F.contains(low, F.lit(w)).cast("int") for w in p.split()), F.lit(0)) == len(p.split())
-    rows = rows.withColumns({f"_t{k}": F.when(holds(p), template_score(F.col("_w"), t, p, idf, least)) for k, (_, t, p) in enumerate(templates)})
-    starts = F.flatten(F.array(*[F.col(f"_b{k}") for k in range(len(base))]))
-    base_labels = F.array_compact(F.array(*[F.when(F.size(f"_b{k}") > 0, F.lit(x)) for k, x in enumerate(base.values())]))
-    own_labels = F.array_compact(F.array(*[F.when(F.col(f"_t{k}").isNotNull(), F.lit(t[0])) for k, t in enumerate(templates)]))
-    best = F.greatest(F.lit(0.0), F.lit(0.0), *[F.coalesce(F.col(f"_t{k}"), F.lit(0.0)) for k in range(len(templates))])
-    join = lambda x: F.array_join(F.sort_array(F.array_distinct(x)), ",")
+    rows = rows.withColumn("_f", found(F.col("_w"), patterns, idf))
+    own = F.transform(F.filter("_f", lambda x: x["k"] < len(base)), lambda x: x["start"])
+    label_of = F.array(*map(F.lit, [*base.values(), *(t[0] for t in templates)]))
+    labels = lambda among: F.array_join(F.sort_array(F.array_distinct(F.transform(among, lambda x: F.get(label_of, x["k"])))), ",")
+    best = F.coalesce(F.array_max(F.transform("_f", lambda x: x["share"])), F.lit(0.0))
     return rows.withColumns({
-        "n_words": F.size("_w").cast("long"), "n_base": F.size(starts).cast("long"), "first_word": F.array_min(starts).cast("long"), "last_word": F.array_max(starts).cast("long"),
-        "base_labels": join(base_labels), "labels": join(F.concat(base_labels, own_labels)), "score": F.when(F.size(starts) > 0, 1.0).otherwise(F.round(F.least(F.lit(1.0), best), 6)),
-    }).drop("_w", *[f"_b{k}" for k in range(len(base))], *[f"_t{k}" for k in range(len(templates))])
+        "n_words": F.size("_w").cast("long"), "n_base": F.size(own).cast("long"), "first_word": F.array_min(own).cast("long"), "last_word": F.array_max(own).cast("long"),
+        "base_labels": labels(F.filter("_f", lambda x: x["k"] < len(base))), "labels": labels(F.col("_f")), "score": F.when(F.size(own) > 0, 1.0).otherwise(F.round(F.least(F.lit(1.0), best), 6)),
+    }).drop("_w", "_f")
 
 
 def op6(docs: DataFrame) -> DataFrame:

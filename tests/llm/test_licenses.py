@@ -1,3 +1,5 @@
+import math
+import random
 import re
 
 from kgforge.llm import licenses
@@ -38,3 +40,44 @@ def test_empty_table(spark):
 def test_document_frequency(spark):
     rows = spark.createDataFrame([("mit mit x",), ("MIT",), (None,), ("y",)], "text string")
     assert licenses.document_frequency(rows, ["mit", "z"]) == (4, {"mit": 2})
+
+
+def all_starts(text, idf):
+    """Brute force: every template at every start, without an index."""
+    words, out = WORD.findall((text or "").translate(ASCII)), set()
+    at = lambda i: words[i] if 0 <= i < len(words) else None
+    for label, notice, phrase in licenses.TEMPLATES:
+        parts = notice.split()
+        begin = next(k for k in range(len(parts)) if parts[k : k + len(phrase.split())] == phrase.split())
+        for start in range(-len(parts), len(words)):
+            share = sum(idf[w] for k, w in enumerate(parts) if at(start + k) == w) / sum(idf[w] for w in parts)
+            if share >= licenses.LEAST and all(at(start + begin + k) == w for k, w in enumerate(phrase.split())):
+                out.add((label, round(min(1, share), 6)))
+    return out
+
+
+def test_templates_match_every_start(spark):
+    rng = random.Random(3)
+    texts = []
+    for _ in range(400):
+        words = rng.choices(licenses.vocabulary() + ["x", "y", "lorem"], k=rng.randrange(30))
+        for _ in range(rng.randrange(3)):
+            notice = rng.choice(licenses.TEMPLATES)[1].split()
+            for _ in range(rng.randrange(3)):
+                notice[rng.randrange(len(notice))] = rng.choice(["x", "the", "mit"])
+            cut = rng.randrange(len(words) + 1)
+            words[cut:cut] = notice[rng.randrange(2) :]
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    n, df = licenses.document_frequency(docs, licenses.vocabulary())
+    idf = {w: math.log((n + 1) / (df.get(w, 0) + 0.5)) for w in licenses.vocabulary()}
+    for r in licenses.op6(docs).collect():
+        want = all_starts(texts[r["doc_id"]], idf)
+        base = brute(texts[r["doc_id"]])[4]
+        assert r["labels"] == ",".join(sorted({x for x, _ in want} | set(filter(None, base.split(","))))), texts[r["doc_id"]]
+        assert r["score"] == (1 if base else max((x for _, x in want), default=0))
+
+
+def test_plan_has_no_python(spark):
+    plan = licenses.op6(spark.createDataFrame([(1, "mit license")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
