@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -20,23 +21,31 @@ def load_properties(text: Column) -> Column:
     return F.from_json(text, "map<string,string>")
 
 
+#: Deeper responses are no answer.
+DEEPEST = 500
+
+
+def too_deep(text: str, at: int) -> bool:
+    """Whether more than DEEPEST brackets open one after the other from here, which a decoder would follow one by one."""
+    return len(text) - at > DEEPEST and not text[at : at + DEEPEST + 1].strip("[")
+
+
 def first_json(text: str) -> str | None:
     """The text if it is JSON, else the first object or array that can be read from some brace or bracket on."""
     decoder = json.JSONDecoder()
     try:
         json.loads(text)
         return text
-    except ValueError:
+    except (ValueError, RecursionError):
         pass
-    at = 0
-    while at < len(text):
-        if text[at] in "{[":
+    last = {"{": text.rfind("}"), "[": text.rfind("]")}
+    for m in re.finditer(r"[{\[]", text):
+        at = m.start()
+        if at < last[m[0]] and not too_deep(text, at):  # else it has no end, or none that can be read
             try:
-                _, end = decoder.raw_decode(text, at)
-                return text[at:end]
-            except ValueError:
+                return text[at : decoder.raw_decode(text, at)[1]]
+            except (ValueError, RecursionError):
                 pass
-        at += 1
     return None
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -11,17 +12,45 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
-#: Letters that don't decompose; other scripts than Latin are left out after decomposition.
-LETTERS = str.maketrans({"ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "ł": "l", "đ": "d", "þ": "th", "ð": "d", "ı": "i"})
+# The usual Latin letters for those of other alphabets, and the characters that keys may have.
+LETTERS = {
+    "ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "ł": "l", "đ": "d", "þ": "th", "ð": "d", "ı": "i", "ħ": "h", "ŋ": "ng", "ə": "@",
+    "а": "a", "б": "b", "в": "v", "г": "g", "ґ": "g", "д": "d", "ђ": "dj", "е": "e", "є": "ie", "ж": "zh", "з": "z", "и": "i", "і": "i", "ј": "j", "к": "k",
+    "л": "l", "љ": "lj", "м": "m", "н": "n", "њ": "nj", "о": "o", "п": "p", "р": "r", "с": "s", "т": "t", "ћ": "c", "у": "u", "ф": "f", "х": "kh", "ц": "ts",
+    "ч": "ch", "џ": "dz", "ш": "sh", "щ": "shch", "ъ": "", "ы": "y", "ь": "", "э": "e", "ю": "iu", "я": "ia", "ё": "io", "й": "i", "ї": "yi", "ў": "u", "ѓ": "gj", "ќ": "kj",
+    "α": "a", "β": "b", "γ": "g", "δ": "d", "ε": "e", "ζ": "z", "η": "e", "θ": "th", "ι": "i", "κ": "k", "λ": "l", "μ": "m", "ν": "n", "ξ": "x", "ο": "o", "π": "p",
+    "ρ": "r", "σ": "s", "ς": "s", "τ": "t", "υ": "u", "φ": "ph", "χ": "kh", "ψ": "ps", "ω": "o",
+}
 NOT_ALLOWED = re.compile(r"[^a-z0-9\s/\-+_#&@.:()]")
 EDGES = r"\s/\\.:()"
 EDGE = re.compile(rf"^[{EDGES}]+|[{EDGES}]+$")
 
 
+@lru_cache(4096)
+def latin(c: str) -> str:
+    """A letter in Latin ones: by the table, without its marks, by its name, or by its number, so that none is lost."""
+    if c in LETTERS:
+        return LETTERS[c]
+    bare = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+    if bare.isascii():
+        return bare
+    if bare != c and not "HANGUL" in unicodedata.name(c, ""):
+        return "".join(map(latin, bare))
+    name = unicodedata.name(c, "")
+    if unicodedata.category(c) == "Nd":
+        return str(unicodedata.digit(c))
+    if not c.isalpha():
+        return ""
+    # HIRAGANA LETTER SMALL YU, HANGUL SYLLABLE GAG: the sound is the last word, or what stands before WITH
+    spoken = re.search(r" (?:LETTER|SYLLABLE)(?: SMALL| CAPITAL)? (\w+)(?: WITH .*)?$", name)
+    return spoken[1].lower() if spoken else f"u{ord(c):x}"
+
+
 def normalize(raw: str) -> str | None:
     text = "".join(filter(str.isprintable, unicodedata.normalize("NFKC", raw)))
     text = text.replace("–", "-").replace("—", "-").casefold()
-    text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).translate(LETTERS)
+    if not text.isascii():
+        text = "".join(c if c.isascii() else latin(c) for c in unicodedata.normalize("NFKC", text))
     text = EDGE.sub("", NOT_ALLOWED.sub("", text))
     return re.sub(r"\s+", " ", text) or None
 

@@ -10,12 +10,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # What counts as a thousands separator, the words for true and false, the names of months.
-SEPARATORS = "., _"
+SEPARATORS = [".", ",", " ", "_"]
 TRUE_WORDS = ["true", "yes", "sí", "si", "verdadero", "1"]
 FALSE_WORDS = ["false", "no", "falso", "0"]
 MONTHS = {
-    1: "january jan enero ene", 2: "february feb febrero", 3: "march mar marzo", 4: "april apr abril abr", 5: "may mayo", 6: "june jun junio",
-    7: "july jul julio", 8: "august aug agosto ago", 9: "september sep sept septiembre setiembre set", 10: "october oct octubre", 11: "november nov noviembre", 12: "december dec diciembre dic",
+    1: ["january", "jan", "enero", "ene"], 2: ["february", "feb", "febrero"], 3: ["march", "mar", "marzo"], 4: ["april", "apr", "abril", "abr"],
+    5: ["may", "mayo"], 6: ["june", "jun", "junio"], 7: ["july", "jul", "julio"], 8: ["august", "aug", "agosto", "ago"],
+    9: ["september", "sep", "sept", "septiembre", "setiembre", "set"], 10: ["october", "oct", "octubre"], 11: ["november", "nov", "noviembre"],
+    12: ["december", "dec", "diciembre", "dic"],
 }
 MAX_INTEGER = 2**56 - 1
 MAX_FLOAT = 3.4028234663852886e38
@@ -39,28 +41,58 @@ def normalize_string(raw: Column, options: list[str] | None = None) -> Column:
     return value
 
 
+def bound(value: Column, of) -> Column:
+    """of(value), with the value worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
+def digits_and_marks(number: Column) -> Column:
+    """sign, groups (what stands between separators) and marks (the separators in order) of a number's text."""
+    sign = F.when(F.substring(number, 1, 1).isin("+", "-"), F.substring(number, 1, 1)).otherwise("")
+    body = F.when(sign == "", number).otherwise(F.substr(number, F.lit(2)))
+    marks = F.filter(F.split(body, ""), lambda c: c.isin(SEPARATORS))
+    plain = F.translate(body, "".join(SEPARATORS[1:]), SEPARATORS[0] * (len(SEPARATORS) - 1))
+    return F.struct(sign.alias("sign"), F.split(plain, "[.]", -1).alias("groups"), marks.alias("marks"))
+
+
+def all_digits(groups: Column) -> Column:
+    """Whether there is nothing but digits in every group, and some in each."""
+    return F.forall(groups, lambda g: (g != "") & (F.translate(g, "0123456789", "") == ""))
+
+
+def in_threes(groups: Column) -> Column:
+    """Whether groups are those of thousands: three digits each, and one to three in the first."""
+    return F.length(F.get(groups, F.lit(0))).between(1, 3) & F.forall(F.slice(groups, 2, F.greatest(F.size(groups) - 1, F.lit(0))), lambda g: F.length(g) == 3)
+
+
 def normalize_integer(raw: Column) -> Column:
-    """Plain or grouped in threes by one kind of separator, or a float without a fraction."""
-    text = trimmed(raw)
-    grouped = text.rlike(r"^[+-]?[0-9]{1,3}([., _])[0-9]{3}(?:\1[0-9]{3})*$")
-    plain = text.rlike(r"^[+-]?[0-9]+$")
-    return F.when(plain | grouped, F.regexp_replace(text, "[., _]", "").try_cast("bigint"))
+    """Digits, or digits grouped in threes by one kind of separator."""
+
+    def read(x: Column) -> Column:
+        fine = all_digits(x["groups"]) & ((F.size(x["marks"]) == 0) | (F.size(F.array_distinct(x["marks"])) == 1) & in_threes(x["groups"]))
+        return F.when(fine, F.concat(x["sign"], F.array_join(x["groups"], "")).try_cast("bigint"))
+
+    return bound(digits_and_marks(trimmed(raw)), read)
 
 
 def normalize_float(raw: Column) -> Column:
     """Point or comma for decimals, digits grouped by another separator; a lone point or comma is the decimal one."""
-    text = trimmed(raw)
-    tail = r"(?:[eE][+-]?[0-9]+)?$"
-    plain = text.rlike(r"^[+-]?[0-9]+(?:[.,][0-9]+)?" + tail)
-    grouped = text.rlike(r"^[+-]?[0-9]{1,3}([., _])[0-9]{3}(?:\1[0-9]{3})*(?:(?!\1)[.,][0-9]+)?" + tail)
-    # what stands before the last point or comma is the whole part, unless that sign groups
-    fraction = F.regexp_extract(text, r"[.,]([0-9]+)(?:[eE][+-]?[0-9]+)?$", 1)
-    only_groups = ~plain & text.rlike(r"^[+-]?[0-9]{1,3}([., _])[0-9]{3}(?:\1[0-9]{3})*" + tail)
-    exponent = F.regexp_extract(text, r"[eE]([+-]?[0-9]+)$", 1)
-    body = F.regexp_replace(text, r"[eE][+-]?[0-9]+$", "")
-    whole = F.when((fraction == "") | only_groups, body).otherwise(F.regexp_replace(body, r"[.,][0-9]+$", ""))
-    number = F.concat(F.regexp_replace(whole, "[., _]", ""), F.lit("."), F.when((fraction == "") | only_groups, F.lit("0")).otherwise(fraction), F.lit("E"), F.when(exponent == "", F.lit("0")).otherwise(exponent))
-    return F.when(plain | grouped, number.try_cast("double"))
+
+    def read(x: Column) -> Column:
+        groups, marks = x["n"]["groups"], x["n"]["marks"]
+        n, last = F.size(marks), F.element_at(marks, -1)
+        before = F.slice(marks, 1, F.greatest(n - 1, F.lit(0)))
+        # a decimal sign is the last mark, and unlike the others
+        decimal = (n > 0) & last.isin(".", ",") & ~F.array_contains(before, last)
+        whole = F.when(decimal, F.slice(groups, 1, n)).otherwise(groups)
+        grouping = F.when(decimal, before).otherwise(marks)
+        fine = all_digits(groups) & ((F.size(grouping) == 0) | (F.size(F.array_distinct(grouping)) == 1) & in_threes(whole))
+        power = F.coalesce(F.get(x["parts"], F.lit(1)), F.lit("0"))
+        fine = fine & (F.size(x["parts"]) <= 2) & (F.translate(F.regexp_replace(power, "^[+-]", ""), "0123456789", "") == "") & power.rlike("[0-9]$")
+        number = F.concat(x["n"]["sign"], F.array_join(whole, ""), F.lit("."), F.when(decimal, F.element_at(groups, -1)).otherwise("0"), F.lit("E"), power)
+        return F.when(fine, number.try_cast("double"))
+
+    return bound(F.split(trimmed(raw), "[eE]", -1), lambda parts: bound(F.struct(parts.alias("parts"), digits_and_marks(F.get(parts, F.lit(0))).alias("n")), read))
 
 
 def normalize_boolean(raw: Column) -> Column:
@@ -76,29 +108,54 @@ def partial_date(year: Column, month: Column, day: Column) -> Column:
     return F.when(real, F.when(m.isNull(), F.substring(text, 1, 4)).when(d.isNull(), F.substring(text, 1, 7)).otherwise(text))
 
 
+# What may follow the number of a day, and what may stand between the parts of a date with a month's name.
+ORDINALS = ["º", "°", "st", "nd", "rd", "th"]
+LINKS = ["de", "del", "of"]
+
+
 def normalize_date(raw: Column) -> Column:
-    """A partial date from year-first, numeric or named-month forms; of two orders of day and month the one that forms a date, else day first."""
+    """A partial date from year-first, numeric or named-month forms; of two orders of day and month the one that forms a date, else day first.
+
+    The text falls into runs of digits and of letters, with gaps between them. What the runs are, with how many digits each, says which
+    forms come into question, and the gaps whether it is one.
+    """
     text = F.lower(trimmed(raw))
-    part = lambda pattern, k: F.regexp_extract(text, pattern, k)
-    blank = F.lit("")
-    year_first = r"^([0-9]{4})(?:([-/.])([0-9]{1,2})(?:\2([0-9]{1,2}))?)?$"
-    numeric = r"^([0-9]{1,2})([-/.])([0-9]{1,2})\2([0-9]{4})$"
-    month_year = r"^([0-9]{1,2})[-/.]([0-9]{4})$"
-    day, name, gap = r"([0-9]{1,2})(?:º|°|st|nd|rd|th)?", r"(\p{L}+)\.?", r"(?:\s*[-/,]\s*|\s+)(?:del?\s+|of\s+)?"
-    named = ((rf"^{day}{gap}{name}{gap}([0-9]{{4}})$", 1, 2, 3), (rf"^{name}\s+{day},?\s+([0-9]{{4}})$", 2, 1, 3), (rf"^{name}{gap}([0-9]{{4}})$", None, 1, 2))
-    numbers = F.create_map(*[F.lit(x) for k, names in MONTHS.items() for n in names.split() for x in (n, str(k))])
-    first, second = part(numeric, 1).try_cast("int"), part(numeric, 3).try_cast("int")
-    swap = (first <= 12) & (second > 12)
-    parts = lambda y, m, d: F.struct(y.alias("y"), m.alias("m"), d.alias("d"))
-    found = F.when(text.rlike(year_first), parts(part(year_first, 1), part(year_first, 3), part(year_first, 4)))
-    found = found.when(text.rlike(numeric), parts(part(numeric, 4), F.when(swap, part(numeric, 1)).otherwise(part(numeric, 3)), F.when(swap, part(numeric, 3)).otherwise(part(numeric, 1))))
-    found = found.when(text.rlike(month_year), parts(part(month_year, 2), part(month_year, 1), blank))
-    for pattern, d, m, y in named:
-        # a name that is no month's gives no date, rather than a year
-        month = F.coalesce(F.try_element_at(numbers, part(pattern, m)), F.lit("0"))
-        found = found.when(text.rlike(pattern), parts(part(pattern, y), month, part(pattern, d) if d else blank))
-    # by way of an array, so that the parts are worked out once
-    return F.get(F.transform(F.array(found), lambda x: partial_date(x["y"], x["m"], x["d"])), F.lit(0))
+    # what belongs to a day's number, or links a month's name with what is beside it, says nothing more
+    bare = lambda t: F.regexp_replace(t, rf"(?<=[0-9])(?:{'|'.join(ORDINALS)})(?=[\s,/-])", "")
+    loose = lambda t: F.regexp_replace(bare(t), rf"(?<=[\s,/-])(?:{'|'.join(LINKS)})\s+", "")
+    run = r"[0-9]+|\p{L}+"
+    size = lambda r: F.when(~r.rlike("^[0-9]"), "w").when(F.length(r).isin(1, 2, 4), F.length(r).cast("string")).otherwise("x")
+    split = lambda t: F.struct(F.regexp_extract_all(t, F.lit(f"({run})"), F.lit(1)).alias("runs"), F.split(t, run, -1).alias("gaps"))
+    numbers = F.create_map(*[F.lit(x) for k, names in MONTHS.items() for n in names for x in (n, str(k))])
+    # a name that is no month's gives no date, rather than a year
+    month = lambda name: F.coalesce(F.try_element_at(numbers, name), F.lit("0"))
+    none = F.lit("")
+    date = lambda y, m=none, d=none: F.struct(y.alias("y"), m.alias("m"), d.alias("d"))
+
+    def read(x: Column) -> Column:
+        shape = lambda of: F.array_join(F.transform(x[of]["runs"], size), "")
+        part, gap = (lambda of, k: F.get(x[of]["runs"], F.lit(k))), lambda of, k: F.get(x[of]["gaps"], F.lit(k))
+        form = lambda of, kinds: (gap(of, 0) == "") & (F.element_at(x[of]["gaps"], -1) == "") & shape(of).rlike(f"^{kinds}$")
+        sign, same = gap("text", 1).isin("-", "/", "."), gap("text", 1) == gap("text", 2)
+        first, second, third = (part("text", k) for k in range(3))
+        swap = (first.try_cast("int") <= 12) & (second.try_cast("int") > 12)
+        # an abbreviated name may have its point
+        after_name = lambda of, k: F.regexp_replace(gap(of, k), "^[.]", "")
+        apart = lambda g: (g != "") & trimmed(g).isin("", "-", "/", ",")
+        blank = lambda g: (g != "") & (trimmed(g) == "")
+        return (
+            F.when(form("text", "4"), date(first))
+            .when(form("text", "4[12]") & sign, date(first, second))
+            .when(form("text", "[12]4") & sign, date(second, first))
+            .when(form("text", "4[12][12]") & sign & same, date(first, second, third))
+            .when(form("text", "[12][12]4") & sign & same, date(third, F.when(swap, first).otherwise(second), F.when(swap, second).otherwise(first)))
+            .when(form("loose", "[12]w4") & apart(gap("loose", 1)) & apart(after_name("loose", 2)), date(part("loose", 2), month(part("loose", 1)), part("loose", 0)))
+            .when(form("bare", "w[12]4") & blank(after_name("bare", 1)) & blank(F.regexp_replace(gap("bare", 2), "^,", "")), date(part("bare", 2), month(part("bare", 0)), part("bare", 1)))
+            .when(form("loose", "w4") & apart(after_name("loose", 1)), date(part("loose", 1), month(part("loose", 0))))
+        )
+
+    versions = bound(text, lambda t: F.struct(split(t).alias("text"), split(bare(t)).alias("bare"), split(loose(t)).alias("loose")))
+    return bound(bound(versions, read), lambda x: partial_date(x["y"], x["m"], x["d"]))
 
 
 NORMALIZERS = {"string": normalize_string, "integer": normalize_integer, "float": normalize_float, "boolean": normalize_boolean, "date": normalize_date}

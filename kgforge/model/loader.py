@@ -54,10 +54,10 @@ def field_of(name: str, given: dict, where: str) -> Field:
     kind = str(given.get("data_type", "")).lower()
     kind = TYPE_ALIASES.get(kind, kind)
     value = lambda x: literal(x, kind)
-    modes = {k: str(v).upper() for k, v in by_level(given.get("retrieval_mode"), where).items()}
+    level = lambda key, of=lambda x: x: {k: of(v) for k, v in by_level(given.get(key), where).items() if v is not None}
     return Field(
-        name, kind, given.get("description", ""), bool(given.get("required", False)), tuple(map(value, listed(given.get("options")))), tuple(map(value, listed(given.get("examples")))), given.get("regex"),
-        value(given.get("min")), value(given.get("max")), value(given.get("default_value")), modes, given.get("merge_strategy"), given.get("instructions") or "",
+        name, kind, given.get("description", ""), bool(given.get("required", False)), tuple(map(value, listed(given.get("options")))), tuple(map(value, listed(given.get("examples")))), level("regex"),
+        level("min", value), level("max", value), level("default_value", value), level("retrieval_mode", lambda x: str(x).upper()), given.get("merge_strategy"), level("instructions"),
     )
 
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from typing import Any
 
 from kgforge.functions.values import MAX_FLOAT, MAX_INTEGER
-from kgforge.operators.merge import ALIASES, STRATEGIES
+from kgforge.operators.merge import STRATEGIES, strategy_name
 
 # Names, levels, modes, policies and aliases that models are written with.
 TYPE_NAME, FIELD_NAME, COLLECTION_NAME = re.compile(r"[A-Z][a-zA-Z0-9]{0,63}"), re.compile(r"[a-z][a-z0-9_]{0,63}"), re.compile(r"[a-zA-Z0-9][a-zA-Z0-9._-]{0,63}")
@@ -47,27 +47,30 @@ def has_type(value: Any, data_type: str) -> bool:
 
 @dataclass(frozen=True)
 class Field:
+    """A field; regex, least, most, default, modes and instructions are by context level, with an entry for each level that has one."""
+
     name: str
     data_type: str
     description: str = ""
     required: bool = False
     options: tuple = ()
     examples: tuple = ()
-    regex: str | None = None
-    least: Any = None
-    most: Any = None
-    default: Any = None
+    regex: dict[str, str] = field(default_factory=dict, hash=False)
+    least: dict[str, Any] = field(default_factory=dict, hash=False)
+    most: dict[str, Any] = field(default_factory=dict, hash=False)
+    default: dict[str, Any] = field(default_factory=dict, hash=False)
     modes: dict[str, str] = field(default_factory=dict, hash=False)
     strategy: str | None = None
-    instructions: str = ""
+    instructions: dict[str, str] = field(default_factory=dict, hash=False)
 
     def mode(self, level: str = "CHUNK") -> str:
         return self.modes.get(level, "EXTRACT")
 
-    def allows(self, value: Any) -> bool:
+    def allows(self, value: Any, level: str) -> bool:
+        pattern, least, most = (x.get(level) for x in (self.regex, self.least, self.most))
         return (
-            has_type(value, self.data_type) and (not self.options or value in self.options) and (self.regex is None or re.fullmatch(self.regex, value) is not None)
-            and (self.least is None or value >= self.least) and (self.most is None or value <= self.most)
+            has_type(value, self.data_type) and (not self.options or value in self.options) and (pattern is None or re.fullmatch(pattern, value) is not None)
+            and (least is None or value >= least) and (most is None or value <= most)
         )
 
     def faults(self) -> list[str]:
@@ -76,26 +79,28 @@ class Field:
             out.append("not a field's name")
         if t not in STRATEGIES:
             return [*out, f"no data type {t}"]
-        if self.regex is not None:
-            if t != "string":
-                out.append("a pattern is for strings")
-            else:
-                try:
-                    re.compile(self.regex)
-                except re.error as e:
-                    out.append(f"pattern: {e}")
-        if (self.least is not None or self.most is not None) and t not in ("integer", "float", "date"):
+        out += sorted({f"no level {x}" for given in (self.regex, self.least, self.most, self.default, self.modes, self.instructions) for x in given if x not in LEVELS})
+        if self.regex and t != "string":
+            out.append("a pattern is for strings")
+        for pattern in self.regex.values():
+            try:
+                re.compile(pattern)
+            except re.error as e:
+                out.append(f"pattern: {e}")
+        if (self.least or self.most) and t not in ("integer", "float", "date"):
             out.append("bounds are for integers, floats and dates")
-        elif self.least is not None and self.most is not None and self.least > self.most:
+        elif any(self.least[x] > self.most[x] for x in self.least.keys() & self.most.keys()):
             out.append("its least value is above its most")
-        for mode in self.modes.values():
+        for level in LEVELS:
+            mode = self.mode(level)
             if mode not in MODES:
                 out.append(f"no retrieval mode {mode}")
-            elif mode == "DEFAULT" and self.default is None:
+            elif mode == "DEFAULT" and self.default.get(level) is None:
                 out.append("mode DEFAULT without a default")
         if not out:
-            out += [f"{x!r} is not allowed" for x in (*self.examples, *([] if self.default is None else [self.default])) if not self.allows(x)]
-        if self.strategy and ALIASES.get(self.strategy, self.strategy) not in STRATEGIES[t]:
+            out += [f"{x!r} is not allowed" for x in self.examples if not any(self.allows(x, level) for level in LEVELS)]
+            out += [f"{x!r} is not allowed" for level, x in self.default.items() if not self.allows(x, level)]
+        if self.strategy and strategy_name(self.strategy) not in STRATEGIES[t]:
             out.append(f"{self.strategy} is no strategy for {t}")
         return out
 
@@ -128,7 +133,7 @@ def key_faults(pk: Field | None, name: str) -> list[str]:
     out = []
     if pk.data_type in ("float", "boolean"):
         out.append("a primary key is no float or boolean")
-    if not pk.required or pk.default is not None or any(m != "EXTRACT" for m in pk.modes.values()):
+    if not pk.required or pk.default or any(m != "EXTRACT" for m in pk.modes.values()):
         out.append("a primary key is required, extracted everywhere, and has no default")
     return out
 
@@ -136,7 +141,7 @@ def key_faults(pk: Field | None, name: str) -> list[str]:
 def strategy_faults(strategy: str | None, fields: tuple[Field, ...]) -> list[str]:
     if strategy is None:
         return []
-    return [f"{strategy} is no strategy for field {f.name}" for f in fields if f.strategy is None and f.data_type in STRATEGIES and ALIASES.get(strategy, strategy) not in STRATEGIES[f.data_type]]
+    return [f"{strategy} is no strategy for field {f.name}" for f in fields if f.strategy is None and f.data_type in STRATEGIES and strategy_name(strategy) not in STRATEGIES[f.data_type]]
 
 
 @dataclass(frozen=True)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgforge.functions.identity import chunk_id, content_hash
 from kgforge.functions.text import is_blank
+from kgforge.functions.values import bound
 
 
 def with_content_id(documents: DataFrame, content: str = "text") -> DataFrame:
@@ -54,32 +55,39 @@ def without_chunks(documents: DataFrame, chunks: DataFrame, key: str = "content_
     return documents.join(chunks.select(key), key, "left_anti")
 
 
+def totals_before(sizes: Column, block: int = 64) -> Column:
+    """For each of the sizes the sum of those before it; by blocks, so the work isn't the square of their number."""
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
+    at = lambda k: F.floor(k / block).cast("int")
+
+    def sums(own: Column) -> Column:
+        of_blocks = F.transform(F.sequence(F.lit(0), at(F.greatest(F.size(own) - 1, F.lit(0)))), lambda k: total(F.slice(own, k * block + 1, F.lit(block))))
+        before = bound(of_blocks, lambda b: F.transform(b, lambda _, k: total(F.slice(b, F.lit(1), k))))
+        return bound(before, lambda b: F.transform(own, lambda _, k: F.get(b, at(k)) + total(F.slice(own, at(k) * block + 1, F.pmod(k, F.lit(block))))))
+
+    return bound(sizes, sums)
+
+
 def line_chunks(documents: DataFrame, key: str = "content_id", content: str = "text") -> DataFrame:
     """A chunk for each line that isn't blank, numbered without gaps, with its place in the text."""
-    spans = documents.select(key, F.expr(f"""
-        aggregate(split({content}, '\\n', -1),
-          named_struct('at', 0, 'out', cast(array() AS array<struct<start:int,content:string>>)),
-          (a, x) -> named_struct('at', a.at + length(x) + 1, 'out', concat(a.out, array(named_struct('start', a.at, 'content', x)))),
-          a -> filter(a.out, s -> length(trim(s.content)) > 0))""").alias("spans"))
+
+    def placed(lines: Column) -> Column:
+        starts = totals_before(F.transform(lines, lambda x: F.length(x) + 1))
+        return F.filter(F.arrays_zip(starts.alias("start"), lines.alias("content")), lambda s: F.length(F.trim(s["content"])) > 0)
+
+    spans = documents.select(key, bound(F.split(content, "\n", -1), placed).alias("spans"))
     out = spans.select(key, F.posexplode("spans").alias("chunk_index", "s"))
     return out.select(key, "chunk_index", chunk_id(F.col(key), F.col("chunk_index")).alias("chunk_id"), F.col("s.start").alias("start_offset"), (F.col("s.start") + F.length("s.content")).alias("end_offset"), F.col("s.content").alias("content"))
 
 
 def rebuilt(chunks: DataFrame, key: str = "content_id") -> DataFrame:
     """A document's text from its chunks: overlaps once, a line feed where there is a gap."""
-    ordered = F.array_sort(F.collect_list(F.struct("start_offset", "end_offset", "content")))
-    text = F.aggregate(
-        ordered,
-        F.struct(F.lit(0).alias("end"), F.lit("").alias("text")),
-        lambda a, c: F.when(c["end_offset"] <= a["end"], a).otherwise(
-            F.struct(
-                c["end_offset"].alias("end"),
-                F.concat(a["text"], F.when((c["start_offset"] > a["end"]) & (a["text"] != ""), "\n").otherwise(""), F.substr(c["content"], F.greatest(a["end"] - c["start_offset"], F.lit(0)) + 1)).alias("text"),
-            )
-        ),
-        lambda a: a["text"],
-    )
-    return chunks.groupBy(key).agg(text.alias("text"))
+    earlier = Window.partitionBy(key).orderBy("start_offset", "end_offset", "content").rowsBetween(Window.unboundedPreceding, -1)
+    rows = chunks.withColumn("_end", F.max("end_offset").over(earlier))
+    gap = F.when(F.col("start_offset") > F.col("_end"), "\n").otherwise("")
+    part = F.when(F.coalesce("_end", F.lit(0)) < F.col("end_offset"), F.concat(gap, F.substr("content", F.greatest(F.coalesce("_end", F.lit(0)) - F.col("start_offset"), F.lit(0)) + 1)))
+    parts = F.array_sort(F.collect_list(F.struct("start_offset", "end_offset", part.alias("part"))))
+    return rows.groupBy(key).agg(F.array_join(F.transform(parts, lambda p: p["part"]), "").alias("text"))
 
 
 def changed(documents: DataFrame, stored: DataFrame, key: str = "doc_id") -> DataFrame:

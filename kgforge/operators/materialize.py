@@ -30,7 +30,7 @@ def of_type(rows: DataFrame, marker: str) -> DataFrame:
 
 def field_value(f: Field, level: str) -> Column:
     """A field's value at a level: the constant of DEFAULT, nothing for SKIP, else what the item says if it is valid, or the default."""
-    constant = F.lit(f.default).cast(SPARK_TYPE[f.data_type])
+    constant = F.lit(f.default.get(level)).cast(SPARK_TYPE[f.data_type])
     mode = f.mode(level)
     if mode == "SKIP":
         return F.lit(None).cast(SPARK_TYPE[f.data_type])
@@ -38,7 +38,7 @@ def field_value(f: Field, level: str) -> Column:
         return constant
     raw = unwrap_singleton(F.try_variant_get("v", f"$.{f.name}", "variant")).try_cast("string")
     normal = values.normalize_string(raw, list(f.options) or None) if f.data_type == "string" else values.NORMALIZERS[f.data_type](raw)
-    valid = values.is_valid(normal, f.data_type, list(f.options) or None, f.regex, f.least, f.most)
+    valid = values.is_valid(normal, f.data_type, list(f.options) or None, f.regex.get(level), f.least.get(level), f.most.get(level))
     return F.coalesce(F.when(valid, normal), constant)
 
 

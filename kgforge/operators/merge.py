@@ -13,7 +13,18 @@ STRATEGIES = {
     "string": ("keep", "replace", "longest", "shortest"), "integer": ("keep", "replace", "largest", "smallest"), "float": ("keep", "replace", "largest", "smallest"),
     "boolean": ("keep", "replace", "largest", "smallest"), "date": ("keep", "replace", "largest", "smallest"),
 }
-ALIASES = {"any": "largest", "or": "largest", "latest": "largest", "all": "smallest", "and": "smallest", "earliest": "smallest"}
+# Other names that models use for the strategies.
+ALIASES = {
+    "existing": "keep", "preserve": "keep", "retain": "keep", "first": "keep", "incoming": "replace", "overwrite": "replace", "update": "replace", "last": "replace",
+    "verbose": "longest", "complete": "longest", "concise": "shortest", "minimal": "shortest", "max": "largest", "maximum": "largest", "min": "smallest", "minimum": "smallest",
+    "latest": "largest", "any": "largest", "or": "largest", "earliest": "smallest", "all": "smallest", "and": "smallest",
+}
+
+
+def strategy_name(name: str) -> str:
+    """The strategy that a model means, in any case and with blanks around it."""
+    name = name.strip().lower()
+    return ALIASES.get(name, name)
 
 
 def _date_fold(value: Column, order: Column, strategy: str) -> Column:
@@ -30,7 +41,7 @@ def _date_fold(value: Column, order: Column, strategy: str) -> Column:
 
 
 def merged(value: Column, order: Column, data_type: str, strategy: str) -> Column:
-    strategy = ALIASES.get(strategy, strategy)
+    strategy = strategy_name(strategy)
     if strategy not in STRATEGIES[data_type]:
         raise ValueError(f"{strategy} is no strategy for {data_type}")
     if data_type == "date":

@@ -134,7 +134,7 @@ class Engine:
         """context_level, context_id, document, collection_name and text of all contexts."""
         documents, chunks, links = (self.workspace.read(self.spark, n) for n in ("documents", "chunks", "memberships"))
         most = self.settings["pipeline"]["document_tokens"]
-        head = F.regexp_extract(normalize_text(F.col("text")), rf"^\s*(?:\S+\s*){{0,{most}}}", 0)
+        head = chunking.first_tokens_of(normalize_text(F.col("text")), most, self.settings["chunking"]["tokenizer"])
         whole = documents.select(F.lit("DOCUMENT").alias("context_level"), F.col("content_id").alias("context_id"), F.col("content_id").alias("document"), F.lit(-1).alias("chunk_index"), head.alias("text"))
         parts = chunks.select(F.lit("CHUNK").alias("context_level"), F.col("chunk_id").alias("context_id"), F.col("content_id").alias("document"), "chunk_index", F.col("content").alias("text"))
         return whole.unionByName(parts).join(links.withColumnRenamed("content_id", "document"), "document")

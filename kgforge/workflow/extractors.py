@@ -90,7 +90,9 @@ def relationship_prompt(model) -> str:
 
 def field_line(f) -> str:
     notes = [f.data_type, "required" if f.required else "", f"one of {', '.join(map(str, f.options))}" if f.options else "", f"like {', '.join(map(str, f.examples))}" if f.examples else ""]
-    return f"  - {f.name} ({'; '.join(n for n in notes if n)}): {f.description} {f.instructions}".rstrip()
+    # what is said of one level only is marked as such
+    said = [*f.instructions.values()][:1] if len({*f.instructions.values()}) == 1 and len(f.instructions) == 2 else [f"({level.lower()}) {text}" for level, text in sorted(f.instructions.items()) if text]
+    return f"  - {f.name} ({'; '.join(n for n in notes if n)}): {f.description} {' '.join(said)}".rstrip()
 
 
 def response_schema(types, marker: str, key: str, ends: bool = False) -> dict:
