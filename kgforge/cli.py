@@ -10,6 +10,7 @@ from kgforge.operators.lifecycle import STEPS
 from kgforge.session import session
 from kgforge.workflow.engine import Engine, Workspace
 from kgforge.workflow.extractors import Recorded
+from kgforge.workflow.remote import until_done
 
 
 def parser() -> argparse.ArgumentParser:
@@ -27,6 +28,8 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--responses", help="recorded responses, as JSON lines")
         p.add_argument("--reset", action="store_true")
         p.add_argument("--add-documents", action="store_true")
+    commands.choices["run"].add_argument("--until-done", action="store_true", help="run again until no unit waits for another try")
+    commands.choices["run"].add_argument("--wait", type=float, default=60.0, help="seconds between such runs")
     return out
 
 
@@ -37,7 +40,7 @@ def main(args: list[str] | None = None) -> int:
         if a.command == "init":
             print("\n".join(work.init()) or "nothing to do")
         elif a.command == "status":
-            print(json.dumps(work.state() | {"next": next((s for s in STEPS if s not in work.state()["done"]), None)}, indent=2))
+            print(json.dumps(work.status(session() if work.state()["runs"] else None), indent=2))
         elif a.command == "reset":
             if not a.yes:
                 print("--yes is needed: this deletes what was extracted", file=sys.stderr)
@@ -49,7 +52,12 @@ def main(args: list[str] | None = None) -> int:
             if a.reset:
                 work.reset()
             engine = Engine(spark, work, a.data, extractor, a.config)
-            print("\n".join(engine.run(a.add_documents)) if a.command == "run" else json.dumps(engine.plan(), indent=2))
+            if a.command == "plan":
+                print(json.dumps(engine.plan(), indent=2))
+                return 0
+            print("\n".join(engine.run(a.add_documents)))
+            if a.until_done and not engine.done():
+                until_done(lambda: bool(engine.run()) and engine.done() or engine.done(), wait=a.wait)
     except KeyboardInterrupt:
         return 130
     except (ValueError, OSError) as e:

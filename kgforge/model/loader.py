@@ -7,6 +7,8 @@ import tomllib
 from pathlib import Path
 from typing import Any
 
+from kgforge.sinks import storage
+
 from .schema import LEVELS, TYPE_ALIASES, Endpoint, EntityType, Field, Model, ModelError, RelationshipType
 
 
@@ -21,7 +23,10 @@ def read_json(path: str | Path) -> Any:
             out[k] = v
         return out
 
-    return json.loads(Path(path).read_text("utf-8-sig"), object_pairs_hook=once)
+    text = storage.read_text(str(path))
+    if text is None:
+        raise ModelError(f"{path}: not found")
+    return json.loads(text, object_pairs_hook=once)
 
 
 def only(given: dict, known: str, where: str) -> dict:
@@ -98,7 +103,8 @@ def load_registry(path: str | Path) -> dict[str, list[dict]]:
 
 
 DEFAULTS: dict[str, dict[str, Any]] = {
-    "pipeline": {"document_tokens": 8000, "claim": 1000},
+    # claim: contexts that are asked for at a time; 0 is all
+    "pipeline": {"document_tokens": 8000, "claim": 0},
     "extractor": {"kind": "recorded", "path": ""},
     "chunking": {"target": 800, "overlap": None, "limit": None, "tokenizer": "whitespace"},
     "export": {"format": "csv", "path": "export"},
@@ -107,7 +113,7 @@ DEFAULTS: dict[str, dict[str, Any]] = {
 
 def load_settings(path: str | Path | None) -> dict[str, dict[str, Any]]:
     """Settings by section over the defaults; unknown ones are errors."""
-    given = tomllib.loads(Path(path).read_text()) if path else {}
+    given = tomllib.loads(storage.read_text(str(path)) or "") if path else {}
     only(given, " ".join(DEFAULTS), str(path))
     for section, values in given.items():
         only(values, " ".join(DEFAULTS[section]), section)

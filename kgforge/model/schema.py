@@ -66,6 +66,9 @@ class Field:
     def mode(self, level: str = "CHUNK") -> str:
         return self.modes.get(level, "EXTRACT")
 
+    def alike_at_all_levels(self) -> bool:
+        return all(len({str(x.get(level)) for level in LEVELS}) == 1 for x in (self.regex, self.least, self.most, self.default, self.modes))
+
     def allows(self, value: Any, level: str) -> bool:
         pattern, least, most = (x.get(level) for x in (self.regex, self.least, self.most))
         return (

@@ -17,13 +17,38 @@ def policy_of(error_class):
     return F.coalesce(F.try_element_at(pairs, error_class), F.lit("NONE"))
 
 
-def claim(units: DataFrame, most: int = 1000) -> DataFrame:
-    """Pending units of the first `most` contexts: in progress, an attempt more, their error cleared."""
-    contexts = units.where("status = 'PENDING'").select("context_level", "context_id").distinct().orderBy("context_level", "context_id").limit(most)
-    taken = units.where("status = 'PENDING'").join(contexts, ["context_level", "context_id"], "left_semi")
+UNIT = "status string, attempts int, failed int, last_error string"
+
+
+def planned(units: DataFrame, stored: DataFrame | None, keys: list[str]) -> DataFrame:
+    """The stored units, and those that are new as pending ones."""
+    state = [F.lit("PENDING").alias("status"), F.lit(0).alias("attempts"), F.lit(0).alias("failed"), F.lit(None).cast("string").alias("last_error")]
+    if stored is None:
+        return units.select(*keys, *state).distinct()
+    new = units.select(*keys).distinct().join(stored.select(*keys), keys, "left_anti")
+    return stored.unionByName(new.select(*keys, *state))
+
+
+def claim(units: DataFrame, most: int | None = 1000) -> DataFrame:
+    """Pending units of the first `most` contexts (of all without it): in progress, an attempt more, their error cleared."""
+    taken = units.where("status = 'PENDING'")
+    if most:
+        contexts = taken.select("context_level", "context_id").distinct().orderBy("context_level", "context_id").limit(most)
+        taken = taken.join(contexts, ["context_level", "context_id"], "left_semi")
     return taken.withColumns({"status": F.lit("IN_PROGRESS"), "attempts": F.col("attempts") + 1, "last_error": F.lit(None).cast("string")})
 
 
+def outcomes(jobs: DataFrame) -> DataFrame:
+    """job_id, ok, policy and error of answered jobs (content, error_class, decoded: whether the content could be read)."""
+    error = F.when(F.col("content").isNull(), F.coalesce("error_class", F.lit("transient"))).when(~F.col("decoded"), "response")
+    return jobs.select("job_id", error.isNull().alias("ok"), F.when(error.isNotNull(), policy_of(error)).alias("policy"), error.alias("error"))
+
+
+def progress(units: DataFrame) -> DataFrame:
+    """Units by status."""
+    return units.groupBy("status").agg(F.count("*").alias("n_units"), F.sum("attempts").alias("attempts"))
+
+
 def resolve(units: DataFrame, outcomes: DataFrame, keys: list[str]) -> DataFrame:
     """Units in progress after their outcomes (keys, ok, policy, error); all others stay as they are."""
     told = units.join(outcomes.select(*keys, "ok", "policy", "error"), keys, "left")

@@ -44,8 +44,13 @@ def field_value(f: Field, level: str) -> Column:
 
 def typed(rows: DataFrame, fields: tuple[Field, ...]) -> DataFrame:
     """A column a field; rows that lack a required one are left out."""
-    by_level = lambda f: F.when(F.col("context_level") == "DOCUMENT", field_value(f, "DOCUMENT")).otherwise(field_value(f, "CHUNK"))
-    out = rows.withColumns({f"f_{f.name}": by_level(f) for f in fields})
+
+    def value(f: Field) -> Column:
+        if f.alike_at_all_levels():
+            return field_value(f, "CHUNK")
+        return F.when(F.col("context_level") == "DOCUMENT", field_value(f, "DOCUMENT")).otherwise(field_value(f, "CHUNK"))
+
+    out = rows.withColumns({f"f_{f.name}": value(f) for f in fields})
     needed = [F.col(f"f_{f.name}").isNotNull() for f in fields if f.required]
     for ok in needed:
         out = out.where(ok)
@@ -61,12 +66,22 @@ def properties(fields: tuple[Field, ...]) -> Column:
 ORDER = ["level_rank", "context_id", "item"]
 
 
-def entity_mentions(responses: DataFrame, types: list[EntityType]) -> DataFrame:
-    """entity_id, entity_type_name, context and properties of every valid entity, in an order of its own."""
-    rows = of_type(items(responses, "entities"), "_entity_type")
+def decoded(responses: DataFrame) -> DataFrame:
+    """responses with whether their content could be read as JSON."""
+    return responses.withColumn("decoded", F.coalesce(decode_response(F.col("content")).isNotNull(), F.lit(False)))
+
+
+def typed_items(responses: DataFrame, key: str, marker: str, others: tuple[str, ...] = ()) -> DataFrame:
+    """Every item of a known type, as JSON (item_json), with other markers that it has: what is decoded once for all types."""
+    rows = of_type(items(responses, key), marker)
+    return rows.select("job_id", "context_level", "context_id", "item", "type_name", F.to_json("v").alias("item_json"), *[F.try_variant_get("v", f"$.{m}", "string").alias(n) for n, m in others])
+
+
+def entities_of(rows: DataFrame, types: list[EntityType]) -> DataFrame:
+    """entity_id, entity_type_name, context and properties of every valid entity of typed_items(), in an order of its own."""
     out = None
     for t in types:
-        own = typed(rows.where(F.col("type_name") == t.name), t.fields)
+        own = typed(rows.where(F.col("type_name") == t.name).withColumn("v", F.parse_json("item_json")), t.fields)
         pk = keys.normalize_pk(F.col(f"f_{t.primary_key}").cast("string"))
         own = own.withColumn("entity_id", identity.entity_id(F.lit(t.name), pk)).where("entity_id IS NOT NULL")
         own = own.select("entity_id", F.col("type_name").alias("entity_type_name"), "job_id", "context_level", "context_id", "item", F.when(F.col("context_level") == "DOCUMENT", 0).otherwise(1).alias("level_rank"), properties(t.fields).alias("properties"))
@@ -74,11 +89,19 @@ def entity_mentions(responses: DataFrame, types: list[EntityType]) -> DataFrame:
     return out
 
 
-def relationship_mentions(responses: DataFrame, references: DataFrame, model: Model, endpoints: DataFrame) -> DataFrame:
-    """relationship_id, type, ends, context and properties of every valid relationship; references: what a job's temporary ids stand for."""
-    rows = of_type(items(responses, "relationships"), "_relationship_type")
-    for side in ("source", "target"):
-        rows = rows.withColumn(f"{side}_ref", F.try_variant_get("v", f"$._{side}_entity_id", "string"))
+def entity_mentions(responses: DataFrame, types: list[EntityType]) -> DataFrame:
+    return entities_of(typed_items(responses, "entities", "_entity_type"), types)
+
+
+ENDS = (("source_ref", "_source_entity_id"), ("target_ref", "_target_entity_id"))
+
+
+def relationship_items(responses: DataFrame) -> DataFrame:
+    return typed_items(responses, "relationships", "_relationship_type", ENDS)
+
+
+def relationships_of(rows: DataFrame, references: DataFrame, model: Model, endpoints: DataFrame) -> DataFrame:
+    """relationship_id, type, ends, context and properties of every valid relationship of relationship_items(); references: what a job's temporary ids stand for."""
     declared = endpoints.select(F.col("relationship_type_name").alias("type_name"), "source_type", "target_type", "source_level", "target_level").distinct()
     # an entity that was found at both levels may do at either, but the item counts once
     said = relationships.resolved(rows.select("job_id", "item", "type_name", "source_ref", "target_ref"), references)
@@ -86,7 +109,7 @@ def relationship_mentions(responses: DataFrame, references: DataFrame, model: Mo
     rows = rows.join(ends, ["job_id", "item"])
     out = None
     for r in model.active_relationships:
-        own = rows.where(F.col("type_name") == r.name).withColumn("allow_self", F.lit(r.allow_self))
+        own = rows.where(F.col("type_name") == r.name).withColumns({"allow_self": F.lit(r.allow_self), "v": F.parse_json("item_json")})
         own = typed(relationships.without_self(own), r.fields)
         pk = keys.normalize_pk(F.col(f"f_{r.primary_key}").cast("string")) if r.policy == "PRIMARY_KEY" else F.lit(None).cast("string")
         own = own.withColumns({"relationship_type_name": F.lit(r.name), "policy": F.lit(r.policy), "symmetric": F.lit(r.symmetric), "pk": pk, "occurrence": F.concat_ws("|", "context_level", "context_id", F.col("item").cast("string"))})
@@ -96,13 +119,20 @@ def relationship_mentions(responses: DataFrame, references: DataFrame, model: Mo
     return out
 
 
-def merged(mentions: DataFrame, types: list[EntityType] | list[RelationshipType], key: str, type_name: str, carried: tuple[str, ...] = ()) -> DataFrame:
-    """One row an object: its properties merged by the fields' strategies, in the order of level, context and item."""
-    out, order = None, F.struct(*ORDER)
+def relationship_mentions(responses: DataFrame, references: DataFrame, model: Model, endpoints: DataFrame) -> DataFrame:
+    return relationships_of(relationship_items(responses), references, model, endpoints)
+
+
+def merged(mentions: DataFrame, types: list[EntityType] | list[RelationshipType], key: str, type_name: str, carried: tuple[str, ...] = (), stored: DataFrame | None = None) -> DataFrame:
+    """One row an object: its properties merged by the fields' strategies, what is stored first, then in the order of level, context and item."""
+    out = None
     for t in types:
-        own = mentions.where(F.col(type_name) == t.name)
-        wide = own.select(key, *carried, *ORDER, *[F.try_element_at("properties", F.lit(f.name)).cast(SPARK_TYPE[f.data_type]).alias(f"f_{f.name}") for f in t.fields])
-        one = wide.groupBy(key, *carried).agg(F.count("*").alias("n_mentions"), *[merge.merged(F.col(f"f_{f.name}"), order, f.data_type, f.strategy or t.strategy or DEFAULT_STRATEGY).alias(f"f_{f.name}") for f in t.fields])
+        wide = lambda rows: rows.where(F.col(type_name) == t.name).select(key, *carried, "_after", *ORDER, "n_mentions", *[F.try_element_at("properties", F.lit(f.name)).cast(SPARK_TYPE[f.data_type]).alias(f"f_{f.name}") for f in t.fields])  # noqa: E731, B023
+        own = wide(mentions.withColumns({"_after": F.lit(1), "n_mentions": F.lit(1).cast("long")}))
+        if stored is not None:
+            first = {c: F.lit(None).cast(mentions.schema[c].dataType) for c in ORDER}
+            own = wide(stored.withColumns({"_after": F.lit(0), **first})).unionByName(own)
+        one = own.groupBy(key, *carried).agg(F.sum("n_mentions").alias("n_mentions"), *[merge.merged(F.col(f"f_{f.name}"), F.struct("_after", *ORDER), f.data_type, f.strategy or t.strategy or DEFAULT_STRATEGY).alias(f"f_{f.name}") for f in t.fields])
         one = one.select(key, F.lit(t.name).alias(type_name), *carried, "n_mentions", (properties(t.fields) if t.fields else F.create_map().cast("map<string,string>")).alias("properties"))
         out = one if out is None else out.unionByName(one)
     return out

@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 import json
-import os
-import shutil
 import uuid
-from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgforge.functions.text import escape, float_text
 
+from . import storage
+
 #: Header suffix of each data type.
 HEADER = {"string": "string", "integer": "long", "float": "double", "boolean": "boolean", "date": "date", "strings": "string[]"}
 
@@ -74,24 +73,24 @@ def tally(rows: DataFrame, types: DataFrame, type_name: str) -> DataFrame:
 
 
 def replace_directory(new: str, target: str) -> None:
-    """Puts a finished local directory in the place of another; at any time one of both is there."""
+    """Puts a finished directory in the place of another; at any time one of both is there."""
     old = f"{target}.old-{uuid.uuid4().hex}"
-    if os.path.exists(target):
-        os.rename(target, old)
+    had = storage.exists(target)
+    if had:
+        storage.rename(target, old)
     try:
-        os.rename(new, target)
+        storage.rename(new, target)
     except OSError:
-        if os.path.exists(old):
-            os.rename(old, target)
+        if had:
+            storage.rename(old, target)
         raise
-    shutil.rmtree(old, ignore_errors=True)
+    if had:
+        storage.delete(old)
 
 
 def write_stats(stats: dict, path: str) -> None:
     """Nested statistics as JSON, written whole or not at all."""
-    part = Path(f"{path}.part")
-    part.write_text(json.dumps(stats, indent=2, sort_keys=True) + "\n")
-    part.rename(path)
+    storage.write_text(path, json.dumps(stats, indent=2, sort_keys=True) + "\n")
 
 
 def triples_by_id(ids: DataFrame, triples: DataFrame, key: str = "id") -> DataFrame:
@@ -104,22 +103,44 @@ def triples_by_id(ids: DataFrame, triples: DataFrame, key: str = "id") -> DataFr
 
 
 class Versions:
-    """A dataset of versions with a pointer to the one that counts: a write is seen whole or not at all."""
+    """A dataset of parts with a list of those that count: a write or an appended part is seen whole or not at all."""
+
+    #: Parts that are put together into one.
+    MOST_PARTS = 32
 
     def __init__(self, root: str) -> None:
-        self.root = Path(root.removeprefix("file://"))
+        self.root = str(root).rstrip("/")
+
+    def parts(self) -> list[str]:
+        names = storage.read_text(f"{self.root}/CURRENT")
+        return [f"{self.root}/{n}" for n in names.split()] if names else []
 
     def current(self) -> str | None:
-        pointer = self.root / "CURRENT"
-        return str(self.root / pointer.read_text()) if pointer.exists() else None
+        """The newest part."""
+        return next(reversed(self.parts()), None)
+
+    def read(self, spark: SparkSession) -> DataFrame | None:
+        paths = self.parts()
+        return spark.read.parquet(*map(storage.uri, paths)) if paths else None
 
-    def write(self, rows: DataFrame) -> str:
+    def _add(self, rows: DataFrame, before: list[str]) -> None:
         name = f"v-{uuid.uuid4().hex}"
-        rows.write.parquet(f"file://{self.root / name}")
-        part = self.root / "CURRENT.part"
-        part.write_text(name)
-        part.rename(self.root / "CURRENT")
-        return str(self.root / name)
+        rows.write.parquet(storage.uri(f"{self.root}/{name}"))
+        storage.write_text(f"{self.root}/CURRENT", "\n".join([*(p.rpartition("/")[2] for p in before), name]))
+
+    def write(self, rows: DataFrame) -> None:
+        """In place of all parts; those before stay until the next write, as rows may read them."""
+        before = self.parts()
+        self._add(rows, [])
+        for path in storage.children(self.root):
+            name = path.rpartition("/")[2]
+            if name.startswith("v-") and name not in {p.rpartition("/")[2] for p in (*before, *self.parts())}:
+                storage.delete(path)
+
+    def append(self, rows: DataFrame) -> None:
+        self._add(rows, self.parts())
+        if len(self.parts()) > self.MOST_PARTS:
+            self.write(self.read(rows.sparkSession))
 
     def clear(self) -> None:
-        shutil.rmtree(self.root, ignore_errors=True)
+        storage.delete(self.root)

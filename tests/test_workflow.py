@@ -2,13 +2,14 @@ import copy
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from kgforge.cli import main
 from kgforge.model.loader import load_settings, model_of, read_json
 from kgforge.model.schema import ModelError
 from kgforge.operators import materialize
 from kgforge.workflow.engine import Engine, Workspace
-from kgforge.workflow.extractors import Rules, response_schema
+from kgforge.workflow.extractors import Rules, field_line, response_schema
 
 MODEL = {
     "extraction_config": {"llm": {"domain": "shipping", "language": "en"}},
@@ -64,10 +65,110 @@ def test_documents_to_graph(engine, spark, tmp_path):
     # more documents: only what is new is added, and the graph grows
     (tmp_path / "data" / "c.txt").write_text("The vessel Corona (crew 3) left.")
     assert len(engine.run(add_documents=True)) == 4 and engine.workspace.read(spark, "entities").count() == 4
-    assert engine.plan()["next"] is None and engine.plan()["entity_requests"] == 6
+    assert engine.plan() == {"next": None, "entity_requests": 0, "relationship_requests": 0}
     assert engine.workspace.reset("EXTRACT_RELATIONSHIPS") == ["EXTRACT_RELATIONSHIPS", "EXPORT_KNOWLEDGE"] and engine.workspace.read(spark, "relationships") is None
 
 
+class Asked:
+    """An extractor that notes what it is asked, and fails as told: by task and a word of the text, how often and how."""
+
+    def __init__(self, inner, fails=()):
+        self.inner, self.asked, self.fails = inner, [], dict(fails)
+
+    def __call__(self, requests):
+        rows = requests.select("job_id", "task", "context_level", "types", "text").collect()
+        self.asked += [(r["task"], r["context_level"], r["text"].split()[2] if len(r["text"].split()) > 2 else "") for r in rows]
+        wrong = {}
+        for r in rows:
+            for (task, word), (times, kind) in self.fails.items():
+                if r["task"] == task and word in r["text"] and times:
+                    self.fails[task, word] = (times - 1, kind)
+                    wrong[r["job_id"]] = kind
+        out = self.inner(requests)
+        spark = requests.sparkSession
+        failed = spark.createDataFrame(list(wrong.items()), "job_id string, error_class string")
+        out = out.drop("error_class").join(failed, "job_id", "left")
+        broken = F.col("error_class") == "response"
+        return out.withColumns({"content": F.when(broken, "no JSON").when(F.col("error_class").isNull(), F.col("content")), "error_class": F.when(~broken, F.col("error_class"))}).select("job_id", "content", "error_class", *[f"{t}_tokens" for t in ("input", "cached", "cache_write", "output", "reasoning")])
+
+
+def statuses(engine, spark, name="entity_units"):
+    return {(r["context_level"], r["entity_type_name"], r["status"], r["attempts"], r["failed"], r["last_error"]) for r in engine.workspace.read(spark, name).collect()}
+
+
+def test_a_new_file_makes_requests_for_that_file_alone(engine, spark, tmp_path):
+    first = Asked(RULES)
+    engine.extractor = first
+    engine.run()
+    assert len([a for a in first.asked if a[0] == "entities"]) == 4
+    chunks = engine.workspace.read(spark, "chunks").count()
+    before = {r["entity_id"]: r["n_mentions"] for r in engine.workspace.read(spark, "entities").collect()}
+    (tmp_path / "data" / "c.txt").write_text("The vessel Corona (crew 3) left. The vessel Aurora (crew 400) waits.")
+    engine.extractor = again = Asked(RULES)
+    engine.run(add_documents=True)
+    assert sorted(again.asked) == [("entities", "CHUNK", "Corona"), ("entities", "DOCUMENT", "Corona"), ("relationships", "CHUNK", "Corona")]
+    assert engine.workspace.read(spark, "chunks").count() == chunks + 1
+    entities = {r["entity_id"]: r for r in engine.workspace.read(spark, "entities").collect()}
+    aurora = next(r for r in entities.values() if r["properties"]["name"].lower() == "aurora")
+    # merged into what was stored: the largest crew, and what only the stored one has
+    assert aurora["properties"]["crew"] == "400" and aurora["properties"]["built"] == "1970-05" and aurora["n_mentions"] == before[aurora["entity_id"]] + 2
+    engine.extractor = idle = Asked(RULES)
+    assert len(engine.run(add_documents=True)) == 4 and idle.asked == []
+    assert {r["entity_id"]: r["n_mentions"] for r in engine.workspace.read(spark, "entities").collect()} == {k: r["n_mentions"] for k, r in entities.items()}
+
+
+def test_failures_are_tried_again_by_their_class(engine, spark):
+    # an answer that can't be read is asked for again in the same run; one that came too late in the next; a refused one never
+    engine.extractor = Asked(RULES, {("entities", "Corona"): (0, ""), ("entities", "Boreas (crew 900)"): (1, "response"), ("entities", "AURORA"): (1, "transient")})
+    assert engine.run() == ["INGEST_DOCUMENTS"]
+    found = statuses(engine, spark)
+    assert {x[2] for x in found} == {"COMPLETED", "RETRY"} and any(x[2:4] == ("COMPLETED", 2) and x[4] == 1 for x in found) and any(x[2] == "RETRY" and x[3] == 0 and x[5] == "transient" for x in found)
+    assert engine.workspace.status(spark)["steps"]["EXTRACT_ENTITIES"]["resolved"] < 6 and engine.plan()["entity_requests"] == 1
+    assert engine.run() == ["EXTRACT_ENTITIES", "EXTRACT_RELATIONSHIPS", "EXPORT_KNOWLEDGE"] and engine.done()
+    assert {x[2] for x in statuses(engine, spark)} == {"COMPLETED"}
+    engine.workspace.reset("EXTRACT_ENTITIES")
+    engine.extractor = Asked(RULES, {("entities", "AURORA"): (99, "config"), ("entities", "Boreas (crew 900)"): (99, "response")})
+    assert engine.run()[-1] == "EXPORT_KNOWLEDGE"
+    assert {(x[2], x[3], x[4], x[5]) for x in statuses(engine, spark) if x[2] == "FAILED"} == {("FAILED", 1, 0, "config"), ("FAILED", 3, 3, "response")}
+
+
+def test_a_run_that_breaks_off_goes_on(engine, spark):
+    class Breaks(Asked):
+        def __call__(self, requests):
+            if requests.limit(1).collect()[0]["task"] == "relationships":
+                raise OSError("gone")
+            return super().__call__(requests)
+
+    engine.extractor = first = Breaks(RULES)
+    with pytest.raises(OSError, match="gone"):
+        engine.run()
+    assert {r["status"] for r in engine.workspace.read(spark, "relationship_units").collect()} == {"IN_PROGRESS"}
+    asked = len(first.asked)
+    engine.extractor = second = Asked(RULES)
+    assert engine.run() == ["EXTRACT_RELATIONSHIPS", "EXPORT_KNOWLEDGE"] and asked == 4 and {a[0] for a in second.asked} == {"relationships"}
+    assert {(r["status"], r["attempts"]) for r in engine.workspace.read(spark, "relationship_units").collect()} == {("COMPLETED", 1)}
+
+
+def test_claims_of_some_contexts_at_a_time_give_the_same(engine, spark):
+    engine.run()
+    whole = {r["entity_id"]: (r["n_mentions"], tuple(sorted(r["properties"].items()))) for r in engine.workspace.read(spark, "entities").collect()}
+    engine.workspace.reset("EXTRACT_ENTITIES")
+    engine.settings["pipeline"]["claim"] = 1
+    engine.extractor = Asked(RULES)
+    engine.run()
+    assert {k: n for k, (n, _) in whole.items()} == {r["entity_id"]: r["n_mentions"] for r in engine.workspace.read(spark, "entities").collect()}
+    assert engine.workspace.read(spark, "entity_jobs").agg(F.max("claimed")).first()[0] == 3
+
+
+def test_a_long_document(engine, spark, tmp_path):
+    (tmp_path / "data" / "long.txt").write_text("The vessel Dorado (crew 5) left. " + "word " * 50_000 + "The vessel Elara (crew 6) left.")
+    engine.run()
+    heads = engine.contexts().where("context_level = 'DOCUMENT'").select(F.size(F.split("text", r"\s+")).alias("n")).collect()
+    assert max(r["n"] for r in heads) == 8000
+    names = {r["properties"]["name"] for r in engine.workspace.read(spark, "entities").where("entity_type_name = 'Vessel'").collect()}
+    assert {"Dorado", "Elara"} <= names  # the chunks go to the end
+
+
 def test_changed_model_needs_a_reset(engine, spark):
     engine.run()
     changed = copy.deepcopy(MODEL)
@@ -130,3 +231,30 @@ def test_command_line(tmp_path, capsys):
     assert main(["init", work]) == 0 and main(["reset", work]) == 1 and main(["reset", work, "--yes"]) == 0 and main(["status", work]) == 0
     assert '"next": "INGEST_DOCUMENTS"' in capsys.readouterr().out
     assert main(["run", str(tmp_path / "none"), str(tmp_path)]) == 1
+
+
+def test_all_names_of_strategies_and_settings_by_level():
+    names = {"string": "keep existing preserve retain first replace incoming overwrite update last longest verbose complete shortest concise minimal", "integer": "largest max maximum smallest min minimum", "float": "Max min", "boolean": "any or all and", "date": "latest earliest"}
+    for kind, said in names.items():
+        for name in said.split():
+            fields = {"name": {"data_type": "string", "required": True}, "x": {"data_type": kind, "merge_strategy": name}}
+            model_of({"entity_types": {"Thing": {"primary_key": "name", "fields": fields}}})
+    by_level = {"data_type": "int", "min": {"chunk": 1, "document": 10}, "max": {"DOCUMENT": 20}, "default_value": {"document": 12}, "retrieval_mode": {"document": "default"}, "instructions": {"chunk": "Count."}}
+    model = {"entity_types": {"Thing": {"primary_key": "name", "fields": {"name": {"data_type": "string", "required": True}, "x": by_level, "s": {"data_type": "string", "regex": {"chunk": "a+", "document": "b+"}}}}}}
+    x = model_of(model).entity("Thing").fields[1]
+    assert (x.least, x.most, x.default, x.mode("CHUNK"), x.mode("DOCUMENT")) == ({"CHUNK": 1, "DOCUMENT": 10}, {"DOCUMENT": 20}, {"DOCUMENT": 12}, "EXTRACT", "DEFAULT") and not x.alike_at_all_levels()
+    assert x.allows(3, "CHUNK") and not x.allows(3, "DOCUMENT") and field_line(x).endswith("(chunk) Count.")
+    for wrong, said in (({"min": {"page": 1}}, "no level PAGE"), ({"min": {"chunk": 30}, "max": {"chunk": 20}}, "above"), ({"default_value": {"document": 3}, "min": {"document": 10}}, "not allowed"), ({"min": {"chunk": 1, "CHUNK": 2}}, "twice")):
+        bad = copy.deepcopy(model)
+        bad["entity_types"]["Thing"]["fields"]["x"] = {"data_type": "int", **wrong}
+        with pytest.raises(ModelError, match=said):
+            model_of(bad)
+
+
+def test_values_by_level(spark):
+    fields = {"name": {"data_type": "string", "required": True}, "x": {"data_type": "int", "min": {"chunk": 1, "document": 10}, "default_value": {"document": 12}}, "s": {"data_type": "string", "regex": {"chunk": "a+"}}}
+    types = model_of({"entity_types": {"Thing": {"primary_key": "name", "fields": fields}}}).active_entities
+    said = json.dumps([{"_entity_type": "Thing", "name": "n", "x": 5, "s": "bb"}])
+    rows = spark.createDataFrame([(level, level, level, ["Thing"], said) for level in ("CHUNK", "DOCUMENT")], "job_id string, context_level string, context_id string, types array<string>, content string")
+    got = {r["job_id"]: r["properties"] for r in materialize.entity_mentions(rows, types).collect()}
+    assert got == {"CHUNK": {"name": "n", "x": "5"}, "DOCUMENT": {"name": "n", "s": "bb", "x": "12"}}
