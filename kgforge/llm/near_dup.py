@@ -39,8 +39,8 @@ RAREST, MOST, SLOT_BITS, BLOCK_DOCS = 1000, 1 << 22, 20, 4096
 BANDS, ROWS = 20, 5
 SIMILARITY = 0.8
 POOL_BITS = 16
-#: Members of a bucket that meet in one block, and what they may weigh (some megabytes of text).
-BLOCK, BLOCK_WEIGHT = 1024, 4e6
+#: Members of a bucket that meet in one block, and how many different shingles they may have together (some megabytes of text).
+BLOCK, BLOCK_KINDS = 1024, 400_000
 #: Samples agree in the share that the similarity says, give or take a twentieth; this far below it lies none of a million.
 MARGIN = 0.18
 SALTS = 8
@@ -377,11 +377,11 @@ class Links:
 def apart(links: Links, buckets: DataFrame, sketches: DataFrame) -> DataFrame:
     """Members of the buckets of several components, with sketch, label, whether they are outside the largest one, and numbers of blocks."""
     rows = links.labelled(buckets.select("key", "rep", "weight", "kinds"))
-    sizes = rows.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum("weight").alias("w")).groupBy("key")
+    sizes = rows.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum("kinds").alias("w")).groupBy("key")
     largest = sizes.agg(F.max_by(F.struct("label", "n", "w"), F.struct("n", "label")).alias("top"), F.sum("n").alias("n"), F.sum("w").alias("w"))
     # two members have been compared, as one of them is the pivot
     largest = largest.where("top.n < n AND n > 2")
-    blocks = lambda n, w: F.ceil(F.greatest(n / BLOCK, w / BLOCK_WEIGHT, F.lit(1))).cast("int")
+    blocks = lambda n, w: F.ceil(F.greatest(n / BLOCK, w / BLOCK_KINDS, F.lit(1))).cast("int")
     of = largest.select("key", F.col("top.label").alias("top"), blocks(F.col("n") - F.col("top.n"), F.col("w") - F.col("top.w")).alias("nx"), blocks(F.col("n"), F.col("w")).alias("ny"))
     return rows.join(of.hint("merge"), "key").join(sketches.hint("merge"), "rep").select("key", "rep", "weight", "kinds", "label", "sketch", "nx", "ny", (F.col("label") != F.col("top")).alias("apart"))
 

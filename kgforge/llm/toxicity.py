@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import math
 import re
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -39,7 +38,7 @@ MOST = 1 << 22
 #: One row in so many of the training rows is for the curve, and at most so many documents of them are used.
 CURVE_FOLD, CURVE_ROWS = 8, 20_000
 #: Words that a worker remembers before it forgets them all.
-MEMORY = 400_000
+MEMORY = 200_000
 FEATURES = ["mean", "top1", "top2", "top3", "word1", "word2", "word3", "word4", "word5", "over2", "over3", "excess", "size"]
 
 
@@ -140,14 +139,14 @@ class Table:
         got = rows.mapInArrow(hashed, "h long, llr float").toArrow()  # MOST rows at most
         keys = got["h"].to_numpy().view(np.uint64)
         order = np.argsort(keys)
-        self.keys, self.llr = keys[order], got["llr"].to_numpy()[order].astype(np.float64)
+        self.keys, self.llr = keys[order], got["llr"].to_numpy()[order]
 
     def __call__(self, h: np.ndarray) -> np.ndarray:
         """The ratios; NaN for those that aren't there."""
         if not len(self.keys):
             return np.full(len(h), np.nan)
         at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        return np.where(self.keys[at] == h, self.llr[at], np.nan)
+        return np.where(self.keys[at] == h, self.llr[at].astype(float), np.nan)
 
 
 class WordRatios(dict):
@@ -175,17 +174,6 @@ class WordRatios(dict):
         return self[word]
 
 
-#: What a worker has learned of the last model, for its next task.
-_learned: dict[str, WordRatios] = {}
-
-
-def ratios_of(model: str, tables, order: int) -> WordRatios:
-    if model not in _learned:
-        _learned.clear()
-        _learned[model] = WordRatios(*tables.value, order)
-    return _learned[model]
-
-
 def words_of(text: str | None) -> Counter:
     return Counter(WORD.findall((text or "").lower()))
 
@@ -233,7 +221,7 @@ class ToxicityModel:
 
     def __init__(self, docs: DataFrame, labels: DataFrame, order: int = ORDER, most: int = MOST) -> None:
         spark = docs.sparkSession
-        self.tables, self.weights, self.order, self.name = None, None, order, uuid.uuid4().hex
+        self.tables, self.weights, self.order = None, None, order
         given = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
         given = given.where(~held_out(F.col("doc_id")))
         texts = docs.where(F.col("doc_id").isNotNull() & (crc_mod4(F.col("doc_id")) != 2)).select("doc_id", "text")
@@ -268,11 +256,11 @@ class ToxicityModel:
     def _mapped(self, rows: DataFrame, keep: list[str], make, names: list[str]) -> DataFrame:
         """The kept columns and make(features of all rows of a batch)."""
         small_batches(rows.sparkSession)
-        tables, order, name = self.tables, self.order, self.name
+        tables, order = self.tables, self.order
         schema = StructType([rows.schema[c] for c in keep] + [StructField(n, DoubleType()) for n in names])
 
         def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ratio = ratios_of(name, tables, order)
+            ratio = WordRatios(*tables.value, order)
             for batch in batches:
                 x = described(batch.column("text").to_pylist(), ratio)
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *map(pa.array, make(x))], names=[*keep, *names])
