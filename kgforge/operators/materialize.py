@@ -36,10 +36,11 @@ def field_value(f: Field, level: str) -> Column:
         return F.lit(None).cast(SPARK_TYPE[f.data_type])
     if mode == "DEFAULT":
         return constant
-    raw = unwrap_singleton(F.try_variant_get("v", f"$.{f.name}", "variant")).try_cast("string")
-    normal = values.normalize_string(raw, list(f.options) or None) if f.data_type == "string" else values.NORMALIZERS[f.data_type](raw)
-    valid = values.is_valid(normal, f.data_type, list(f.options) or None, f.regex.get(level), f.least.get(level), f.most.get(level))
-    return F.coalesce(F.when(valid, normal), constant)
+    raw, options = unwrap_singleton(F.try_variant_get("v", f"$.{f.name}", "variant")).try_cast("string"), list(f.options) or None
+    normal = lambda x: values.normalize_string(x, options) if f.data_type == "string" else values.NORMALIZERS[f.data_type](x)
+    valid = lambda x: F.when(values.is_valid(x, f.data_type, options, f.regex.get(level), f.least.get(level), f.most.get(level)), x)
+    # each step is worked out once, however often the next one needs it
+    return F.coalesce(values.bound(values.bound(raw, normal), valid), constant)
 
 
 def typed(rows: DataFrame, fields: tuple[Field, ...]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgforge.functions.text import compact, has_mojibake
@@ -99,9 +99,14 @@ def a27(t: Tables) -> DataFrame:
     return evaluation.overlap(t.documents.select(F.explode(F.split("text", "\n")).alias("text")), t.benchmark, "text")
 
 
-@query("p16_stated_in_text", "SELECT item_id, count(*) FILTER (WHERE contains(lower(regexp_replace(d.text, '[_\\s]+', '', 'g')), lower(regexp_replace(b.text, '[_\\s]+', '', 'g')))) AS n FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id GROUP BY item_id")
+@query("p16_stated_in_text", r"""
+WITH i AS (SELECT item_id, text, row_number() OVER (ORDER BY item_id) - 1 AS k, count(*) OVER () AS n FROM benchmark)
+SELECT item_id, count(d.doc_id) FILTER (WHERE contains(lower(regexp_replace(d.text, '[_\s]+', '', 'g')), lower(regexp_replace(i.text, '[_\s]+', '', 'g')))) AS n FROM i LEFT JOIN documents d ON d.doc_id % i.n = i.k GROUP BY item_id""")
 def p16(t: Tables) -> DataFrame:
-    pairs = t.benchmark.select("item_id", F.col("text").alias("value")).join(t.documents.select((F.col("doc_id") % 40).alias("item_id"), "text"), "item_id")
+    """Every document against one item, so that all documents and all items are looked at."""
+    n = t.benchmark.count()
+    items = t.benchmark.select("item_id", F.col("text").alias("value"), (F.row_number().over(Window.orderBy("item_id")) - 1).alias("k"))  # a benchmark is small
+    pairs = items.join(t.documents.select((F.col("doc_id") % max(n, 1)).alias("k"), "text"), "k", "left")
     return pairs.groupBy("item_id").agg(F.count_if(F.contains(compact(F.col("text")), compact(F.col("value")))).alias("n"))
 
 

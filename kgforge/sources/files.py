@@ -68,6 +68,8 @@ def scan(spark: SparkSession, root: str, source: dict) -> DataFrame:
     files = reader.load(path)
     below = F.substr("path", F.length(F.regexp_extract("path", "^(.*?)" + "\\Q" + path.removeprefix("file://").rstrip("/") + "\\E", 0)) + 1)
     files = files.where(~F.concat(F.lit("/"), F.ltrim(below, F.lit("/"))).rlike(r"/[.~]"))
+    if source["mode"] == "directory":  # folders named like partitions are listed with their files
+        files = files.where(~F.contains(F.ltrim(below, F.lit("/")), F.lit("/")))
     if is_local(root):
         base = str(Path(root.removeprefix("file://")).resolve())
         real = _real_path(F.col("path"))

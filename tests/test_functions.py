@@ -1,4 +1,5 @@
 import re
+import time
 
 import pytest
 from hypothesis import given
@@ -77,3 +78,35 @@ def test_items_and_singletons(spark):
 @pytest.mark.parametrize(("word", "out"), [("caresses", "caress"), ("ponies", "poni"), ("relational", "relat"), ("hopping", "hop"), ("filing", "file"), ("happy", "happi"), ("sky", "sky"), ("adjustment", "adjust"), ("generalizations", "gener")])
 def test_stems(word, out):
     assert keys.stem(word) == out
+
+
+@pytest.mark.parametrize(("raw", "key"), [
+    ("Москва", "moskva"), ("Київ 2", "kiyiv 2"), ("Αθήνα", "athena"), ("Ψυχή", "psukhe"), ("Straße", "strasse"), ("Ærø", "aero"), ("Łódź", "lodz"), ("Щука", "shchuka"), ("東京", "u6771u4eac"), ("とうきょう", "toukiyou"), ("한글", "hangeul"),
+    ("Çelik  —  İş", "celik - is"), ("٣ بيت", "3 behyehteh"), ("½ año", "12 ano"), ("///", None), ("  ", None), ("💡", None), ("A\x00B", "ab"), ("日本", "u65e5u672c"),
+])
+def test_keys_of_all_scripts(raw, key):
+    assert keys.normalize(raw) == key
+
+
+def test_no_key_loses_its_letters(spark):
+    letters = ["ж", "ω", "ა", "א", "ن", "क", "漢", "ア", "ก", "ሀ"]
+    rows = spark.createDataFrame([(f"{c} 1",) for c in letters], "raw string")
+    found = [r["k"] for r in rows.select(keys.normalize_pk(F.col("raw")).alias("k")).collect()]
+    assert len(set(found)) == len(letters) and all(k and k != "1" and k.isascii() for k in found)
+
+
+def test_responses_of_many_brackets_take_little_time(spark):
+    began = time.perf_counter()
+    deep = ["[" * 100_000, "{" * 100_000, "[" * 50_000 + "]" * 50_000, '{"a' * 30_000, "[" * 100_000 + ' {"x": 1}', '["' * 30_000, "so: [1, 2] and {}"]
+    assert [documents.first_json(t) for t in (deep[0], deep[1], deep[3], deep[5])] == [None] * 4 and documents.first_json(deep[4]) == '{"x": 1}' and documents.first_json(deep[6]) == "[1, 2]"
+    got = spark.createDataFrame([(t,) for t in deep], "t string").select(documents.decode_response(F.col("t")).cast("string").alias("v")).collect()
+    assert [r["v"] for r in got][4:] == ['{"x":1}', None, "[1,2]"] and time.perf_counter() - began < 30
+
+
+def test_numbers_and_dates_in_all_their_forms(spark):
+    numbers = {"1,234": (1234, 1.234), "1.234.567": (1234567, 1234567.0), "1 234,5": (None, 1234.5), "1_000": (1000, 1000.0), "12,34": (None, 12.34), "1,23,456": (None, None), "-7": (-7, -7.0), "+1.234,5e2": (None, 123450.0), "1e5": (None, 1e5), "5.": (None, None), "1,234.5,6": (None, None), "--1": (None, None)}
+    rows = spark.createDataFrame([(t,) for t in numbers], "t string").select("t", values.normalize_integer(F.col("t")).alias("i"), values.normalize_float(F.col("t")).alias("f")).collect()
+    assert {r["t"]: (r["i"], r["f"]) for r in rows} == numbers
+    dates = {"2021": "2021", "2021-3": "2021-03", "3.2021": "2021-03", "2021/03/09": "2021-03-09", "9/3/2021": "2021-03-09", "3/14/2021": "2021-03-14", "2021/3-9": None, "9 March 2021": "2021-03-09", "9th of march, 2021": "2021-03-09", "march 9, 2021": "2021-03-09", "1º de enero de 2021": "2021-01-01", "sept. 2021": "2021-09", "foo 2021": None, "31/2/2021": None, "june of 9 2021": None}
+    rows = spark.createDataFrame([(t,) for t in dates], "t string").select("t", values.normalize_date(F.col("t")).alias("d")).collect()
+    assert {r["t"]: r["d"] for r in rows} == dates

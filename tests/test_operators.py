@@ -1,4 +1,5 @@
 import itertools
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -12,7 +13,7 @@ from kgforge.sources import files
 
 @pytest.mark.parametrize(("kind", "strategy", "given_", "out"), [
     ("string", "keep", ["b", "a"], "b"), ("string", "replace", ["b", None, "a", None], "a"), ("string", "longest", ["bb", "aa", "c"], "aa"), ("string", "shortest", ["bb", "d", "c"], "c"),
-    ("date", "keep", ["1969", None, "1970-05", "1969-07-16"], "1969-07-16"), ("date", "replace", ["1969-07", "1969", "1970"], "1970"), ("date", "largest", ["1969", "1970", "1970-05"], "1970-05"), ("date", "smallest", ["1970", "1969", "1969-01"], "1969-01"),
+    ("date", "keep", ["1823", None, "1825-11", "1823-02-28"], "1823-02-28"), ("date", "replace", ["1823-02", "1823", "1825"], "1825"), ("date", "largest", ["1823", "1825", "1825-11"], "1825-11"), ("date", "smallest", ["1825", "1823", "1823-01"], "1823-01"),
     ("string", "keep", [None, None], None),
 ])
 def test_merges(spark, kind, strategy, given_, out):
@@ -140,3 +141,22 @@ def test_filters_causes_and_pages_of_nothing(spark):
     assert evaluation.micro(spark.createDataFrame([], "tp long, fp long, fn long")).first()["f1"] is None
     jobs = spark.createDataFrame([("F", 0, None), ("F", 0, 10), ("O", 5, None)], "job_status string, created_at long, finished_at long")
     assert {r["job_status"]: r["avg_ms"] for r in metrics.durations(jobs, "job_status").collect()} == {"F": 10, "O": 0}
+
+
+def test_many_lines_and_chunks_take_linear_time(spark):
+    text = "\n".join(f"line {k}" if k % 10 else " " for k in range(100_000))
+    began = time.perf_counter()
+    frame = spark.createDataFrame([("a", text), ("b", "x\n\ny"), ("c", ""), ("d", None)], "content_id string, text string")
+    chunks = documents.line_chunks(frame).select("content_id", "chunk_index", "start_offset", "end_offset", "content").cache()
+    rows = sorted((r for r in chunks.collect()), key=lambda r: (r["content_id"], r["chunk_index"]))
+    own = [r for r in rows if r["content_id"] == "a"]
+    assert len(own) == 90_000 and all(text[r["start_offset"] : r["end_offset"]] == r["content"] for r in own)
+    assert [tuple(r)[1:4] for r in rows if r["content_id"] != "a"] == [(0, 0, 1), (1, 3, 4)]
+    whole = {r["content_id"]: r["text"] for r in documents.rebuilt(chunks).collect()}
+    assert whole["a"] == "\n".join(x for x in text.split("\n") if x.strip()) and whole["b"] == "x\ny" and time.perf_counter() - began < 60
+
+
+def test_totals_before(spark):
+    rows = [([],), ([5],), (list(range(300)),)]
+    got = spark.createDataFrame(rows, "x array<int>").select(documents.totals_before(F.col("x")).alias("t")).collect()
+    assert [list(r["t"]) for r in got] == [[sum(x[:k]) for k in range(len(x))] for (x,) in rows]
