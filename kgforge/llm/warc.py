@@ -32,6 +32,8 @@ INDEX = "page_id long, url string, payload_digest string, payload_bytes long, re
 READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
 SALTS = 16
 ROLL = 256 << 20
+#: Reading tasks at most; ranges are coalesced within a task.
+READERS = 20_000
 
 
 def _schema(fields: list[tuple[str, pa.DataType]]) -> pa.Schema:
@@ -168,7 +170,7 @@ def read_records(index: DataFrame, root: str, gap: int = 64 << 10, most: int = 8
 
     total = index.agg(F.sum("length").alias("n")).first()["n"] or 0
     # the index is small, so its size says nothing of the work: tasks are counted by the bytes to read
-    places = index.select("file", "offset", "length").repartition(max(1, -(-total // (2 * most))), "file", F.floor(F.col("offset") / most)).sortWithinPartitions("file", "offset")
+    places = index.select("file", "offset", "length").repartition(min(READERS, max(1, -(-total // (2 * most)))), "file", F.floor(F.col("offset") / most)).sortWithinPartitions("file", "offset")
     return places.mapInArrow(read, READ)
 
 
