@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import MIX as MULTIPLIER
-from .common import materialise, release, small_batches, word_hashes
+from .common import discard, materialise, release, small_batches, word_hashes
 
 SHINGLE = 5
 #: Shingles of one document in so many have exact frequencies; at most so many of them; counters of the first pass; documents at once.
@@ -167,6 +167,7 @@ def weights(docs: DataFrame, size: int = SHINGLE, rarest: int = RAREST, most: in
         return pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(k.astype(np.int64))], names=["h", "n"])
 
     frequent = _distinct(docs, size, counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where((F.col("n") >= least) & (F.col("n") > 1)).toArrow()  # MOST at most
+    discard(counted)
     keys, df = frequent["h"].to_numpy().view(np.uint64), frequent["n"].to_numpy()
     order = np.argsort(keys)
     return Weights(n, least, keys[order], df[order])
@@ -325,16 +326,19 @@ def linking(idf, similarity: float, size: int = SHINGLE):
 def components(edges: DataFrame) -> DataFrame:
     """node and label, the smallest node of its component, of every node of the edges (a, b)."""
     both = materialise(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "links")
-    labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")), "labels")
+    labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumn("moved", F.lit(True)), "labels")
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), F.col("label").alias("other")).hint("merge"), "b").groupBy(F.col("a").alias("node")).agg(F.min("other").alias("other"))
-        lower = labels.join(near.hint("merge"), "node").select("node", "label", F.least("label", "other").alias("next"))
+        own = labels.select("node", "label")
+        near = both.join(own.select(F.col("node").alias("b"), F.col("label").alias("other")).hint("merge"), "b").groupBy(F.col("a").alias("node")).agg(F.min("other").alias("other"))
+        lower = own.join(near.hint("merge"), "node").select("node", "label", F.least("label", "other").alias("next"))
         # a label's own label is nearer to the end
-        jumped = lower.join(labels.select(F.col("node").alias("next"), F.col("label").alias("far")).hint("merge"), "next", "left").select("node", F.least("next", F.coalesce("far", "next")).alias("label"), (F.least("next", F.coalesce("far", "next")) < F.col("label")).alias("moved"))
+        jumped = lower.join(own.select(F.col("node").alias("next"), F.col("label").alias("far")).hint("merge"), "next", "left").select("node", F.least("next", F.coalesce("far", "next")).alias("label"), (F.least("next", F.coalesce("far", "next")) < F.col("label")).alias("moved"))
         new = materialise(jumped, "labels")
-        if not new.where("moved").limit(1).count():
-            return new.select("node", "label")
-        labels = new.select("node", "label")
+        discard(labels)
+        labels = new
+        if not labels.where("moved").limit(1).count():
+            discard(both)
+            return labels
 
 
 class Links:
@@ -347,6 +351,7 @@ class Links:
         self.texts, self.idf, self.similarity, self.size = texts, idf, similarity, size
         self.edges: list[DataFrame] = []
         self.labels = texts.sparkSession.createDataFrame([], "node long, label long")
+        self.spent: list[DataFrame] = [texts]
 
     def labelled(self, rows: DataFrame) -> DataFrame:
         """rows with label, that of rep's component."""
@@ -368,10 +373,18 @@ class Links:
         some = some.join(self.texts.withColumnRenamed("doc_id", "rep").hint("merge"), "rep")
         links = dealt(some).groupBy("key", "i", "j").applyInArrow(linking(self.idf, self.similarity, self.size), "a long, b long")
         self.edges.append(materialise(links.distinct(), "edges"))
+        self.spent += [met, rows]
         release(self.texts.sparkSession)
 
     def join(self) -> None:
-        self.labels = components(reduce(DataFrame.union, self.edges))
+        labels = components(reduce(DataFrame.union, self.edges))
+        self.labels = labels.select("node", "label")
+        self.spent.append(labels)
+
+    def end(self) -> DataFrame:
+        """The last labels, all else deleted."""
+        discard(*self.spent[:-1], *self.edges)
+        return self.labels
 
 
 def apart(links: Links, buckets: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -406,6 +419,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     exact = signed.groupBy("e1", "e2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     mapped = signed.withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(SALTS))).join(exact, ["e1", "e2", "salt"], "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     mapped = materialise(mapped.select("doc_id", "rep", "weight", "kinds", *[F.when(F.col("doc_id") == F.col("rep"), F.col(c)).alias(c) for c in ("keys", "sketch")]), "mapped")
+    discard(signed)
     members = mapped.where("keys IS NOT NULL").select(F.explode("keys").alias("key"), "rep", "weight", "kinds").dropDuplicates(["key", "rep"])
     pivots = members.groupBy("key").agg(F.min(F.struct("rep", "weight", "kinds")).alias("p"), F.count("*").alias("n")).where("n > 1").select("key", *pivot_columns())
     buckets = materialise(members.join(pivots, "key"), "buckets")
@@ -418,7 +432,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     sketches = mapped.where("keys IS NOT NULL").select("rep", "sketch").distinct()
     links.meet(materialise(apart(links, buckets, sketches), "apart"), bands * rows)
     links.join()
-    labels = links.labels
+    labels = links.end()
+    discard(buckets)
     classes = mapped.select("doc_id", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("label", "rep").alias("class_id"), F.col("rep").alias("exact_id")).groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.min("exact_id").alias("exact_id"))
     return docs.select("doc_id").join(classes, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("exact_id", "doc_id").alias("exact_id"))
 
