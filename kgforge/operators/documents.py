@@ -37,6 +37,21 @@ def upsert(stored: DataFrame, new: DataFrame, keys: list[str], order: str) -> Da
     return latest.select(*keys, *[F.col(f"_last.{c}").alias(c) for c in others])
 
 
+def existing(rows: DataFrame, keys: DataFrame, key: str = "content_id") -> DataFrame:
+    """The stored rows that some of the keys ask for."""
+    return rows.join(keys.select(key), key, "left_semi")
+
+
+def collections_of(links: DataFrame, key: str = "content_id") -> DataFrame:
+    """The collections of each document, in order."""
+    return links.groupBy(key).agg(F.sort_array(F.collect_set("collection_name")).alias("collections"))
+
+
+def gained(before: Column, after: Column) -> Column:
+    """How many of a group's values are only among the later ones."""
+    return F.size(F.array_except(F.collect_set(after), F.collect_set(before))).cast("bigint")
+
+
 def memberships(documents: DataFrame, collection: str, key: str = "content_id") -> DataFrame:
     return documents.select(key, F.col(collection).alias("collection_name")).distinct()
 
@@ -80,6 +95,11 @@ def line_chunks(documents: DataFrame, key: str = "content_id", content: str = "t
     return out.select(key, "chunk_index", chunk_id(F.col(key), F.col("chunk_index")).alias("chunk_id"), F.col("s.start").alias("start_offset"), (F.col("s.start") + F.length("s.content")).alias("end_offset"), F.col("s.content").alias("content"))
 
 
+def with_neighbour(chunks: DataFrame, value: Column, name: str, key: str = "content_id", index: str = "chunk_index") -> DataFrame:
+    """chunks with the value that the chunk before has; null for the first."""
+    return chunks.withColumn(name, F.lag(value).over(Window.partitionBy(key).orderBy(index)))
+
+
 def rebuilt(chunks: DataFrame, key: str = "content_id") -> DataFrame:
     """A document's text from its chunks: overlaps once, a line feed where there is a gap."""
     earlier = Window.partitionBy(key).orderBy("start_offset", "end_offset", "content").rowsBetween(Window.unboundedPreceding, -1)

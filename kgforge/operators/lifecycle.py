@@ -87,6 +87,24 @@ def overdue(batches: DataFrame, now_ms: int) -> DataFrame:
     return batches.where(F.col("batch_status").isin("SUBMITTED", "IN_PROGRESS")).withColumn("action", action).where("action IS NOT NULL")
 
 
+def open_batches(batches: DataFrame, level: str | None = None) -> DataFrame:
+    """Batches that are submitted or under way, of a level if one is given."""
+    rows = batches.where(F.col("batch_status").isin("SUBMITTED", "IN_PROGRESS"))
+    return rows if level is None else rows.where(F.col("context_level").isNull() | (F.col("context_level") == level))
+
+
+def with_jobs(batches: DataFrame, jobs: DataFrame, key: str = "batch_id") -> DataFrame:
+    """Batches that some job belongs to."""
+    return batches.join(jobs.select(key), key, "left_semi")
+
+
+def status_report(chunks: DataFrame, units: DataFrame, status: str, document: str, chunk: str) -> DataFrame:
+    """Documents, chunks and units by status, chunks without units included."""
+    n = units.groupBy(chunk).agg(F.count("*").alias("_units"))
+    joined = chunks.join(n, chunk, "left").groupBy(status)
+    return joined.agg(F.count_distinct(document).alias("n_documents"), F.count("*").alias("n_chunks"), F.sum(F.coalesce("_units", F.lit(0))).alias("n_units"))
+
+
 def matched_results(jobs: DataFrame, results: DataFrame) -> DataFrame:
     """Every job with its result; one without is to be tried again."""
     outcome = F.when(F.col("content").isNotNull(), "COMPLETED").when(F.col("error_class").isNotNull(), "FAILED").otherwise("MISSING")

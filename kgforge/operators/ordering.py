@@ -35,9 +35,9 @@ def smoothed(rows: DataFrame, key: str, order: str, value: str, alpha: float = 0
     return rows.groupBy(key).agg(F.aggregate(ordered, F.lit(None).cast("double"), step).alias("smoothed"))
 
 
-def rates(snapshots: DataFrame, key: str, time_s: str, done: str) -> DataFrame:
-    """What was done a minute since the snapshot before."""
-    w = Window.partitionBy(key).orderBy(time_s)
+def rates(snapshots: DataFrame, key: str, time_s: str, done: str, *ties: str) -> DataFrame:
+    """What was done a minute since the snapshot before; ties: what orders snapshots of one second."""
+    w = Window.partitionBy(key).orderBy(time_s, *ties)
     per_minute = F.try_divide((F.col(done) - F.lag(done).over(w)) * 60.0, F.col(time_s) - F.lag(time_s).over(w))
     return snapshots.withColumn("per_minute", per_minute)
 

@@ -19,6 +19,11 @@ def requests(units_: DataFrame) -> DataFrame:
     return units_.groupBy("context_level", "context_id").agg(F.sort_array(F.collect_set("entity_type_name")).alias("types"))
 
 
+def rendered_types(units_: DataFrame, by: str, type_name: str) -> DataFrame:
+    """The types that a request lists, by name."""
+    return units_.groupBy(by).agg(F.array_sort(F.collect_set(type_name)).alias("types"))
+
+
 def both_ways(endpoints: DataFrame) -> DataFrame:
     """Endpoints of symmetric types the other way round as well."""
     turned = endpoints.where("symmetric").select("relationship_type_name", F.col("target_type").alias("source_type"), F.col("source_type").alias("target_type"), F.col("target_level").alias("source_level"), F.col("source_level").alias("target_level"), "symmetric")

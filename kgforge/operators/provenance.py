@@ -12,6 +12,25 @@ def by_context(links: DataFrame, objects: DataFrame, context: list[str], key: st
     return joined.groupBy(*context).agg(F.sort_array(F.collect_list(F.struct(key, type_name))).alias("objects"))
 
 
+def relationships_by_context(links: DataFrame, context: str, source: str, target: str) -> DataFrame:
+    """The different pairs of ends of each context, as source>target in order."""
+    return links.groupBy(context).agg(F.sort_array(F.collect_set(F.concat_ws(">", source, target))).alias("relationships"))
+
+
+def objects_of_contexts(links: DataFrame, contexts: DataFrame, objects: DataFrame, context: str, key: str) -> DataFrame:
+    """The objects of some contexts, each once a context."""
+    return links.join(contexts.select(context), context, "left_semi").join(objects, key)
+
+
+def union_of_levels(levels: dict[str, DataFrame], context: str = "context_id") -> DataFrame:
+    """Links of all levels, by context: how many objects were found in each."""
+    out = None
+    for level, links in levels.items():
+        own = links.groupBy(context).agg(F.count("*").alias("n")).select(F.lit(level).alias("context_level"), context, "n")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 def contexts_of(links: DataFrame, key: str, document: str, index: str) -> DataFrame:
     """The chunks of each object in the order of document and index."""
     ordered = F.array_sort(F.collect_set(F.struct(document, index)))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kgforge.functions import text
 from kgforge.operators import documents as docs
-from kgforge.operators import materialize, planning
+from kgforge.operators import lifecycle, materialize, planning, provenance
 from kgforge.sources.tables import by_type
 from kgforge.workflow import remote
 
@@ -35,7 +35,8 @@ def p11(t: Tables) -> DataFrame:
 
 @query("p14_open_batches", "SELECT event_id FROM events WHERE event_type IN ('view', 'click') AND (user_id IS NULL OR value > 20)")
 def p14(t: Tables) -> DataFrame:
-    return t.events.where(F.col("event_type").isin("view", "click") & (F.col("user_id").isNull() | (F.col("value") > 20))).select("event_id")
+    batches = t.events.select("event_id", F.when(F.col("event_type") == "view", "SUBMITTED").when(F.col("event_type") == "click", "IN_PROGRESS").otherwise("COMPLETED").alias("batch_status"), F.when(F.col("user_id").isNotNull(), F.when(F.col("value") > 20, "CHUNK").otherwise("DOCUMENT")).alias("context_level"))
+    return lifecycle.open_batches(batches, "CHUNK").select("event_id")
 
 
 @query("j03_chunks_of_documents", f"WITH {LINES} SELECT f.doc_id, c.chunk_index, length(c.content) AS n_chars FROM c JOIN (SELECT {ID} AS content_id, min(doc_id) AS doc_id FROM documents GROUP BY 1) f USING (content_id)")
@@ -45,52 +46,51 @@ def j03(t: Tables) -> DataFrame:
 
 @query("j06_relationships_by_chunk", "SELECT l_orderkey AS chunk, string_agg(DISTINCT l_suppkey || '>' || l_partkey, ';' ORDER BY l_suppkey || '>' || l_partkey) AS relationships FROM lineitem GROUP BY 1")
 def j06(t: Tables) -> DataFrame:
-    pair = F.concat_ws(">", "l_suppkey", "l_partkey")
-    return t.lineitem.groupBy(F.col("l_orderkey").alias("chunk")).agg(text.joined(F.sort_array(F.collect_set(pair))).alias("relationships"))
+    links = t.lineitem.withColumnRenamed("l_orderkey", "chunk")
+    return provenance.relationships_by_context(links, "chunk", "l_suppkey", "l_partkey").withColumn("relationships", text.joined(F.col("relationships")))
 
 
 @query("j11_existing_rows", "SELECT p_partkey, p_brand FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')")
 def j11(t: Tables) -> DataFrame:
-    return t.part.join(t.lineitem.where("l_returnflag = 'R'"), F.col("p_partkey") == F.col("l_partkey"), "left_semi").select("p_partkey", "p_brand")
+    return docs.existing(t.part, t.lineitem.where("l_returnflag = 'R'").select(F.col("l_partkey").alias("p_partkey")), "p_partkey").select("p_partkey", "p_brand")
 
 
 @query("j13_batches_with_jobs", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 def j13(t: Tables) -> DataFrame:
-    return t.customer.join(t.orders.where("o_orderpriority = '1-URGENT'"), F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("c_custkey")
+    return lifecycle.with_jobs(t.customer, t.orders.where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey").select("c_custkey")
 
 
 @query("j16_entities_of_contexts", "SELECT DISTINCT l_orderkey AS chunk, l_partkey AS entity_id, p_brand FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus = 'F'")
 def j16(t: Tables) -> DataFrame:
     of = t.orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("chunk"))
-    return part_links(t).join(of, "chunk", "left_semi").join(t.part.select(F.col("p_partkey").alias("entity_id"), "p_brand"), "entity_id").select("chunk", "entity_id", "p_brand")
+    return provenance.objects_of_contexts(part_links(t), of, t.part.select(F.col("p_partkey").alias("entity_id"), "p_brand"), "chunk", "entity_id").select("chunk", "entity_id", "p_brand")
 
 
 @query("a12_collections_of_documents", f"SELECT {ID} AS content_id, string_agg(DISTINCT source, ';' ORDER BY source) AS collections FROM documents GROUP BY 1")
 def a12(t: Tables) -> DataFrame:
-    return content(t).groupBy("content_id").agg(text.joined(F.sort_array(F.collect_set("source"))).alias("collections"))
+    return docs.collections_of(docs.memberships(content(t), "source")).withColumn("collections", text.joined(F.col("collections")))
 
 
 @query("w02_neighbouring_chunks", f"WITH {LINES} SELECT content_id, chunk_index, coalesce(length(lag(content) OVER (PARTITION BY content_id ORDER BY chunk_index)), 0) AS before FROM c")
 def w02(t: Tables) -> DataFrame:
-    before = F.lag(F.length("content")).over(Window.partitionBy("content_id").orderBy("chunk_index"))
-    return docs.line_chunks(stored(t)).select("content_id", "chunk_index", F.coalesce(before, F.lit(0)).cast("bigint").alias("before"))
+    rows = docs.with_neighbour(docs.line_chunks(stored(t)), F.length("content"), "before")
+    return rows.select("content_id", "chunk_index", F.coalesce("before", F.lit(0)).cast("bigint").alias("before"))
 
 
 @query("o05_rendered_types", "SELECT string_agg(DISTINCT p_brand, ';' ORDER BY p_brand) AS types, p_type FROM part GROUP BY p_type")
 def o05(t: Tables) -> DataFrame:
-    return t.part.groupBy("p_type").agg(text.joined(F.array_sort(F.collect_set("p_brand"))).alias("types"))
+    return planning.rendered_types(t.part, "p_type", "p_brand").withColumn("types", text.joined(F.col("types")))
 
 
 @query("u07_set_difference", "SELECT o_custkey AS id, count(DISTINCT o_orderpriority) FILTER (WHERE (o_custkey, o_orderpriority) NOT IN (SELECT o_custkey, o_orderpriority FROM orders WHERE o_orderstatus = 'F')) AS n_new FROM orders GROUP BY 1")
 def u07(t: Tables) -> DataFrame:
-    all_, old = F.collect_set("o_orderpriority"), F.collect_set(F.when(F.col("o_orderstatus") == "F", F.col("o_orderpriority")))
-    return t.orders.groupBy(F.col("o_custkey").alias("id")).agg(F.size(F.array_except(all_, old)).cast("bigint").alias("n_new"))
+    before = F.when(F.col("o_orderstatus") == "F", F.col("o_orderpriority"))
+    return t.orders.groupBy(F.col("o_custkey").alias("id")).agg(docs.gained(before, F.col("o_orderpriority")).alias("n_new"))
 
 
 @query("u08_union_of_levels", "SELECT 'DOCUMENT' AS context_level, o_custkey AS context_id, count(*) AS n FROM orders GROUP BY 2 UNION ALL SELECT 'CHUNK', l_orderkey, count(*) FROM lineitem GROUP BY 2")
 def u08(t: Tables) -> DataFrame:
-    of = lambda df, level, key: df.groupBy(F.col(key).alias("context_id")).agg(F.count("*").alias("n")).select(F.lit(level).alias("context_level"), "context_id", "n")
-    return of(t.orders, "DOCUMENT", "o_custkey").unionByName(of(t.lineitem, "CHUNK", "l_orderkey"))
+    return provenance.union_of_levels({"DOCUMENT": t.orders.select(F.col("o_custkey").alias("context_id")), "CHUNK": t.lineitem.select(F.col("l_orderkey").alias("context_id"))})
 
 
 @query("u10_distinct_in_order", "SELECT event_type, min(event_id) AS first_seen FROM events GROUP BY 1")
@@ -143,8 +143,8 @@ def f37(t: Tables) -> DataFrame:
 
 @query("x11_status_report", "SELECT o_orderstatus AS status, count(DISTINCT o_custkey) AS n_documents, count(*) AS n_chunks, (SELECT count(*) FROM lineitem JOIN orders b ON b.o_orderkey = l_orderkey WHERE b.o_orderstatus = a.o_orderstatus) AS n_units FROM orders a GROUP BY 1")
 def x11(t: Tables) -> DataFrame:
-    n = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("u"))
-    return t.orders.join(n, "o_orderkey", "left").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count_distinct("o_custkey").alias("n_documents"), F.count("*").alias("n_chunks"), F.sum(F.coalesce("u", F.lit(0))).alias("n_units"))
+    units = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"))
+    return lifecycle.status_report(t.orders.withColumnRenamed("o_orderstatus", "status"), units, "status", "o_custkey", "o_orderkey")
 
 
 @query("x01_viable_requests", """

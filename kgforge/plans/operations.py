@@ -226,12 +226,8 @@ def w05(t: Tables) -> DataFrame:
 SELECT event_id, round((value - lag(value) OVER w) * 60.0 / nullif(epoch_us(ts) // 1000000 - lag(epoch_us(ts) // 1000000) OVER w, 0), 6) AS per_minute
 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000000, event_id)""")
 def w06(t: Tables) -> DataFrame:
-    from pyspark.sql import Window
-
     rows = t.events.select("event_id", "user_id", "value", F.expr(f"timestampdiff(MILLISECOND, {EPOCH}, cast(ts AS timestamp_ntz)) div 1000").alias("second"))
-    w = Window.partitionBy("user_id").orderBy("second", "event_id")
-    per_minute = F.try_divide((F.col("value") - F.lag("value").over(w)) * 60.0, F.col("second") - F.lag("second").over(w))
-    return rows.select("event_id", F.round(per_minute, 6).alias("per_minute"))
+    return ordering.rates(rows, "user_id", "second", "value", "event_id").select("event_id", F.round("per_minute", 6).alias("per_minute"))
 
 
 @query("a28_worst_groups", "SELECT p_brand, count(*) FILTER (WHERE l_returnflag = 'R') AS returned, count(*) AS total, round(count(*) FILTER (WHERE l_returnflag = 'R') / count(*), 9) AS share FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY p_brand ORDER BY 2 / 3.0, count(*) FILTER (WHERE l_returnflag = 'R') / count(*), total DESC, p_brand LIMIT 8")
