@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 import json
 import sys
 
@@ -26,6 +27,8 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("data")
         p.add_argument("--config")
         p.add_argument("--responses", help="recorded responses, as JSON lines")
+        p.add_argument("--extractor", help="module:function of the session that gives an extractor")
+        p.add_argument("--service", help="module:function of the session that gives a service for batches")
         p.add_argument("--reset", action="store_true")
         p.add_argument("--add-documents", action="store_true")
     commands.choices["run"].add_argument("--until-done", action="store_true", help="run again until no unit waits for another try")
@@ -33,6 +36,12 @@ def parser() -> argparse.ArgumentParser:
     return out
 
 
+def named(place: str):
+    """What module:name stands for."""
+    module, _, name = place.partition(":")
+    return getattr(importlib.import_module(module), name)
+
+
 def main(args: list[str] | None = None) -> int:
     a = parser().parse_args(args)
     work = Workspace(a.workspace)
@@ -48,10 +57,10 @@ def main(args: list[str] | None = None) -> int:
             print("\n".join(work.reset(a.step)))
         else:
             spark = session()
-            extractor = Recorded(spark, a.responses) if a.responses else (lambda requests: requests.selectExpr("job_id", "CAST(NULL AS STRING) AS content", "'config' AS error_class", *[f"0L AS {t}_tokens" for t in ("input", "cached", "cache_write", "output", "reasoning")]))
+            extractor = Recorded(spark, a.responses) if a.responses else named(a.extractor)(spark) if a.extractor else (lambda requests: requests.selectExpr("job_id", "CAST(NULL AS STRING) AS content", "'config' AS error_class", *[f"0L AS {t}_tokens" for t in ("input", "cached", "cache_write", "output", "reasoning")]))
             if a.reset:
                 work.reset()
-            engine = Engine(spark, work, a.data, extractor, a.config)
+            engine = Engine(spark, work, a.data, extractor, a.config, named(a.service)(spark) if a.service else None)
             if a.command == "plan":
                 print(json.dumps(engine.plan(), indent=2))
                 return 0

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 # Limits of failures and attempts, and hours after which a batch is cancelled and then discarded.
 MAX_FAILED, MAX_ATTEMPTS = 2, 5
 CANCEL_HOURS, DISCARD_HOURS = 25, 26
+#: Hours for which a service keeps results.
+RETENTION_HOURS = 30 * 24
 #: Retry policy and severity of each class of error.
 ERROR_POLICY = {"transient": "DEFERRED_UNCOUNTED", "timeout": "DEFERRED", "response": "IMMEDIATE", "truncated": "DEFERRED", "config": "NONE", "internal": "NONE"}
 
@@ -87,6 +89,15 @@ def overdue(batches: DataFrame, now_ms: int) -> DataFrame:
     return batches.where(F.col("batch_status").isin("SUBMITTED", "IN_PROGRESS")).withColumn("action", action).where("action IS NOT NULL")
 
 
+def batch_action(status: str | None, hours: float) -> str:
+    """What to do with a batch of that age, by its service's status: SUBMITTED, IN_PROGRESS, an end, or none if the service can't be reached."""
+    if status is None:  # its results may be there, so it isn't given up before they can't be any more
+        return "discard" if hours >= RETENTION_HOURS else "wait"
+    if status not in ("SUBMITTED", "IN_PROGRESS"):
+        return "collect"
+    return "discard" if hours >= DISCARD_HOURS else "cancel" if hours >= CANCEL_HOURS else "wait"
+
+
 def open_batches(batches: DataFrame, level: str | None = None) -> DataFrame:
     """Batches that are submitted or under way, of a level if one is given."""
     rows = batches.where(F.col("batch_status").isin("SUBMITTED", "IN_PROGRESS"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import time
+import uuid
 from collections.abc import Callable
 from pathlib import Path
 
@@ -23,7 +24,8 @@ from kgforge.operators import chunking, lifecycle, materialize, planning, relati
 from kgforge.sinks import graph, storage
 from kgforge.sources import files
 
-from .extractors import Extractor, entity_prompt, prompts, relationship_prompt
+from . import remote
+from .extractors import RESPONSE, Extractor, entity_prompt, prompts, relationship_prompt
 
 SKELETON = {
     "knowledge_model.json": {"extraction_config": {"llm": {"domain": "", "language": None}, "projection": {"enabled_entities": None, "enabled_relationships": None}}, "entity_types": {}, "relationship_types": {}},
@@ -31,8 +33,8 @@ SKELETON = {
 }
 DATASETS = {
     "INGEST_DOCUMENTS": ("documents", "memberships", "chunks"),
-    "EXTRACT_ENTITIES": ("entity_units", "entity_jobs", "entity_mentions", "entities", "entity_provenance"),
-    "EXTRACT_RELATIONSHIPS": ("relationship_units", "relationship_jobs", "relationship_mentions", "relationships", "relationship_provenance"),
+    "EXTRACT_ENTITIES": ("entity_units", "entity_units_batched", "entity_jobs", "entity_mentions", "entities", "entity_provenance"),
+    "EXTRACT_RELATIONSHIPS": ("relationship_units", "relationship_units_batched", "relationship_jobs", "relationship_mentions", "relationships", "relationship_provenance"),
     "EXPORT_KNOWLEDGE": (),
 }
 #: The units of a step that extracts.
@@ -84,6 +86,8 @@ class Workspace:
                 self.dataset(name).clear()
         state = self.state()
         state["done"] = [s for s in state["done"] if s not in steps]
+        # batches that are under way are no longer this workspace's
+        state["batches"] = [b for b in state.get("batches", []) if b["step"] not in steps]
         if step == lifecycle.STEPS[0]:
             state["inputs"] = None
         self.save(state)
@@ -104,10 +108,12 @@ class Workspace:
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, workspace: Workspace, data: str, extractor: Extractor, settings: str | None = None) -> None:
+    """extractor answers requests at once; with a service they go out in batches, which a later run collects."""
+
+    def __init__(self, spark: SparkSession, workspace: Workspace, data: str, extractor: Extractor | None, settings: str | None = None, service: remote.Service | None = None, now: Callable[[], float] = time.time) -> None:
         if missing := workspace.missing():
             raise FileNotFoundError(f"the workspace lacks {', '.join(missing)}")
-        self.spark, self.workspace, self.data, self.extractor = spark, workspace, data, extractor
+        self.spark, self.workspace, self.data, self.extractor, self.service, self.now = spark, workspace, data, extractor, service, now
         self.model, self.registry = load_model(workspace.at("knowledge_model.json")), load_registry(workspace.at("document_collections.json"))
         self.settings = load_settings(settings)
         self.inputs = {n: json.loads(storage.read_text(workspace.at(n))) for n in SKELETON}
@@ -183,30 +189,79 @@ class Engine:
         parts = [F.lit(task), F.col("context_level"), F.col("context_id"), F.array_join("types", ","), F.col("attempt").cast("string")]
         return asked.join(tries, ["context_level", "context_id"]).withColumns({"task": F.lit(task), "job_id": identity.composed(*parts)}).drop("attempt")
 
-    def _work_off(self, step: str, plan: Callable[[], DataFrame], ask: Callable[[DataFrame], DataFrame], keep: Callable[[DataFrame, DataFrame], None]) -> None:
+    def _work_off(self, step: str, plan: Callable[[], DataFrame], ask: Callable[[DataFrame], DataFrame], keep: Callable[[DataFrame], None]) -> None:
         """Plans and claims the step's units, asks for them and keeps what is answered, until none is pending."""
         dataset, keys, jobs_name = self.workspace.dataset(UNITS[step]), self.KEYS[step], UNITS[step].replace("units", "jobs")
+        waiting = self._collect(step, jobs_name, keep)
         # what was under way when a run broke off, or waits for another try, is pending again
-        jobs = plan().where("status = 'IN_PROGRESS'").select(*keys, F.lit("IN_PROGRESS").alias("job_status"), F.lit(None).cast("string").alias("batch_id"))
+        jobs = plan().where("status = 'IN_PROGRESS'").select(*keys, F.lit("IN_PROGRESS").alias("job_status"))
+        jobs = jobs.join(waiting.select("context_level", "context_id", "batch_id").distinct(), ["context_level", "context_id"], "left") if waiting is not None else jobs.withColumn("batch_id", F.lit(None).cast("string"))
         dataset.write(lifecycle.recover(plan(), jobs, keys)[0])
         while True:
             units = dataset.read(self.spark)
             taken = lifecycle.claim(units, self.settings["pipeline"]["claim"])
             if not taken.limit(1).count():
                 break
+            before = units.where("status = 'IN_PROGRESS'").select(*keys)
             dataset.write(units.join(taken.select(*keys), keys, "left_anti").unionByName(taken))
-            taken = dataset.read(self.spark).where("status = 'IN_PROGRESS'")
+            # units of a context that is under way in a batch wait with it; the others are asked for now
+            taken = dataset.read(self.spark).where("status = 'IN_PROGRESS'").join(before, keys, "left_anti")
             requests = ask(taken)
-            answered = materialize.decoded(requests.drop("prompt", "text").join(self.extractor(requests), "job_id", "left"))
-            self.workspace.dataset(jobs_name).append(answered.withColumn("claimed", F.lit(self._claims(jobs_name))))
-            mine = self.workspace.read(self.spark, jobs_name).where(F.col("claimed") == self._claims(jobs_name) - 1)
-            keep(requests, mine.where("decoded"))
-            told = mine.select("job_id", "context_level", "context_id").join(lifecycle.outcomes(mine), "job_id").drop("job_id")
-            dataset.write(lifecycle.resolve(dataset.read(self.spark), told, ["context_level", "context_id"]))
-        left = dataset.read(self.spark).where("status = 'RETRY'").count()
+            if self.service:
+                self._submit(step, requests)
+            else:
+                self._answered(step, jobs_name, requests.drop("prompt", "text"), self.extractor(requests), keep)
+        left = dataset.read(self.spark).where("status IN ('RETRY', 'IN_PROGRESS')").count()
         if left:
             raise Unfinished(f"{step}: {left} units wait for another run")
 
+    def _answered(self, step: str, jobs_name: str, requests: DataFrame, responses: DataFrame, keep: Callable[[DataFrame], None]) -> None:
+        """Keeps what the responses to the requests say, and resolves their units."""
+        dataset = self.workspace.dataset(UNITS[step])
+        answered = materialize.decoded(requests.join(responses, "job_id", "left"))
+        self.workspace.dataset(jobs_name).append(answered.withColumn("claimed", F.lit(self._claims(jobs_name))))
+        mine = self.workspace.read(self.spark, jobs_name).where(F.col("claimed") == self._claims(jobs_name) - 1)
+        keep(mine.where("decoded"))
+        told = mine.select("job_id", "context_level", "context_id").join(lifecycle.outcomes(mine), "job_id").drop("job_id")
+        dataset.write(lifecycle.resolve(dataset.read(self.spark), told, ["context_level", "context_id"]))
+
+    def _submit(self, step: str, requests: DataFrame) -> None:
+        """Hands the requests to the service as a batch, whose jobs are noted before it has them."""
+        batch = uuid.uuid4().hex
+        path = self.workspace.at(f"batches/{batch}")
+        self.workspace.dataset(f"{UNITS[step]}_batched").append(requests.drop("prompt", "text").withColumn("batch_id", F.lit(batch)))
+        remote.write_batch(requests, storage.uri(path))
+        state = self.workspace.state()
+        state.setdefault("batches", []).append({"batch_id": batch, "step": step, "name": self.service.submit(path), "created_at": self.now(), "status": "SUBMITTED"})
+        self.workspace.save(state)
+
+    def _collect(self, step: str, jobs_name: str, keep: Callable[[DataFrame], None]) -> DataFrame | None:
+        """Collects the step's batches that have ended and ends those that are overdue; returns the jobs of those still under way."""
+        batched = self.workspace.read(self.spark, f"{UNITS[step]}_batched")
+        for batch in [b for b in self.workspace.state().get("batches", []) if b["step"] == step and b["status"] in ("SUBMITTED", "IN_PROGRESS")]:
+            status, error = None, None
+            try:
+                status = self.service.status(batch["name"]) if self.service else None
+            except OSError as e:
+                error = str(e)
+            action = lifecycle.batch_action(status, (self.now() - batch["created_at"]) / 3600)
+            jobs = batched.where(F.col("batch_id") == batch["batch_id"]).drop("batch_id")
+            none = self.spark.createDataFrame([], RESPONSE)
+            if action == "cancel":
+                self.service.cancel(batch["name"])
+            elif action == "collect":
+                path = self.service.results(batch["name"])
+                # what is missing is asked for again
+                self._answered(step, jobs_name, jobs, remote.read_batch(self.spark, storage.uri(path)) if path else none, keep)
+            elif action == "discard":
+                self._answered(step, jobs_name, jobs, none, keep)
+            now = {"discard": "CANCELLED", "collect": status}.get(action, status or batch["status"])
+            state = self.workspace.state()
+            state["batches"] = [b | {"status": now, "error": error} if b["batch_id"] == batch["batch_id"] else b for b in state["batches"]]
+            self.workspace.save(state)
+        under_way = [b["batch_id"] for b in self.workspace.state().get("batches", []) if b["step"] == step and b["status"] in ("SUBMITTED", "IN_PROGRESS")]
+        return batched.where(F.col("batch_id").isin(under_way)) if under_way else None
+
     def _claims(self, jobs_name: str) -> int:
         """How many claims have been answered so far."""
         jobs = self.workspace.read(self.spark, jobs_name)
@@ -229,7 +284,7 @@ class Engine:
     def extract_entities(self) -> None:
         types = self.model.active_entities
 
-        def keep(requests: DataFrame, jobs: DataFrame) -> None:
+        def keep(jobs: DataFrame) -> None:
             self._merge("entity", materialize.entities_of(self._stored(materialize.typed_items(jobs, "entities", "_entity_type"), "entity_items"), types), types)
 
         self._none("entity", "entities")
@@ -282,7 +337,7 @@ class Engine:
         if not types:
             return
 
-        def keep(requests: DataFrame, jobs: DataFrame) -> None:
+        def keep(jobs: DataFrame) -> None:
             references = self._candidates(self.workspace.read(self.spark, "relationship_units").where("status = 'IN_PROGRESS'"))[1]
             rows = self._stored(materialize.relationship_items(jobs), "relationship_items")
             self._merge("relationship", materialize.relationships_of(rows, references, self.model, self._endpoints()), types, ("source_id", "target_id"))
@@ -332,15 +387,17 @@ class Engine:
         if add_documents:
             state["done"] = []
         state["inputs"] = self.inputs
+        self.workspace.save(state)
         ran = []
         while step := lifecycle.next_step(set(state["done"])):
             began, waits = time.time(), False
             try:
                 self.STEPS[step](self)
-                state["done"].append(step)
                 ran.append(step)
             except Unfinished:
                 waits = True
+            state = self.workspace.state()
+            state["done"] += [] if waits else [step]
             state["runs"].append({"step": step, "finished_at": int(time.time() * 1000), "duration_ms": int((time.time() - began) * 1000)})
             self.workspace.save(state)
             if waits:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -86,6 +87,21 @@ def responses_of_lines(lines: DataFrame) -> DataFrame:
     return x.select("job_id", F.when(kind.isNull(), F.col("body.content")).alias("content"), kind.alias("error_class"), *[p.alias(f"{n}_tokens") for p, n in zip(parts, ("input", "cached", "cache_write", "output", "reasoning"), strict=True)])
 
 
+class Service(Protocol):
+    """Answers files of requests. An OSError says that it can't be reached."""
+
+    def submit(self, path: str) -> str:
+        """Takes the requests below a path; returns the service's name of the batch."""
+
+    def status(self, name: str) -> str:
+        """SUBMITTED, IN_PROGRESS, COMPLETED, FAILED or CANCELLED."""
+
+    def results(self, name: str) -> str | None:
+        """Where the result lines are, if there are any."""
+
+    def cancel(self, name: str) -> None: ...
+
+
 def read_batch(spark: SparkSession, path: str) -> DataFrame:
     return responses_of_lines(spark.read.text(path))
 

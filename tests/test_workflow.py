@@ -258,3 +258,24 @@ def test_values_by_level(spark):
     rows = spark.createDataFrame([(level, level, level, ["Thing"], said) for level in ("CHUNK", "DOCUMENT")], "job_id string, context_level string, context_id string, types array<string>, content string")
     got = {r["job_id"]: r["properties"] for r in materialize.entity_mentions(rows, types).collect()}
     assert got == {"CHUNK": {"name": "n", "x": "5"}, "DOCUMENT": {"name": "n", "s": "bb", "x": "12"}}
+
+
+def rules_for(spark):
+    return RULES
+
+
+def test_command_line_runs_until_done(spark, tmp_path, capsys, monkeypatch):
+    import kgforge.cli
+
+    monkeypatch.setattr(kgforge.cli, "session", lambda: spark)
+    data, work = tmp_path / "data", str(tmp_path / "work")
+    data.mkdir()
+    (data / "a.txt").write_text(TEXTS["a.txt"])
+    assert main(["init", work]) == 0
+    (tmp_path / "work" / "knowledge_model.json").write_text(json.dumps(MODEL))
+    (tmp_path / "work" / "document_collections.json").write_text(json.dumps({"collections": {"logs": {"sources": [{"root": ".", "mode": "directory"}]}}}))
+    assert main(["plan", work, f"file://{data}", "--extractor", "test_workflow:rules_for"]) == 0
+    assert main(["run", work, f"file://{data}", "--extractor", "test_workflow:rules_for", "--until-done", "--wait", "0"]) == 0
+    assert main(["status", work]) == 0
+    said = capsys.readouterr().out
+    assert "EXPORT_KNOWLEDGE" in said and '"resolved": 3' in said and '"next": null' in said
