@@ -56,10 +56,16 @@ def memberships(documents: DataFrame, collection: str, key: str = "content_id")
     return documents.select(key, F.col(collection).alias("collection_name")).distinct()
 
 
-def counts_by_collection(collections: DataFrame, links: DataFrame, documents: DataFrame, key: str = "content_id") -> DataFrame:
-    """Documents and characters of every collection, those without any included."""
-    joined = collections.join(links, "collection_name", "left").join(documents.select(key, "n_chars"), key, "left")
-    return joined.groupBy("collection_name").agg(F.count(key).alias("n_documents"), F.coalesce(F.sum("n_chars"), F.lit(0)).alias("n_chars"))
+def collected(documents: DataFrame, collection: str, carried: str, order: Column, key: str = "content_id") -> DataFrame:
+    """One row a content, with its collections and what the first of its documents carries; texts aren't shuffled, and hashed once."""
+    return documents.groupBy(key).agg(F.collect_set(collection).alias("collections"), F.min_by(carried, order).alias(carried))
+
+
+def counts_by_collection(collections: DataFrame, links: DataFrame, key: str = "content_id") -> DataFrame:
+    """Documents and characters of every collection, those without any included; links: a row a content and collection, with n_chars."""
+    counts = links.groupBy("collection_name").agg(F.count(key).alias("n_documents"), F.sum("n_chars").alias("n_chars"))
+    joined = collections.join(counts, "collection_name", "left")
+    return joined.select("collection_name", F.coalesce("n_documents", F.lit(0)).alias("n_documents"), F.coalesce("n_chars", F.lit(0)).alias("n_chars"))
 
 
 def in_several(links: DataFrame, key: str = "content_id") -> DataFrame:

@@ -30,23 +30,33 @@ def both_ways(endpoints: DataFrame) -> DataFrame:
     return endpoints.unionByName(turned).distinct()
 
 
+def _ends(endpoints: DataFrame) -> DataFrame:
+    side = lambda s: endpoints.select("relationship_type_name", F.col(f"{s}_type").alias("entity_type_name"), F.col(f"{s}_level").alias("context_level"))
+    return side("source").unionByName(side("target")).distinct()
+
+
 def viable(types_here: DataFrame, endpoints: DataFrame) -> DataFrame:
     """(chunk, relationship type) where some endpoint finds its source and its target type at their levels.
 
-    types_here: chunk_id, context_level, entity_type_name; the types of a chunk's document are rows of the chunk, at level DOCUMENT.
+    types_here: chunk_id, context_level, entity_type_name; the types of a chunk's document are rows of the chunk, at level DOCUMENT. Only
+    types that some endpoint names are shuffled, once, into the set of each chunk, which has an entry a declared end at most.
     """
-    here = types_here.select("chunk_id", "context_level", "entity_type_name").distinct()
-    sources = here.join(F.broadcast(endpoints), (F.col("context_level") == F.col("source_level")) & (F.col("entity_type_name") == F.col("source_type"))).select("chunk_id", "relationship_type_name", "target_level", "target_type")
-    targets = here.select("chunk_id", F.col("context_level").alias("target_level"), F.col("entity_type_name").alias("target_type"))
-    return sources.join(targets, ["chunk_id", "target_level", "target_type"], "left_semi").select("chunk_id", "relationship_type_name").distinct()
+    end = lambda s: F.struct(F.col(f"{s}_level").alias("context_level"), F.col(f"{s}_type").alias("entity_type_name"))
+    at = ["context_level", "entity_type_name"]
+    named = types_here.select("chunk_id", *at).join(F.broadcast(_ends(endpoints).select(*at).distinct()), at, "left_semi")
+    sets = named.groupBy("chunk_id").agg(F.collect_set(F.struct(*at)).alias("types"))
+    sources = sets.select("chunk_id", "types", F.explode("types").alias("source")).select("chunk_id", "types", "source.*")
+    declared = endpoints.select("relationship_type_name", F.col("source_level").alias("context_level"), F.col("source_type").alias("entity_type_name"), end("target").alias("target"))
+    return sources.join(F.broadcast(declared), at).where(F.array_contains("types", F.col("target"))).select("chunk_id", "relationship_type_name").distinct()
 
 
 def candidates(entities_here: DataFrame, viable_: DataFrame, endpoints: DataFrame) -> DataFrame:
     """Entities of a chunk that may be an end of one of its viable relationship types, at their level."""
-    side = lambda s: endpoints.select("relationship_type_name", F.col(f"{s}_type").alias("entity_type_name"), F.col(f"{s}_level").alias("context_level"))
-    ends = side("source").unionByName(side("target")).distinct()
+    ends = _ends(endpoints)
     wanted = viable_.join(F.broadcast(ends), "relationship_type_name").select("chunk_id", "context_level", "entity_type_name").distinct()
-    return entities_here.join(wanted, ["chunk_id", "context_level", "entity_type_name"], "left_semi")
+    # most entities go before they are shuffled, as no endpoint names their type
+    named = entities_here.join(F.broadcast(ends.select("context_level", "entity_type_name").distinct()), ["context_level", "entity_type_name"], "left_semi")
+    return named.join(wanted, ["chunk_id", "context_level", "entity_type_name"], "left_semi")
 
 
 def level_pairs(rules: DataFrame) -> DataFrame:

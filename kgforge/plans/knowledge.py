@@ -44,7 +44,8 @@ SELECT lang AS collection_name, count(*) AS n_documents, CAST(sum(n) AS BIGINT)
 UNION ALL SELECT 'unused', 0, 0""")
 def j15(t: Tables) -> DataFrame:
     names = t.documents.select(F.col("lang").alias("collection_name")).distinct().unionByName(t.spark.createDataFrame([("unused",)], "collection_name string"))
-    return docs.counts_by_collection(names, docs.memberships(content(t), "lang"), stored(t))
+    collected = docs.collected(content(t), "lang", "n_chars", F.col("doc_id"))
+    return docs.counts_by_collection(names, collected.select("content_id", F.explode("collections").alias("collection_name"), "n_chars"))
 
 
 @query("a08_shared_documents", f"SELECT {ID} AS content_id, count(DISTINCT source) AS n_collections FROM documents GROUP BY 1 HAVING count(DISTINCT source) > 1")
@@ -277,7 +278,7 @@ v AS (SELECT DISTINCT a.chunk_id, rel FROM h a JOIN e ON a.lv = sl AND a.ty = st
 def entities_here(t: Tables) -> DataFrame:
     of_chunk = t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey")).select(F.col("l_orderkey").alias("chunk_id"), F.lit("CHUNK").alias("context_level"), F.col("p_brand").alias("entity_type_name"), F.col("p_partkey").alias("entity_id"))
     of_document = t.orders.join(t.customer, F.col("c_custkey") == F.col("o_custkey")).select(F.col("o_orderkey").alias("chunk_id"), F.lit("DOCUMENT").alias("context_level"), F.col("c_mktsegment").alias("entity_type_name"), F.col("c_custkey").alias("entity_id"))
-    return of_chunk.unionByName(of_document).distinct()
+    return of_chunk.unionByName(of_document)
 
 
 def endpoints(t: Tables) -> DataFrame:
@@ -296,7 +297,7 @@ x AS (SELECT DISTINCT l_orderkey AS chunk_id, 'CHUNK' AS lv, p_brand AS ty, p_pa
       UNION SELECT o_orderkey, 'DOCUMENT', c_mktsegment, c_custkey FROM orders JOIN customer ON c_custkey = o_custkey)
 SELECT chunk_id, lv AS context_level, ty AS entity_type_name, entity_id FROM x SEMI JOIN w USING (chunk_id, ty, lv)""")
 def x02(t: Tables) -> DataFrame:
-    return planning.candidates(entities_here(t), planning.viable(entities_here(t), endpoints(t)), endpoints(t))
+    return planning.candidates(entities_here(t), planning.viable(entities_here(t), endpoints(t)), endpoints(t)).distinct()
 
 
 @query("w03_temporary_ids", """
