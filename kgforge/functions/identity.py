@@ -31,6 +31,13 @@ def instance_id(content_id: Column) -> Column:
     return content_hash(F.concat(F.lit("inst|"), content_id))
 
 
+def time_ordered_id(milliseconds: Column, seed: Column) -> Column:
+    """A UUID of version 7: sorts by time, and the rest follows from the seed, so a repeated run gives the same."""
+    t, h = F.lpad(F.lower(F.hex(milliseconds.cast("bigint"))), 12, "0"), F.sha2(seed, 256)
+    variant = F.substring(F.lit("89ab"), F.conv(F.substring(h, 4, 1), 16, 10).cast("int") % 4 + 1, F.lit(1))
+    return F.concat_ws("-", F.substring(t, 1, 8), F.substring(t, 9, 4), F.concat(F.lit("7"), F.substring(h, 1, 3)), F.concat(variant, F.substring(h, 5, 3)), F.substring(h, 8, 12))
+
+
 def ends(source: Column, target: Column, symmetric: Column) -> Column:
     plain = F.concat_ws("|", source, target)
     return F.when(symmetric, F.concat_ws("|", F.lit("SYMMETRIC"), F.least(source, target), F.greatest(source, target))).otherwise(plain)

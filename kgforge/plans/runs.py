@@ -7,13 +7,14 @@ import uuid
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kgforge.functions import identity
 from kgforge.model.loader import model_of
 from kgforge.operators import chunking, lifecycle, materialize, planning
 from kgforge.operators import documents as docs
 from kgforge.sources import files
 
 from .knowledge import ID, LINES, content, stored
-from .operations import STATUS_SQL, units
+from .operations import STATUS_SQL, millis, units
 from .registry import Tables, query
 
 
@@ -82,6 +83,13 @@ def t01(t: Tables) -> DataFrame:
     return docs.line_chunks(docs.unseen(stored(t), there)).groupBy("content_id").agg(F.count("*").alias("n_chunks"))
 
 
+@query("f07_time_ordered_ids", """
+WITH x AS (SELECT event_id, printf('%012x', epoch_us(ts) // 1000) AS t, sha256(CAST(event_id AS VARCHAR)) AS h FROM events)
+SELECT event_id, concat_ws('-', substr(t, 1, 8), substr(t, 9, 4), '7' || substr(h, 1, 3), substr('89ab', CAST(('0x' || substr(h, 4, 1))::INT % 4 + 1 AS BIGINT), 1) || substr(h, 5, 3), substr(h, 8, 12)) AS id FROM x""")
+def f07(t: Tables) -> DataFrame:
+    return t.events.select("event_id", identity.time_ordered_id(millis("ts"), F.col("event_id").cast("string")).alias("id"))
+
+
 #: Units that are stored: events but purchases; all events are planned again.
 STATE = f"u AS (SELECT user_id, event_id, {STATUS_SQL} AS status, CAST(props ->> '$.k' AS BIGINT) AS k FROM events)"
 
