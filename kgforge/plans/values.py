@@ -235,7 +235,11 @@ def c01(t: Tables) -> DataFrame:
     return chunking.chunks(stored(t), chunking.Plan(target=120)).withColumn("content", F.length("content")).withColumnRenamed("content", "n_chars")
 
 
-@query("f02_normalized_keys")
+# What isn't printable goes, line feeds included; the tables' letters are Latin ones with marks, which SQL can take off.
+@query("f02_normalized_keys", r"""
+WITH a AS (SELECT doc_id, regexp_replace(replace(replace(text, '–', '-'), '—', '-'), '[\x00-\x1f\x7f-\x{a0}\x{ad}]', '', 'g') AS s FROM documents),
+b AS (SELECT doc_id, regexp_replace(strip_accents(replace(replace(replace(lower(s), 'ß', 'ss'), 'œ', 'oe'), 'æ', 'ae')), '[^a-z0-9\s/\-+_#&@.:()]', '', 'g') AS s FROM a)
+SELECT doc_id, nullif(regexp_replace(regexp_replace(regexp_replace(s, '^[\s/\\.:()]+', ''), '[\s/\\.:()]+$', ''), '\s+', ' ', 'g'), '') AS normalized FROM b""")
 def f02(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", keys.normalize_pk(F.col("text")).alias("normalized"))
 
