@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, Window
@@ -19,8 +20,12 @@ from .registry import Tables, query
 
 
 def scratch(t: Tables, tag: str) -> str:
-    """A new folder that driver and executors share: the one the session names, or its warehouse's."""
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or t.spark.conf.get("spark.sql.warehouse.dir")
+    """A new folder that driver and executors share: below the one that the session names, or of this machine where nothing else runs."""
+    base = t.spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not t.spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="kgforge-")
     return f"{base.rstrip('/')}/kgforge-{tag}-{uuid.uuid4().hex}"
 
 
