@@ -63,7 +63,8 @@ def mark_of(tag: str, attributes: str) -> str:
         return kind
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), (a or b or c).lower()
-        if name in ("class", "id") and tag not in ("html", "body", "main") and not HINT_WORD.isdisjoint(re.split(r"[^a-z0-9]+", value)):
+        # an article is a comment or an advert by a whole name only, not as one "with-sidebar"
+        if name in ("class", "id") and tag not in ("html", "body", "main") and not HINT_WORD.isdisjoint(value.split() if tag == "article" else re.split(r"[^a-z0-9]+", value)):
             return "hint"
         if name == "role" and value in HINT_ROLE or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
             return "hint"
@@ -156,20 +157,22 @@ class Page:
 def left_out(marks: list[tuple[str, str, int]], weight: list[int]) -> list[bool]:
     """By mark whether its content is left out: under what never holds the article, or under a hint that doesn't hold most of the text."""
     n = len(marks)
-    never, hinted, in_article = [False] * n, [False] * n, [False] * n
+    never, hinted, in_article = [False] * n, [False] * n, [0] * n
     for k in range(1, n):
         kind, tag, up = marks[k]
         never[k] = never[up] or kind == "never"
-        in_article[k] = in_article[up] or kind in ("article", "main")
+        in_article[k] = k if kind in ("article", "main") else in_article[up]
         # an article's own header holds its title
         hinted[k] = hinted[up] or kind == "hint" and not (tag == "header" and in_article[up])
     total = weight[0] - sum(weight[k] for k in range(1, n) if never[k] and not never[marks[k][2]])
-    # with an article outside all hints they are believed, however much they hold
+    # with an article outside all hints they are believed, however much they hold, but for those inside one that hold most of it
     plain = any(marks[k][0] in ("article", "main") and weight[k] and not never[k] and not hinted[k] for k in range(1, n))
     out = never
     for k in range(1, n):
         kind, tag, up = marks[k]
-        out[k] = out[k] or out[up] or kind == "hint" and not (tag == "header" and in_article[up]) and (plain or 2 * weight[k] <= total)
+        most = weight[in_article[up]] if in_article[up] and not hinted[up] else total
+        believed = plain and not in_article[up] or 2 * weight[k] <= most
+        out[k] = out[k] or out[up] or kind == "hint" and not (tag == "header" and in_article[up]) and believed
     return out
 
 

@@ -51,7 +51,7 @@ STORY = "".join(f"<p>Sentence number {k} of the story, which goes on for a while
 STORY_TEXT = "\n\n".join(f"Sentence number {k} of the story, which goes on for a while, as stories do." for k in range(6))
 
 
-@pytest.mark.parametrize("wrap", ["<div class='content no-sidebar'>{}</div>", "<div class='layout-with-sidebar'>{}</div>", "<section id='related-work'>{}</section>", "<form id='page'>{}</form>", "<div class='layout-with-sidebar'><article>{}</article></div>"])
+@pytest.mark.parametrize("wrap", ["<div class='content no-sidebar'>{}</div>", "<div class='layout-with-sidebar'>{}</div>", "<section id='related-work'>{}</section>", "<form id='page'>{}</form>", "<div class='layout-with-sidebar'><article>{}</article></div>", "<article><div class='content no-sidebar'>{}</div></article>", "<article class='post no-sidebar'>{}</article>", "<main><div class='widget-page'><article>{}</article></div></main>"])
 def test_a_hint_at_what_holds_most_of_the_text_is_not_believed(wrap):
     assert main_text(f"<body><nav>Menu</nav>{wrap.format(STORY)}<div class='sidebar'>Aside of some words</div><footer>end</footer></body>") == STORY_TEXT
 
