@@ -31,7 +31,13 @@ def a19(t: Tables) -> DataFrame:
     return evaluation.micro(outcomes(t)).select("tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
-@query("a20_bootstrap")
+@query("a20_bootstrap", f"""
+WITH o AS (SELECT doc_id, source, CAST({PREDICTED} AND quality = 1 AS INT) AS tp, CAST({PREDICTED} AND quality <> 1 AS INT) AS fp, CAST(NOT {PREDICTED} AND quality = 1 AS INT) AS fn FROM documents JOIN labels USING (doc_id)),
+b AS (SELECT tp, fp, fn, b, md5(concat_ws('|', '0', doc_id, source, tp, fp, fn) || '|' || b) AS h FROM o, range({2000 // evaluation.DRAWS}) t(b)),
+d AS (SELECT tp, fp, fn, b * {evaluation.DRAWS} + j AS rep, (CAST('0x' || substr(h, CAST(j * 4 + 1 AS BIGINT), 4) AS INT) + 0.5) / 65536 AS u FROM b, range({evaluation.DRAWS}) t(j)),
+n AS (SELECT *, {" + ".join(f"CAST(u > {x!r} AS INT)" for x in evaluation.poisson_steps())} AS n FROM d),
+s AS (SELECT rep, sum(tp * n) / nullif(sum(tp * n) + sum(fp * n), 0) AS p, sum(tp * n) / nullif(sum(tp * n) + sum(fn * n), 0) AS r FROM n GROUP BY rep)
+SELECT round(quantile_cont(2 * p * r / nullif(p + r, 0), 0.025), 9) AS f1_low, round(quantile_cont(2 * p * r / nullif(p + r, 0), 0.975), 9) AS f1_high FROM s""")
 def a20(t: Tables) -> DataFrame:
     return evaluation.bootstrap(outcomes(t))
 
