@@ -52,11 +52,18 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df into the shared folder and reads it back, which cuts its lineage and survives lost executors."""
+#: Rows of a file, where their number is known to be bounded.
+FILE_ROWS = 25_000
+
+
+def materialise(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
+    """Writes df into the shared folder and reads it back, which cuts its lineage and survives lost executors.
+
+    rows: how many there are about, so that a small table isn't dealt over more files than that many need.
+    """
     spark = df.sparkSession
     path = new_path(spark, tag)
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(max(1, -(-rows // FILE_ROWS)))).write.parquet(path)
     if next(_written) % RELEASE_EVERY == 0:
         release(spark)
     out = spark.read.schema(df.schema).parquet(path)

@@ -57,6 +57,8 @@ class LineRuns:
         self.spark, self.root, self.fanout, self.buckets = spark, root or new_path(spark, "lines"), fanout, buckets
         self.levels: list[list[DataFrame]] = []
         self.tables: list[str] = []
+        # no rows, but buckets: the first batch is dealt out like the others, by its join
+        self.none = self._write(spark.createDataFrame([], "h1 long, h2 long, n_docs long, keep_doc long, n_places long, fresh boolean"))
 
     def _write(self, run: DataFrame) -> DataFrame:
         name = f"kgforge_lines_{uuid.uuid4().hex}"
@@ -89,10 +91,10 @@ class LineRuns:
     def add(self, lines: DataFrame) -> DataFrame:
         """Adds the batch's lines (h1, h2, doc_id) as a run and returns it; fresh marks keys that no earlier run has."""
         own = lines.groupBy(*KEY, "doc_id").agg(F.count("*").alias("n")).groupBy(*KEY).agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keep_doc"), F.sum("n").alias("n_places"))
-        batch, totals = own.repartition(self.buckets, *KEY), ("n_docs", "keep_doc", "n_places")
-        for k, run in enumerate(self.runs()):
+        batch, totals, before_ = own, ("n_docs", "keep_doc", "n_places"), [self.none, *self.runs()]
+        for k, run in enumerate(before_):
             batch = batch.join(run.select(*KEY, *[F.col(c).alias(f"{c}{k}") for c in totals]).hint("merge"), KEY, "left")
-        known = lambda c: [F.col(f"{c}{k}") for k in range(len(self.runs()))]
+        known = lambda c: [F.col(f"{c}{k}") for k in range(len(before_))]
         before = lambda c: F.greatest(F.lit(0), F.lit(0), *known(c))
         # greatest() passes over nulls
         batch = batch.select(
@@ -127,12 +129,12 @@ def repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batc
     runs = LineRuns(docs.sparkSession, buckets=min(MOST_BUCKETS, max(1, -(-places // BUCKET_PLACES))))
     for k in range(batches):
         runs.add(lines.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k))
-    repeated = materialise(runs.repeated(min_docs).select(*KEY, "keep_doc", (F.col("n_places") * HOT >= places).alias("hot")), "repeated")
+    repeated = materialise(runs.repeated(min_docs).select(*KEY, "keep_doc", (F.col("n_places") * HOT >= places).alias("hot")), "repeated", places // 8)
     hot, rest = (repeated.where(F.col("hot") == x).select(*KEY, "keep_doc") for x in (True, False))
     # HOT rows at most
     told = lines.join(F.broadcast(hot), KEY, "left")
     lost = told.where("keep_doc IS NOT NULL").unionByName(told.where("keep_doc IS NULL").drop("keep_doc").join(rest.hint("merge"), KEY).select(*told.columns)).where("doc_id <> keep_doc")
-    out = materialise(lost.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("line_no")).alias("drop")), "lost-lines")
+    out = materialise(lost.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("line_no")).alias("drop")), "lost-lines", places // 8)
     runs.drop()
     discard(lines, repeated)
     return out

@@ -106,7 +106,7 @@ class Weights:
     """IDF by shingle hash: log(1 + documents / frequency), the frequency no lower than `least`; keys (sorted) are the ones above that."""
 
     def __init__(self, n: int, least: float, keys: np.ndarray, df: np.ndarray) -> None:
-        self.keys, self.idf, self.rare = keys, np.log1p(n / np.maximum(df, least)).astype(np.float32), np.float32(np.log1p(n / max(least, 1)))
+        self.n, self.keys, self.idf, self.rare = n, keys, np.log1p(n / np.maximum(df, least)).astype(np.float32), np.float32(np.log1p(n / max(least, 1)))
         # most shingles are rare, and this tells it at once
         self.listed = np.zeros(1 << SLOT_BITS, bool)
         self.listed[keys >> np.uint64(64 - SLOT_BITS)] = True
@@ -152,7 +152,7 @@ def weights(docs: DataFrame, size: int = SHINGLE, rarest: int = RAREST, most: in
 
     spark = docs.sparkSession
     counted = _distinct(docs, size, slots, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    counted = materialise(counted, "slots")
+    counted = materialise(counted, "slots", (1 << bits) // 8)
     sums = {r["slot"]: r["n"] for r in counted.where("slot < 0").collect()}
     n, total = sums.get(-1, 0), sums.get(-2, 0)
     least = max(n / rarest, total / most)
@@ -323,17 +323,17 @@ def linking(idf, similarity: float, size: int = SHINGLE):
     return pick
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
     """node and label, the smallest node of its component, of every node of the edges (a, b)."""
-    both = materialise(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "links")
-    labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumn("moved", F.lit(True)), "labels")
+    both = materialise(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "links", rows)
+    labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumn("moved", F.lit(True)), "labels", rows)
     while True:
         own = labels.select("node", "label")
         near = both.join(own.select(F.col("node").alias("b"), F.col("label").alias("other")).hint("merge"), "b").groupBy(F.col("a").alias("node")).agg(F.min("other").alias("other"))
         lower = own.join(near.hint("merge"), "node").select("node", "label", F.least("label", "other").alias("next"))
         # a label's own label is nearer to the end
         jumped = lower.join(own.select(F.col("node").alias("next"), F.col("label").alias("far")).hint("merge"), "next", "left").select("node", F.least("next", F.coalesce("far", "next")).alias("label"), (F.least("next", F.coalesce("far", "next")) < F.col("label")).alias("moved"))
-        new = materialise(jumped, "labels")
+        new = materialise(jumped, "labels", rows)
         discard(labels)
         labels = new
         if not labels.where("moved").limit(1).count():
@@ -347,8 +347,8 @@ class Links:
     Joins here and in components() merge at any size: a broadcast would pass the driver each time, and there are many of them.
     """
 
-    def __init__(self, texts: DataFrame, idf, similarity: float, size: int) -> None:
-        self.texts, self.idf, self.similarity, self.size = texts, idf, similarity, size
+    def __init__(self, texts: DataFrame, idf, similarity: float, size: int, rows: int | None = None) -> None:
+        self.texts, self.idf, self.similarity, self.size, self.rows = texts, idf, similarity, size, rows
         self.edges: list[DataFrame] = []
         self.labels = texts.sparkSession.createDataFrame([], "node long, label long")
         self.spent: list[DataFrame] = [texts]
@@ -368,7 +368,7 @@ class Links:
     def meet(self, rows: DataFrame, samples: int) -> None:
         """Links between members apart and all others of their buckets; rows are those of apart()."""
         met = dealt(rows).groupBy("key", "i", "j").applyInArrow(agreeing(self.similarity, samples), "key long, rep long")
-        met = materialise(met.distinct(), "met")
+        met = materialise(met.distinct(), "met", self.rows)
         some = rows.drop("sketch").distinct().join(met.hint("merge"), ["key", "rep"], "left_semi")
         some = some.join(self.texts.withColumnRenamed("doc_id", "rep").hint("merge"), "rep")
         links = dealt(some).groupBy("key", "i", "j").applyInArrow(linking(self.idf, self.similarity, self.size), "a long, b long")
@@ -377,7 +377,7 @@ class Links:
         release(self.texts.sparkSession)
 
     def join(self) -> None:
-        labels = components(reduce(DataFrame.union, self.edges))
+        labels = components(reduce(DataFrame.union, self.edges), self.rows)
         self.labels = labels.select("node", "label")
         self.spent.append(labels)
 
@@ -413,24 +413,25 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select("doc_id", "text")
-    idf = spark.sparkContext.broadcast(weights(docs, size, rarest))
+    weigh = weights(docs, size, rarest)
+    idf, n = spark.sparkContext.broadcast(weigh), weigh.n
     signed = materialise(signatures(docs, idf, bands, rows, size), "signatures")
     # copies first: from here on one document stands for all with the same words
     exact = signed.groupBy("e1", "e2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     mapped = signed.withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(SALTS))).join(exact, ["e1", "e2", "salt"], "left").withColumn("rep", F.coalesce("rep", "doc_id"))
-    mapped = materialise(mapped.select("doc_id", "rep", "weight", "kinds", *[F.when(F.col("doc_id") == F.col("rep"), F.col(c)).alias(c) for c in ("keys", "sketch")]), "mapped")
+    mapped = materialise(mapped.select("doc_id", "rep", "weight", "kinds", *[F.when(F.col("doc_id") == F.col("rep"), F.col(c)).alias(c) for c in ("keys", "sketch")]), "mapped", n)
     discard(signed)
     members = mapped.where("keys IS NOT NULL").select(F.explode("keys").alias("key"), "rep", "weight", "kinds").dropDuplicates(["key", "rep"])
     pivots = members.groupBy("key").agg(F.min(F.struct("rep", "weight", "kinds")).alias("p"), F.count("*").alias("n")).where("n > 1").select("key", *pivot_columns())
-    buckets = materialise(members.join(pivots, "key"), "buckets")
+    buckets = materialise(members.join(pivots, "key"), "buckets", 4 * n)
     involved = buckets.select(F.col("rep").alias("doc_id")).distinct()
     texts = materialise(docs.join(involved, "doc_id", "left_semi"), "involved")
 
-    links = Links(texts, idf, similarity, size)
+    links = Links(texts, idf, similarity, size, n)
     links.compare(buckets.where(near(similarity)))
     links.join()
     sketches = mapped.where("keys IS NOT NULL").select("rep", "sketch").distinct()
-    links.meet(materialise(apart(links, buckets, sketches), "apart"), bands * rows)
+    links.meet(materialise(apart(links, buckets, sketches), "apart", n), bands * rows)
     links.join()
     labels = links.end()
     discard(buckets)

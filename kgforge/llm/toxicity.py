@@ -231,9 +231,9 @@ class ToxicityModel:
         if rows.agg(F.count_distinct("toxic").alias("n")).first()["n"] < 2:
             return
         top = materialise(gram_counts(rows.where("NOT curve"), order), "grams")
-        seen, unseen = ratios(top, order)
-        self.seen = materialise(seen.select(F.col("g").alias("s"), F.col("llr").cast("float").alias("llr")), "seen")
-        self.unseen = materialise(unseen.select(F.col("ctx").alias("s"), F.col("llr").cast("float").alias("llr")), "unseen")
+        seen, unseen, grams_ = *ratios(top, order), top.count() // 8
+        self.seen = materialise(seen.select(F.col("g").alias("s"), F.col("llr").cast("float").alias("llr")), "seen", grams_)
+        self.unseen = materialise(unseen.select(F.col("ctx").alias("s"), F.col("llr").cast("float").alias("llr")), "unseen", grams_)
         if self.seen.count() + self.unseen.count() <= most:
             self.tables = spark.sparkContext.broadcast((Table(self.seen, order), Table(self.unseen, order - 1)))
         for fold in (rows.where("curve"), rows):  # all, if there are too few rows for a fold of their own
