@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import itertools
 import re
@@ -42,16 +43,26 @@ def new_path(spark: SparkSession, tag: str) -> str:
 
 
 #: After so many tables, what they were made from is let go.
-RELEASE_EVERY = 6
+RELEASE_EVERY = 3
 _written = itertools.count(1)
 
 
 def release(spark: SparkSession) -> None:
-    """Has the driver collect its garbage, so that Spark drops shuffles and broadcasts of rounds that are over and the heap stays small."""
+    """Has the driver collect its garbage, so that Spark drops shuffles and broadcasts of rounds that are over and both heaps stay small."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim_heap()
     spark.sparkContext._jvm.System.gc()
 
 
+def trim_heap() -> None:
+    """Gives free memory back to the system, where its C library can."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 #: Rows of a file, where their number is known to be bounded.
 FILE_ROWS = 25_000
 

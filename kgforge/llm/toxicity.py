@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import BASE, MIX, crc_mod4, held_out, materialise, small_batches
+from .common import BASE, MIX, crc_mod4, held_out, materialise, release, small_batches
 
 WORD = re.compile(r"[^\W\d_]+")
 PAD, END = "^", "$"
@@ -236,14 +236,16 @@ class ToxicityModel:
         self.unseen = materialise(unseen.select(F.col("ctx").alias("s"), F.col("llr").cast("float").alias("llr")), "unseen", grams_)
         if self.seen.count() + self.unseen.count() <= most:
             self.tables = spark.sparkContext.broadcast((Table(self.seen, order), Table(self.unseen, order - 1)))
+            release(spark)
         for fold in (rows.where("curve"), rows):  # all, if there are too few rows for a fold of their own
             ids = fold.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(CURVE_ROWS)
             # ids are CURVE_ROWS at most; the texts stay where they are, and equal ones count once
             sample = fold.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", "text", "toxic").dropDuplicates(["doc_id", "text"])
-            got = self.described(sample, ["toxic"]).orderBy("toxic", *FEATURES).toPandas()
-            if got["toxic"].nunique() == 2:
+            got = self.described(sample, ["toxic"]).orderBy("toxic", *FEATURES).toArrow()
+            y = got["toxic"].to_numpy().astype(float)
+            if len(np.unique(y)) == 2:
                 break
-        self.weights = fit_curve(got[FEATURES].to_numpy(), got["toxic"].to_numpy(float))
+        self.weights = fit_curve(np.column_stack([got[f].to_numpy() for f in FEATURES]), y)
 
     def described(self, rows: DataFrame, keep: list[str]) -> DataFrame:
         """The features of every row's text, and the columns to keep."""
