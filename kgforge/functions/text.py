@@ -108,19 +108,24 @@ def format_duration(ms: Column) -> Column:
         F.when(ms < 1000, F.format_string("%d ms", ms.cast("long")))
         .when(s < 60, F.format_string("%.1f s", ms / 1000))
         .when(s < 3600, F.format_string("%d m %02d s", F.floor(s / 60), s % 60))
-        .otherwise(F.format_string("%d h %02d m", F.floor(s / 3600), F.floor(s / 60) % 60))
+        .when(s >= 3600, F.format_string("%d h %02d m", F.floor(s / 3600), F.floor(s / 60) % 60))
     )
 
 
-def format_size(size: Column) -> Column:
-    out = F.format_string("%d B", size.cast("long"))
-    for power, unit in enumerate(("KB", "MB", "GB"), 1):
+def format_size(size: Column, units: tuple[str, ...] = ("KB", "MB", "GB")) -> Column:
+    """In the largest of the units that keeps it at least 1; what is beyond the last one stays in it."""
+    out = F.when(size.isNotNull(), F.format_string("%d B", size.cast("long")))
+    for power, unit in enumerate(units, 1):
         out = F.when(size >= 1024**power, F.format_string(f"%.1f {unit}", size / 1024**power)).otherwise(out)
     return out
 
 
-def format_count(n: Column) -> Column:
-    return F.when(n >= 1_000_000_000, F.format_string("%.1fB", n / 1e9)).when(n >= 1_000_000, F.format_string("%.1fM", n / 1e6)).otherwise(n.cast("long").cast("string"))
+def format_count(n: Column, units: tuple[str, ...] = ("M", "B")) -> Column:
+    """In full below a million, then in the largest of the units that keeps it at least 1; what is beyond the last one stays in it."""
+    out = n.cast("long").cast("string")
+    for power, unit in enumerate(units, 2):
+        out = F.when(n >= 1000**power, F.format_string(f"%.1f{unit}", n / 1000**power)).otherwise(out)
+    return out
 
 
 def joined(values: Column) -> Column:

@@ -1,8 +1,11 @@
 """Queries that take the whole of their input, at the size that the operator is meant for."""
 
-from kgforge.functions import keys
+from pyspark.sql import functions as F
+
+from kgforge.functions import keys, text
 from kgforge.operators import evaluation
 from kgforge.plans import evaluating, values
+from kgforge.plans.catalog import SQL
 
 
 class Given:
@@ -22,3 +25,20 @@ def test_bootstrap_has_all_replicates(spark):
     docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, source string, text string")
     t = Given(documents=docs, labels=spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, quality long"))
     assert evaluating.a20(t).collect() == evaluation.bootstrap(evaluating.outcomes(t), 2000).collect() != evaluation.bootstrap(evaluating.outcomes(t), 200).collect()
+
+
+def test_display_of_large_and_missing_numbers(spark):
+    import duckdb
+
+    # with event_id % 97 = 96: from bytes to beyond a GB and a billion
+    ids = [None, 0, 1, 2, 96, 193, 9699, 1_485_942, 2_000_042, 5_999_934, 60_000_000]
+    events = ", ".join(f"({'NULL' if k is None else k}::BIGINT)" for k in ids)
+    expected = duckdb.sql(f"WITH events(event_id) AS (VALUES {events}) {SQL['f12_display']}").fetchall()
+    got = [tuple(r) for r in values.f12(Given(events=spark.createDataFrame([(k,) for k in ids], "event_id long"))).collect()]
+    assert sorted(got, key=repr) == sorted(expected, key=repr) and (None, None, None, None) in got
+    assert any(float(r[2].split()[0]) > 1024 for r in got if r[2] and r[2].endswith(" MB")) and any(r[3] and r[3].endswith("M") and len(r[3]) > 7 for r in got)
+
+
+def test_display_in_all_units(spark):
+    row = spark.range(1).select(*[f(F.lit(n)).alias(f"{k}{i}") for i, n in enumerate((2_000_000, 3 * 2**30)) for k, f in (("s", text.format_size), ("c", text.format_count))]).first()
+    assert tuple(row) == ("1.9 MB", "2.0M", "3.0 GB", "3.2B")
