@@ -1,3 +1,5 @@
+import math
+import time
 from fractions import Fraction
 
 from hypothesis import given
@@ -106,3 +108,56 @@ def test_a_hundred_thousand_slots_with_tiny_weights():
         if t % 7 == 0 or s == "tiny":
             assert all(abs(n - Fraction(weights[x]) / total * t) < 1 for x, n in got.items())
     assert t == 100_000 and got["tiny"] == 20
+
+
+def plain(blocks, weights):
+    """Brute force: every phase begins anew with all sources that are left."""
+    left, done, phase = {s: n for s, n in blocks.items() if n}, dict.fromkeys(blocks, 0), 0
+    while left:
+        least = min((weights[s] for s in left if weights.get(s, 0) > 0), default=1)
+        share = {s: Fraction(w if (w := weights.get(s, 0)) > 0 else least) for s in left}
+        total, own, t, ended = sum(share.values()), dict.fromkeys(left, 0), 0, False
+        while not ended:
+            released = [s for s in left if math.floor(own[s] * total / share[s]) <= t]
+            s = min(released, key=lambda s: (math.ceil((own[s] + 1) * total / share[s]), (own[s] + 1) * total % share[s] == 0, -share[s], s))
+            yield s, done[s], phase
+            own[s], done[s], t = own[s] + 1, done[s] + 1, t + 1
+            ended = done[s] == blocks[s]
+        del left[s]
+        phase += 1
+
+
+@given(st.dictionaries(st.text("abcdefgh", max_size=2), st.tuples(st.sampled_from([-1, 0, 0.1, 0.5, 1, 1, 1.5, 3, 7, 40]), st.integers(0, 9)), max_size=12), st.sets(st.text("abcdefgh", max_size=1)))
+def test_the_schedule_is_that_of_phases_begun_anew(sources, unknown):
+    blocks, weights = {s: n for s, (_, n) in sources.items()}, {s: w for s, (w, _) in sources.items() if s not in unknown}
+    assert list(mixing.exact(blocks, weights)) == list(plain(blocks, weights))
+
+
+def test_results_know_no_number_of_sources(spark, monkeypatch):
+    rows = [(k, None if k == 0 else f"s{k % 40}" if k % 3 else "hot", str(k)) for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    weights = {"hot": 0.5, "s1": 0.2, "s2": 0.0, "elsewhere": 0.001}
+    run = lambda: [sorted(tuple(map(str, r)) for r in mixing.mix(docs, w, block=2, period=p).collect()) for w, p in ((None, None), (weights, None), (None, 60))]
+    expected = run()
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 7)
+    assert run() == expected
+
+
+def test_more_sources_than_ten_thousand(spark):
+    blocks = {f"s{k}": 1 + k % 3 for k in range(12_000)} | {"hot": 3_000}
+    weights = {s: float(n) for s, n in blocks.items()}
+    began = time.monotonic()
+    plan = list(mixing.exact(blocks, weights))
+    assert time.monotonic() - began < 30  # starting every one of 12,001 phases with all sources takes many minutes
+    assert sorted((s, b) for s, b, _ in plan) == sorted((s, b) for s, n in blocks.items() for b in range(n))
+    # the first phase: within a block of the target
+    total, first = sum(map(Fraction, weights.values())), [s for s, _, phase in plan if not phase]
+    own = dict.fromkeys(blocks, 0)
+    for t, s in enumerate(first, 1):
+        own[s] += 1
+        for x in (s, "hot"):
+            assert abs(own[x] - Fraction(weights[x]) / total * t) < 1
+    rows = spark.range(24_000).selectExpr("id AS doc_id", "CASE WHEN id % 2 = 0 THEN 'hot' ELSE 's' || (id DIV 2) END AS source", "'' AS text")
+    got = mixing.mix(rows, block=2).select("doc_id", "source", "slot", "position").collect()
+    assert sorted(r["position"] for r in got) == list(range(24_000)) and len({r["slot"] for r in got}) == 18_000
+    assert len({r["doc_id"] for r in got}) == 24_000
